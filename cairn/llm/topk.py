@@ -47,7 +47,7 @@ def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queri
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     visit = np.argsort(-bound, axis=1, kind="stable")
     n = len(queries)
-    least = np.iinfo(np.int64).min
+    least = -np.iinfo(np.int64).max
     score = np.full((n, k), least, dtype=np.int64)
     doc = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
     active = np.arange(n)
