@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
+from cairn.llm.ngram_join import jaccard_classes
 from cairn.llm.sharding import shuffle_into_shards
 from cairn.llm.topk import exact_top_k
+from cairn.llm.toxicity import fit, remainder, score_documents
 from cairn.llm.url_filter import judge_urls
 
 #: Fixed values of the URL query.
@@ -37,6 +39,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shuffle_into_shards(table(spark, sf_dir, "documents"), 8)
     return dealt.select(
@@ -45,6 +52,12 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_documents(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc.doc_id", (remainder(F.col("doc.doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -54,7 +67,9 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -101,6 +116,19 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(clean, '')) END AS clean_sha256
         FROM documents d LEFT JOIN k USING (doc_id)
     """,
+    "op7_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, g FROM (
+                SELECT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS p FROM w WHERE len(w) > 0))
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        r(node, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id
+        FROM w JOIN r ON w.doc_id = r.node LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+    """,
     "op10_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
