@@ -21,8 +21,6 @@ own; their component_id is the smallest id of the component, nulls last.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.components import components
-from cairn.llm.shared import keyed, stored
+from cairn.llm.shared import keyed, release, stored
 from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, prefix_hash, span_hash, string_bytes, window_hash, words_of
 
 #: Bits of the frequent-token table (2 MB). It takes at most a sixteenth of them as tokens: the frequency bound rises with the corpus.
@@ -259,12 +257,6 @@ def best_per_node(pairs: DataFrame, most: int | None) -> DataFrame:
     return counted.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of steps that are over: it does so when the driver's garbage goes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) of the nodes that link with others; None if there are none."""
     spark = shared.sparkSession

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
+from cairn.llm.mixing import mixture_rates
 from cairn.llm.ngram_join import jaccard_classes
+from cairn.llm.packing import pack_documents
 from cairn.llm.sharding import shuffle_into_shards
+from cairn.llm.suffix_dedup import remove_repeats
 from cairn.llm.topk import exact_top_k
 from cairn.llm.toxicity import fit, remainder, score_documents
 from cairn.llm.url_filter import judge_urls
@@ -21,11 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, domains = mixture_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {0: 0.4, 1: 0.6})
+    shares = [F.get("posterior", F.lit(k)).alias(f"p_quality_{d}") for k, d in enumerate(domains)]
+    return rated.select(F.col("id").alias("doc_id"), "n_tokens", *shares, "rate")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -64,7 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pack_tokens": op1_pack_tokens,
+    "op2_mix_sources": op2_mix_sources,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stored(ranged.select(F.monotonically_increasing_id().alias("rid"), "id", "text"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are over: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

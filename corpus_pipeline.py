@@ -1,7 +1,71 @@
-"""Corpus preparation as a chain of operators, each stage written and read again."""
-STAGES = []
+"""Corpus preparation as a chain of operators, each stage written and read again.
+
+A stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the columns of documents;
+the last adds shard and slot.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm.decontaminate import decontaminate
+from cairn.llm.mixing import mix_to_targets
+from cairn.llm.ngram_join import jaccard_classes
+from cairn.llm.shared import shared_folder
+from cairn.llm.sharding import shuffle_into_shards
+from cairn.llm.toxicity import fit, score_documents
+
+#: Share of tokens wanted of rows that the labels' `quality` classifier holds for 0 and for 1.
+MIX = {0: 0.4, 1: 0.6}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity models hold for toxic go."""
+    scored = score_documents(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    return scored.filter("predicted = 0").select("doc.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class stays: the one with the smallest id. Rows without words stay."""
+    kept = jaccard_classes(docs).filter("rid = keeper").select(F.col("id").alias("kept_id")).distinct()
+    first = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return first.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark window go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), action="documents")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows appear as often as the fitted rates say."""
+    return mix_to_targets(docs, table(spark, sf_dir, "labels"), MIX)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, shuffled into eight shards."""
+    return shuffle_into_shards(docs, 8)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix), ("sharding", shard)]
+#: SQL states neither the toxicity models nor the fitted rates.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        path = f"{folder}/{k}-{name}"
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+    return docs
