@@ -31,9 +31,11 @@ from cairn.llm.textbytes import U64, by_bytes, mix, powers, prefix_hash, span_ha
 
 GRAM = 36
 #: Keys of one range, which one task merges.
-RANGE_KEYS = 1_500_000
+RANGE_KEYS = 500_000
+#: Bytes of text that a task hashes at once.
+BATCH_BYTES = 1_000_000
 #: Bytes of one suffix array.
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 
 
 def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -295,7 +297,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
         def flush():
             return keyed_block(*(np.concatenate(x) for x in zip(*held)), bits)
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
             data, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
             row, a, b, one, two = stretches(data, offsets, length)
             rid = np.asarray(batch.column(batch.schema.get_field_index("rid"))).astype(np.int64)
