@@ -1,4 +1,442 @@
-"""Queries over the key graph and text tables, with their DuckDB equivalents."""
+"""Queries over the key graph and the text tables, with their DuckDB equivalents.
+
+The tables stand in for a repository: keys that point at keys are its dependency edges, documents its files, events its
+change feed. Each entry names the survey's operators that it covers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions.paths import is_test, path_list
+from cairn.operators import changes, graph, resolve, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the key graph -----------------------------------------------------------------------------------------------------
+
+DEP = """
+    SELECT DISTINCT src, dst FROM (
+        SELECT 'nation/' || n_nationkey AS src, 'region/' || n_regionkey AS dst FROM nation
+        UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer
+        UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier
+        UNION ALL SELECT 'orders/' || o_orderkey, 'customer/' || o_custkey FROM orders
+        UNION ALL SELECT 'part/' || l_partkey, 'supplier/' || l_suppkey FROM lineitem)
+"""
+KEYS = [("nation", "nation", "n_nationkey", "region", "n_regionkey"), ("customer", "customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"), ("orders", "orders", "o_orderkey", "customer", "o_custkey"), ("lineitem", "part", "l_partkey", "supplier", "l_suppkey")]
+
+
+def dep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 over the tables' keys."""
+    parts = []
+    for name, src, key, dst, ref in KEYS:
+        rows = table(spark, sf_dir, name).select(key, ref).distinct()
+        parts.append(rows.select(F.concat(F.lit(src + "/"), key).alias("src"), F.concat(F.lit(dst + "/"), ref).alias("dst")))
+    return graph.distinct_edges(*parts)
+
+
+def nodes(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+HUBS = f"""
+    WITH dep AS ({DEP}), i AS (SELECT dst AS node, count(*) AS n FROM dep GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM dep GROUP BY 1)
+"""
+
+
+@query(HUBS + "SELECT i.node, i.n AS dependents, coalesce(o.n, 0) AS dependencies FROM i LEFT JOIN o USING (node) ORDER BY i.n DESC, i.node LIMIT 10")
+def hubs_top(spark, d):
+    """G5, A1, O2."""
+    return graph.hubs(dep(spark, d))
+
+
+@query(HUBS + "SELECT i.node, i.n AS dependents, coalesce(o.n, 0) AS dependencies FROM i LEFT JOIN o USING (node) ORDER BY i.n DESC, i.node LIMIT 15")
+def summary_hubs_top15(spark, d):
+    """G6."""
+    return graph.hubs(dep(spark, d), 15)
+
+
+@query(HUBS + "SELECT o.node, coalesce(i.n, 0) AS dependents, o.n AS dependencies FROM o LEFT JOIN i USING (node) WHERE coalesce(i.n, 0) <= 1 ORDER BY o.n DESC, o.node LIMIT 10")
+def entry_like(spark, d):
+    """G7."""
+    return graph.entry_like(dep(spark, d))
+
+
+@query(f"WITH dep AS ({DEP}) SELECT node, count(*) AS edges FROM (SELECT src AS node FROM dep UNION ALL SELECT dst FROM dep) GROUP BY node")
+def graph_degrees(spark, d):
+    """Edges at every node."""
+    return graph.degrees(dep(spark, d)).select("node", (F.col("dependents") + F.col("dependencies")).alias("edges"))
+
+
+@query(f"WITH dep AS ({DEP}) SELECT dst AS node, (SELECT count(*) FROM dep WHERE src = 'part/7') AS total, false AS truncated FROM dep WHERE src = 'part/7'")
+def fan_out(spark, d):
+    """G2."""
+    return graph.fan_out(dep(spark, d), "part/7")
+
+
+@query(f"WITH dep AS ({DEP}) SELECT src AS node, (SELECT count(*) FROM dep WHERE dst = 'nation/3') AS total, false AS truncated FROM dep WHERE dst = 'nation/3'")
+def fan_in(spark, d):
+    """G3."""
+    return graph.fan_in(dep(spark, d), "nation/3")
+
+
+@query(f"WITH dep AS ({DEP}), r AS (SELECT src AS node FROM dep WHERE dst = 'nation/3') SELECT node, (SELECT count(*) FROM r) AS total, 12 < (SELECT count(*) FROM r) AS truncated FROM r ORDER BY node LIMIT 7 OFFSET 5")
+def fan_in_page(spark, d):
+    """G4, O5."""
+    return graph.fan_in(dep(spark, d), "nation/3", limit=7, offset=5)
+
+
+def reach(depth: int, roots: str = "'region/1'", edges: str = DEP) -> str:
+    return f"""
+    WITH RECURSIVE dep AS ({edges}), r(node, level) AS (
+        SELECT unnest([{roots}]), 0 UNION SELECT dep.src, level + 1 FROM r JOIN dep ON dep.dst = r.node WHERE level < {depth}),
+    f AS (SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node HAVING min(level) > 0),
+    fan AS (SELECT dst AS node, count(*) AS n FROM dep GROUP BY 1),
+    x AS (SELECT f.node, f.level, coalesce(fan.n, 0) AS dependents FROM f LEFT JOIN fan USING (node))
+    """
+
+
+@query(reach(3) + "SELECT * FROM x")
+def impact_levels(spark, d):
+    """G8."""
+    return graph.impact(dep(spark, d), nodes(spark, "region/1"), 3)
+
+
+@query(reach(3) + "SELECT level, count(*) AS total FROM x GROUP BY level")
+def impact_level_totals(spark, d):
+    """G8, A3."""
+    return graph.level_totals(graph.impact(dep(spark, d), nodes(spark, "region/1"), 3))
+
+
+@query(reach(3) + "SELECT * FROM x WHERE level >= 2")
+def impact_min_depth(spark, d):
+    """From a level on."""
+    return graph.impact(dep(spark, d), nodes(spark, "region/1"), 3, 2)
+
+
+@query(reach(3, "'region/1', 'supplier/2'") + "SELECT * FROM x ORDER BY dependents DESC, node LIMIT 25")
+def impact_limit(spark, d):
+    """The first of the flat list, from two roots."""
+    return graph.impact(dep(spark, d), nodes(spark, "region/1", "supplier/2"), 3, limit=25)
+
+
+@query(reach(2, "'nation/3'") + "SELECT node, false AS is_test FROM x")
+def affected_subset(spark, d):
+    """G9, P8."""
+    return graph.affected(dep(spark, d), nodes(spark, "nation/3"))
+
+
+BACK = DEP + " UNION SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation"
+
+
+@query(reach(4, "'region/1'", BACK) + "SELECT * FROM x")
+def graph_cycle_impact(spark, d):
+    """Edges both ways between regions and nations."""
+    edges = dep(spark, d)
+    back = table(spark, d, "nation").select(F.concat(F.lit("region/"), "n_regionkey").alias("src"), F.concat(F.lit("nation/"), "n_nationkey").alias("dst"))
+    return graph.impact(graph.distinct_edges(edges, back), nodes(spark, "region/1"), 4)
+
+
+@query(f"""
+    WITH dep AS ({DEP}), p AS (
+        SELECT a.dst || '>' || a.src || '>' || b.src || '>' || c.src AS path, [a.dst, a.src, b.src, c.src] AS o FROM dep a JOIN dep b ON b.dst = a.src JOIN dep c ON c.dst = b.src
+        WHERE a.dst = 'region/1' AND c.src = 'part/7')
+    SELECT path, CAST(3 AS INTEGER) AS length, (SELECT count(*) FROM p) > 5 AS truncated FROM p ORDER BY o LIMIT 5
+""")
+def path_between(spark, d):
+    """G10, O4."""
+    found = graph.path_between(dep(spark, d), "region/1", "part/7")
+    return found.select(F.array_join("path", ">").alias("path"), "length", "truncated")
+
+
+@query(f"""
+    WITH dep AS ({DEP}) SELECT src, dst FROM dep WHERE src NOT LIKE 'supplier/%' UNION ALL SELECT src, 'nation/0' FROM dep WHERE src LIKE 'supplier/%'
+""")
+def incremental_replace(spark, d):
+    """Edges of changed nodes are dropped and taken anew."""
+    edges = dep(spark, d)
+    changed = edges.filter("src like 'supplier/%'").select(F.col("src").alias("node"))
+    return graph.rebuild(edges, changed, changed.select(F.col("node").alias("src"), F.lit("nation/0").alias("dst")))
+
+
+# --- texts as files ----------------------------------------------------------------------------------------------------
+
+LINES = r"""
+    SELECT doc_id, CAST(generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS INTEGER) AS line, unnest(string_split_regex(text, '\r?\n')) AS text
+    FROM documents WHERE text IS NOT NULL AND length(text) <= 2000000 AND strpos(substr(text, 1, 8000), chr(0)) = 0
+"""
+FILES = "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content, doc_id, source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL"
+SHOWN = r"CASE WHEN length(regexp_replace(text, '\s+$', '')) > 240 THEN substr(regexp_replace(text, '\s+$', ''), 1, 240) || '…' ELSE regexp_replace(text, '\s+$', '') END"
+FILE_LINES = rf"""
+    SELECT path, CAST(generate_subscripts(string_split_regex(content, '\r?\n'), 1) AS INTEGER) AS line, unnest(string_split_regex(content, '\r?\n')) AS text
+    FROM ({FILES}) WHERE content IS NOT NULL AND length(content) <= 2000000 AND strpos(substr(content, 1, 8000), chr(0)) = 0
+"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of documents named by source, language and id."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")).filter("path is not null")
+
+
+@query(f"WITH l AS ({LINES}) SELECT doc_id, line, text FROM l")
+def lines_table(spark, d):
+    """S8, S9, X10."""
+    rows = table(spark, d, "documents").select("doc_id", F.lit("a.txt").alias("path"), F.col("text").alias("content"))
+    return text.lines(rows).select("doc_id", "line", "text")
+
+
+@query(f"WITH l AS ({FILE_LINES}) SELECT path, count(*) AS n_lines FROM l GROUP BY path")
+def line_counts(spark, d):
+    """S8."""
+    return text.lines(files(spark, d)).groupBy("path").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"WITH l AS ({FILE_LINES}) SELECT path, line, {SHOWN} AS text FROM l WHERE contains(lower(text), 'tion th') ORDER BY path, line LIMIT 100")
+def grep_literal_ci(spark, d):
+    """E4, P4, P7, O3."""
+    return text.grep(files(spark, d), "Tion TH")
+
+
+@query(f"WITH l AS ({FILE_LINES}) SELECT path, line, {SHOWN} AS text FROM l WHERE regexp_matches(text, '^[A-Z][a-z]+ion [a-z]+er') ORDER BY path, line LIMIT 40")
+def grep_regex_cs(spark, d):
+    """E4, P5, P6."""
+    return text.grep(files(spark, d), "^[A-Z][a-z]+ion [a-z]+er", regex=True, limit=40)
+
+
+@query(f"WITH l AS ({FILE_LINES}) SELECT path, line, {SHOWN} AS text FROM l WHERE contains(lower(text), 'the') AND regexp_matches(path, '^src1/(en|fr)/[^/]*[.]txt$') ORDER BY path, line LIMIT 100")
+def grep_glob_scoped(spark, d):
+    """E4, P1, P2."""
+    return text.grep(files(spark, d), "the", glob="src1/{en,fr}/*.txt")
+
+
+@query(rf"""
+    WITH l AS ({FILE_LINES}), m AS (SELECT path, line FROM l WHERE contains(lower(text), 'the') ORDER BY path, line LIMIT 100)
+    SELECT (SELECT count(*) FROM m) AS "count", (SELECT count(*) FROM m) >= 100 AS truncated, (SELECT max(path) FROM m) AS last,
+           (SELECT count(*) FROM ({FILES}) WHERE content IS NOT NULL AND length(content) <= 2000000 AND strpos(substr(content, 1, 8000), chr(0)) = 0
+            AND ((SELECT count(*) FROM m) < 100 OR path <= (SELECT max(path) FROM m))) AS scanned_files
+""")
+def grep_limit(spark, d):
+    """Files counted up to the last match."""
+    found = text.grep_report(files(spark, d), "the")
+    last = text.grep(files(spark, d), "the").agg(F.max("path").alias("last"))
+    return found.join(F.broadcast(last)).select("count", "truncated", "last", "scanned_files")
+
+
+@query("SELECT p_partkey AS part, p_name AS name FROM part WHERE contains(lower(p_name), 'small') AND contains(lower(p_name), 'ring')")
+def search_tokens(spark, d):
+    """P3."""
+    from cairn.functions.globs import token_match
+
+    return table(spark, d, "part").filter(token_match(F.col("p_name"), "ring SMALL")).select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
+
+
+@query(f"SELECT path FROM ({FILES}) WHERE regexp_matches(path, '(?i)^src1[0-3]/(en|de)/[^/]*1[^/][.]txt$') ORDER BY path LIMIT 100")
+def search_glob(spark, d):
+    """E3, P2."""
+    return text.search(files(spark, d), pattern="src1[0-3]/{en,de}/*1?.txt").select("path")
+
+
+@query(f"""
+    WITH f AS ({FILES}), p AS (SELECT path FROM f), u AS (
+        SELECT 0 AS ord, 'file' AS kind, path, '' AS name FROM p WHERE contains(lower(path), 'src1') AND contains(lower(path), 'en')
+        UNION ALL SELECT 1, 'directory', path, '' FROM (SELECT DISTINCT source AS path FROM f UNION SELECT DISTINCT source || '/' || lang FROM f) WHERE contains(lower(path), 'src1') AND contains(lower(path), 'en')
+    ) SELECT CAST(ord AS INTEGER) AS ord, kind, path, name FROM u ORDER BY ord, path, name LIMIT 1000000
+""")
+def search_all_kinds(spark, d):
+    """E3, U1."""
+    rows = files(spark, d).select("path")
+    return text.search(rows, text.directories(rows), pattern="src1 EN", limit=1_000_000)
+
+
+@query(f"WITH f AS ({FILES}) SELECT DISTINCT source || '/' || lang AS path, '- ' || source || '/' || lang || '/' AS entry FROM f UNION SELECT DISTINCT source, '- ' || source || '/' FROM f")
+def tree_depth(spark, d):
+    """E2, P9."""
+    return text.tree(files(spark, d).select("path"), ".", 2)
+
+
+@query(f"""
+    WITH f AS ({FILES}), q(request) AS (VALUES ('src0/en/0'), ('./src0/en/0.txt/'), ('src0/en'), ('src0/en/00'), ('src0\\en\\1.txt'), ('  '), ('nowhere/x')),
+    n AS (SELECT request, CASE request WHEN './src0/en/0.txt/' THEN 'src0/en/0.txt' WHEN 'src0\\en\\1.txt' THEN 'src0/en/1.txt' WHEN '  ' THEN '.' ELSE request END AS value FROM q),
+    k AS (SELECT n.*, CASE WHEN value IN (SELECT path FROM f) THEN 'file' WHEN value IN (SELECT source || '/' || lang FROM f UNION SELECT source FROM f) OR value = '.' THEN 'directory' END AS kind FROM n),
+    s AS (SELECT request, count(*) AS c, min(path) AS one FROM k JOIN f ON starts_with(path, value || '.') AND regexp_replace(path, '/[^/]*$', '') = regexp_replace(value, '/[^/]*$', '') GROUP BY request)
+    SELECT k.request, CASE WHEN kind IS NULL AND c = 1 THEN one ELSE value END AS path, kind IS NOT NULL OR coalesce(c = 1, false) AS found,
+           CASE WHEN kind IS NULL AND c = 1 THEN 'file' ELSE kind END AS kind, CASE WHEN kind IS NULL AND c = 1 THEN value END AS resolved_from
+    FROM k LEFT JOIN s USING (request)
+""".replace("\\\\", "\\"))
+def resolve_exact_or_ext(spark, d):
+    """R5, R6, R8, P10."""
+    rows = files(spark, d).select("path")
+    asked = spark.createDataFrame([(x,) for x in ("src0/en/0", "./src0/en/0.txt/", "src0/en", "src0/en/00", "src0\\en\\1.txt", "  ", "nowhere/x")], "request string")
+    return resolve.resolve_paths(asked, rows, text.directories(rows)).select("request", "path", "found", "kind", "resolved_from")
+
+
+@query(f"""
+    WITH f AS ({FILES}), q(request, dir, own) AS (VALUES ('src0/en/10x.md', 'src0/en', '10x'), ('src2/fr/missing', 'src2/fr', 'missing')),
+    p AS (SELECT request, path, row_number() OVER (PARTITION BY request ORDER BY path) AS n FROM q JOIN f ON source || '/' || lang = dir
+          WHERE contains(CAST(doc_id AS VARCHAR), own) OR contains(own, CAST(doc_id AS VARCHAR)) OR levenshtein(own, CAST(doc_id AS VARCHAR)) <= 2)
+    SELECT q.request, coalesce(string_agg(path, '|' ORDER BY path) FILTER (WHERE n <= 10), '') AS suggestions FROM q LEFT JOIN p USING (request) GROUP BY q.request
+""")
+def suggest_similar(spark, d):
+    """R7, O7."""
+    rows = files(spark, d).select("path")
+    asked = spark.createDataFrame([("src0/en/10x.md",), ("src2/fr/missing",)], "request string")
+    return resolve.resolve_paths(asked, rows, text.directories(rows)).select("request", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@query(f"""
+    WITH f AS ({FILES}), c AS (SELECT doc_id AS request, unnest(['src0', 'src1', 'src2', 'src3']) AS s, unnest([0, 1, 2, 3]) AS rank, lang FROM f)
+    SELECT request, arg_min(f.path, rank) AS path FROM c JOIN f ON f.path = c.s || '/' || c.lang || '/' || c.request || '.txt' GROUP BY request
+""")
+def ranked_candidate_resolution(spark, d):
+    """The first existing of ranked candidates."""
+    rows = table(spark, d, "documents").filter("source is not null and lang is not null and doc_id is not null")
+    tried = [F.concat(F.lit(f"src{k}/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")) for k in range(4)]
+    return resolve.first_existing(rows.select(F.col("doc_id").alias("request"), F.array(*tried).alias("candidates")), files(spark, d))
+
+
+@query(f"""
+    WITH f AS ({FILES}) SELECT source || '/' || lang AS grp,
+        coalesce(min(path) FILTER (WHERE doc_id % 10 = 3), min(path) FILTER (WHERE NOT contains(path, '1')), min(path)) AS path FROM f GROUP BY 1
+""")
+def go_representative(spark, d):
+    """R4."""
+    p = F.col("path")
+    return resolve.representatives(files(spark, d), F.regexp_extract(p, "^(.*)/", 1), p.rlike(r"3\.txt$"), F.contains(p, F.lit("1")))
+
+
+@query(f"""
+    SELECT path, regexp_matches(path, '(^|/)(tests?|__tests__)/') AS is_test FROM ({FILES})
+""")
+def test_paths(spark, d):
+    """P8."""
+    return files(spark, d).select("path", is_test(F.col("path")).alias("is_test"))
+
+
+@query(r"""
+    SELECT event_type AS kind, 'a.ts|b|src/x.ts' AS paths, count(*) AS n FROM events GROUP BY event_type
+""")
+def path_list_parse(spark, d):
+    """P12."""
+    given = F.lit("./src/x.ts, b/\n/a.ts,,b")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")).select("kind", F.array_join(path_list(given), "|").alias("paths"), "n")
+
+
+@query("""
+    SELECT page_id, href, CAST(min(pos) AS INTEGER) AS pos FROM (
+        SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS pos FROM pages)
+    GROUP BY page_id, href
+""")
+def link_extract(spark, d):
+    """Links of a page, each at its first place."""
+    found = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("p", "href"))
+    return found.groupBy("page_id", "href").agg((F.min("p") + 1).alias("pos"))
+
+
+@query("""
+    SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag
+""")
+def symbol_extract_tags(spark, d):
+    """X8 in shape: names that a pattern finds in a text, and how often."""
+    found = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag"))
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+RULES = [("de", "German"), ("fr", "French"), ("en", "English"), ("src0", "First source"), ("src1", "Second source")]
+RULE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in RULES)
+
+
+@query(f"""
+    WITH r(arg, value) AS (VALUES {RULE_ROWS}), d AS (SELECT DISTINCT lang AS v FROM documents UNION SELECT DISTINCT source FROM documents)
+    SELECT string_agg(value, ',' ORDER BY value) AS tech, count(*) AS n FROM r WHERE arg IN (SELECT v FROM d)
+""")
+def detect_rules(spark, d):
+    """D1 to D12 in shape, P14, A6: rules whose argument is there."""
+    rows = table(spark, d, "documents")
+    there = rows.select(F.explode(F.array("lang", "source")).alias("arg")).distinct()
+    hit = spark.createDataFrame(RULES, "arg string, value string").join(there, "arg", "left_semi")
+    return hit.agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("tech"), F.count("*").alias("n"))
+
+
+@query("""
+    SELECT event_id, k AS name, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
+""")
+def manifest_json(spark, d):
+    """S5, P16."""
+    parsed = F.from_json("props", "map<string,string>")
+    return table(spark, d, "events").select("event_id", F.explode(parsed).alias("name", "value"))
+
+
+# --- change events -----------------------------------------------------------------------------------------------------
+
+CHANGES = """
+    SELECT CAST(user_id AS VARCHAR) AS path, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS event,
+           row_number() OVER (ORDER BY ts, event_id) AS seq, ts FROM events
+"""
+
+
+def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes; seq is the pair of time and id."""
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("event"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("seq"), F.date_trunc("hour", "ts").alias("hour"))
+
+
+@query(f"""
+    WITH c AS ({CHANGES}), g AS (SELECT path, coalesce(max(seq) FILTER (WHERE event = 'unlink'), 0) AS gone, max(seq) AS last FROM c GROUP BY path)
+    SELECT g.path, CASE WHEN any_value(gone) = any_value(last) THEN 'unlink' WHEN bool_or(event = 'add' AND seq > gone) THEN 'add' ELSE 'change' END AS event
+    FROM g JOIN c ON c.path = g.path GROUP BY g.path
+""")
+def dirty_state(spark, d):
+    """T1, T2, T9."""
+    return changes.pending(change_rows(spark, d))
+
+
+@query(f"WITH c AS ({CHANGES}) SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, CASE WHEN bool_or(event IN ('add', 'unlink')) THEN 'full' ELSE 'incremental' END AS action, count(DISTINCT path) AS paths FROM c GROUP BY 1")
+def refresh_policy(spark, d):
+    """T3."""
+    return changes.refresh_policy(change_rows(spark, d).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH")), "hour")
+
+
+@query("SELECT user_id AS key, arg_min(event_type, event_id) AS first_value FROM events GROUP BY user_id")
+def merge_first_wins(spark, d):
+    """A7."""
+    return changes.first_wins(table(spark, d, "events").withColumnRenamed("user_id", "key"), "key", "event_id", "event_type")
+
+
+@query("SELECT user_id AS key, arg_max(event_type, event_id) AS last_value FROM events GROUP BY user_id")
+def merge_last_wins(spark, d):
+    """A8."""
+    return changes.last_wins(table(spark, d, "events").withColumnRenamed("user_id", "key"), "key", "event_id", "event_type")
+
+
+@query("""
+    SELECT 'english' AS label, CASE WHEN bool_or(lang = 'en') THEN 'pass' ELSE 'fail' END AS status FROM documents
+    UNION ALL SELECT 'source 0', CASE WHEN bool_or(source = 'src0') THEN 'pass' ELSE 'warning' END FROM documents
+    UNION ALL SELECT 'latin', CASE WHEN bool_or(lang = 'la') THEN 'pass' ELSE 'warning' END FROM documents
+""")
+def doctor_checks(spark, d):
+    """E13, A5, A9."""
+    return changes.doctor(table(spark, d, "documents"), {"english": ("lang = 'en'", "fail"), "source 0": ("source = 'src0'", "warning"), "latin": ("lang = 'la'", "warning")})
+
+
+@query(f"WITH dep AS ({DEP}), f AS ({FILES}) SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM dep) AS edges, (SELECT count(*) FROM events) AS pending, (SELECT count(*) FROM events) = 0 AS fresh")
+def status_counts(spark, d):
+    """E11, T7, A4."""
+    counts = [rows.agg(F.count("*").alias(name)) for name, rows in (("files", files(spark, d)), ("edges", dep(spark, d)), ("pending", table(spark, d, "events")))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2])).withColumn("fresh", F.col("pending") == 0)
