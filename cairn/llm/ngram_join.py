@@ -36,6 +36,8 @@ TABLE_BITS = 24
 LEAST_FREQUENT = 16
 #: Signature rows or tokens of one range, which one task sorts.
 RANGE_ROWS = 2_000_000
+#: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
+LINEAR, BUCKET = 16, 8
 SMALL = 4  # sets below four tokens link with equal sets only
 
 
@@ -257,39 +259,63 @@ def best_per_node(pairs: DataFrame, most: int | None) -> DataFrame:
     return counted.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, comp) of the nodes that link with others; None if there are none."""
+def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of the nodes that link with others.
+
+    While the pairs between classes outnumber the signature rows, nodes meet in small random buckets of a signature, so
+    candidates stay linear while large groups unite; then, or where that finds no more links, all pairs that are left
+    between classes are checked.
+    """
     spark = shared.sparkSession
     centre = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node").alias("o"), "node", "n", "rest")).alias("y"))
     near = shared.alias("x").join(centre.select("sig", "y.*").alias("y"), "sig")
     near = near.filter((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent)).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
     checked = stored(verify(best_per_node(near, 2), sets, percent))
-    comps = None
-    for most in (4, 32, None, None, None, None):
-        links = checked.filter("linked")
-        if comps is not None:
-            names = comps
-            links = links.join(names.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(names.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            found = components(links.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-            moved = found.select(F.col("node").alias("old"), F.col("comp").alias("new"))
-            kept = comps.join(moved, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
-            fresh = found.join(comps.select("node"), "node", "left_anti").join(comps.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")
-            comps = stored(kept.unionByName(fresh))
-        else:
-            comps = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    comps, fruitless, exhaustive, turn = None, 0, 0, 0
+    while True:
+        comps = united(comps, checked.filter("linked"))
         release(spark)
         rows = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes"))
-        split = split.filter("classes > 1").select("sig", F.col("main.comp").alias("main"))
+        split = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("k").alias("members"))
+        split = stored(split.filter("classes > 1").select("sig", F.col("main.comp").alias("main"), "members", (F.col("members") - F.col("main.k")).alias("outside")))
+        work = split.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("outside")).alias("pairs")).first()
+        if not work["rows"]:
+            return comps
+        every = work["pairs"] <= LINEAR * work["rows"] or fruitless >= 2
         rows = rows.join(split, "sig")
-        met = rows.filter("comp <> main").alias("x").join(rows.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent))
+        if every:
+            most = (4, 32, None)[min(exhaustive, 2)]
+            exhaustive += 1
+            meet = F.col("x.sig") == F.col("y.sig")
+        else:
+            most, turn = 4, turn + 1
+            bucket = F.pmod(F.xxhash64(F.lit(turn), "sig", "node"), F.ceil(F.col("members") / BUCKET))
+            rows = rows.withColumn("bucket", bucket)
+            meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.bucket") == F.col("y.bucket"))
+        met = rows.filter("comp <> main").alias("x").join(rows.alias("y"), meet & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent))
         met = met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        known = checked.select("a", "b")
-        open_pairs = stored(best_per_node(met.join(known, ["a", "b"], "left_anti"), most))
+        open_pairs = stored(best_per_node(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), most))
         if open_pairs.isEmpty():
-            return comps
-        checked = stored(checked.withColumn("linked", F.lit(False)).unionByName(verify(open_pairs, sets, percent)))
-    return comps
+            if every:
+                return comps
+            fruitless += 1
+            checked = checked.withColumn("linked", F.lit(False))
+            continue
+        fresh = stored(verify(open_pairs, sets, percent))
+        fruitless = fruitless + 1 if fresh.filter("linked").isEmpty() else 0
+        checked = stored(checked.withColumn("linked", F.lit(False)).unionByName(fresh))
+
+
+def united(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after the links (a, b) have united classes."""
+    if comps is None:
+        return stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    links = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    found = components(links.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
+    moved = found.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    kept = comps.join(moved, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    fresh = found.join(comps.select("node"), "node", "left_anti").join(comps.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")
+    return stored(kept.unionByName(fresh))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
