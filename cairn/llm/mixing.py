@@ -135,10 +135,14 @@ def fit_rates(rows: DataFrame, shares: np.ndarray, *, steps: int = MOST_STEPS, t
     moves: list[np.ndarray] = []
     if budget > 0:
         metric = np.linalg.pinv(square + 1e-9 * np.trace(square) / n * np.eye(n), hermitian=True)
+        before = np.inf
         for _ in range(steps):
             off = now - shares * budget
-            if np.abs(off).max() <= tolerance * budget:
+            error = float(off @ metric @ off)
+            # met, or as near as nonnegative rates come
+            if np.abs(off).max() <= tolerance * budget or error >= 0.999 * before:
                 break
+            before = error
             moves.append(metric @ off)
             now, _ = domain_sums(rows, moves, n)
 
