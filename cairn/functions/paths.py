@@ -41,7 +41,7 @@ def extension(path: Column) -> Column:
 
 
 def is_text(path: Column) -> Column:
-    return ~extension(path).isin(BINARY_EXTENSIONS)
+    return ~extension(path).isin(list(BINARY_EXTENSIONS))
 
 
 def is_test(path: Column) -> Column:
