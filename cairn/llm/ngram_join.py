@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.components import components
-from cairn.llm.shared import keyed, release, stored
+from cairn.llm.shared import discard, keyed, release, stored
 from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, prefix_hash, span_hash, string_bytes, window_hash, words_of
 
 #: Bits of the frequent-token table (2 MB). It takes at most a sixteenth of them as tokens: the frequency bound rises with the corpus.
@@ -273,7 +273,8 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
     checked = stored(verify(best_per_node(near, 2), sets, percent))
     comps, fruitless, exhaustive, turn = None, 0, 0, 0
     while True:
-        comps = united(comps, checked.filter("linked"))
+        before, comps = comps, united(comps, checked.filter("linked"))
+        discard(before)
         release(spark)
         rows = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("k").alias("members"))
@@ -295,15 +296,16 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
         met = rows.filter("comp <> main").alias("x").join(rows.alias("y"), meet & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent))
         met = met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         open_pairs = stored(best_per_node(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), most))
+        discard(split)
         if open_pairs.isEmpty():
             if every:
                 return comps
             fruitless += 1
-            checked = checked.withColumn("linked", F.lit(False))
             continue
         fresh = stored(verify(open_pairs, sets, percent))
         fruitless = fruitless + 1 if fresh.filter("linked").isEmpty() else 0
-        checked = stored(checked.withColumn("linked", F.lit(False)).unionByName(fresh))
+        before, checked = checked, stored(checked.withColumn("linked", F.lit(False)).unionByName(fresh))
+        discard(before, fresh, open_pairs)
 
 
 def united(comps: DataFrame | None, links: DataFrame) -> DataFrame:
