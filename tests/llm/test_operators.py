@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import ngram_join, suffix_dedup
+from cairn.llm.components import components, spanning_stars
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
 from cairn.llm.mixing import mix_to_targets, mixture_rates
@@ -221,3 +222,31 @@ def test_url_rules(spark):
 def test_empty_tables(spark, run, tmp_path):
     documents(spark, [(1, "x")]).filter("doc_id > 1").write.parquet(str(tmp_path / "d"))
     assert run(spark.read.parquet(str(tmp_path / "d"))).count() == 0
+
+
+def test_contraction_matches_union_find():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(r.integers(1, 40))
+        u, v = r.integers(-20, 20, n), r.integers(-20, 20, n)
+        least = {}
+
+        def find(x):
+            while least.setdefault(x, x) != x:
+                x = least[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+        wanted = {x: find(x) for x in list(least) if find(x) != x}
+        assert dict(zip(*(x.tolist() for x in spanning_stars(u, v)))) == wanted
+
+
+def test_components_of_a_long_chain(spark):
+    n = 3000
+    order = list(range(1, n))
+    random.Random(5).shuffle(order)
+    edges = spark.createDataFrame([(k, k - 1) for k in order] + [(n + 1, n + 2), (7, 7)], "u bigint, v bigint").repartition(16)
+    found = {r["node"]: r["comp"] for r in components(edges).collect()}
+    assert found == {**dict.fromkeys(range(n), 0), n + 1: n + 1, n + 2: n + 1}
