@@ -1,0 +1,74 @@
+"""All matches of a pattern with their places (X10, X16), and blocks between braces (X11)."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+
+def matches(text: Column, pattern: str, groups: int = 1) -> Column:
+    """array<struct<off, g1, ..>>: every match in order, off counted from 0; groups that took no part are empty.
+
+    Each match starts where the one before ended and takes the gap as a group of its own, so the places follow from
+    lengths.
+    """
+    whole = F.lit(rf"\G((?s:.*?))({pattern})")
+    parts = [F.regexp_extract_all(text, whole, F.lit(k)) for k in range(1, groups + 3)]
+    names = ["gap", "all", *(f"g{k}" for k in range(1, groups + 1))]
+    zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, names)))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("offs"))
+
+    def step(acc, m):
+        off = acc["end"] + F.length(m["gap"])
+        return F.struct((off + F.length(m["all"])).alias("end"), F.array_append(acc["offs"], off).alias("offs"))
+
+    offs = F.aggregate(zipped, start, step)["offs"]
+    return F.zip_with(offs, zipped, lambda o, m: F.struct(o.alias("off"), *(m[f"g{k}"].alias(f"g{k}") for k in range(1, groups + 1))))
+
+
+def line_at(text: Column, off: Column) -> Column:
+    """The line, from 1 on, of a place counted from 0."""
+    return F.size(F.split(F.substring(text, F.lit(1), off), r"\r?\n", -1))
+
+
+def quoted(name: Column) -> Column:
+    """A pattern that fits the name alone."""
+    return F.regexp_replace(name, r"([.+?^${}()|\[\]\\*])", r"\\$1")
+
+
+def block_end(text: str, at: int) -> int | None:
+    """X11: the place of the brace that closes the one at `at`; strings and comments are not told apart."""
+    depth = 0
+    for found in re.compile("[{}]").finditer(text, at):
+        depth += 1 if found[0] == "{" else -1
+        if depth == 0:
+            return found.start()
+    return None
+
+
+def blocks(pattern: str, resume: bool):
+    """A column function: array<struct<name, start, open, head, body>> of the blocks that the pattern opens.
+
+    The pattern ends at the opening brace; its first group that took part is the name. With `resume`, the search goes on
+    behind each closed block, else behind the opening brace.
+    """
+    opener = re.compile(pattern, re.ASCII)
+
+    @pandas_udf("array<struct<name:string,start:int,open:int,head:string,body:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        def of(text):
+            out, at = [], 0
+            while text and (m := opener.search(text, at)):
+                at, end = m.end(), block_end(text, m.end() - 1)
+                if end is not None:
+                    out.append({"name": next(g for g in m.groups() if g), "start": m.start(), "open": m.end() - 1, "head": text[m.start() : m.end() - 1], "body": text[m.end() : end]})
+                    at = end + 1 if resume else at
+            return out
+
+        return texts.map(of)
+
+    return found
