@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import is_test, path_list
-from cairn.operators import changes, graph, resolve, text
+from cairn.operators import changes, graph, imports, resolve, symbols, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -440,3 +440,53 @@ def status_counts(spark, d):
     """E11, T7, A4."""
     counts = [rows.agg(F.count("*").alias(name)) for name, rows in (("files", files(spark, d)), ("edges", dep(spark, d)), ("pending", table(spark, d, "events")))]
     return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2])).withColumn("fresh", F.col("pending") == 0)
+
+
+# --- facts of source texts ---------------------------------------------------------------------------------------------
+
+#: The sources that a customer, an order (TypeScript) and a nation (Python) stand for; # is the key, @ the key it points at.
+CUSTOMER_SOURCE = "export const find# = (x) => {\n  return x;\n};\nexport class Customer# {\n  name() { return '#' }\n}\n"
+ORDER_SOURCE = "import { find@ as find, type Customer@ } from '../c/c@.js';\n\nexport function order#(x) {\n  return find(x);\n}\n"
+NATION_SOURCE = "from ..region.r@ import (\n    name,\n)\n"
+
+
+def sources(spark, d):
+    """(path, content) of sources that import one another as the keys point at one another."""
+    found = []
+    for name, path, key, ref, source in (("customer", "src/c/c#.ts", "c_custkey", "c_custkey", CUSTOMER_SOURCE), ("orders", "src/o/o#.ts", "o_orderkey", "o_custkey", ORDER_SOURCE), ("nation", "geo/nation/n#.py", "n_nationkey", "n_regionkey", NATION_SOURCE), ("region", "geo/region/r#.py", "r_regionkey", "r_regionkey", "name = #\n")):
+        own, other = F.col(key).cast("string"), F.col(ref).cast("string")
+        filled = F.replace(F.replace(F.lit(source), F.lit("#"), own), F.lit("@"), other)
+        found.append(table(spark, d, name).select(F.replace(F.lit(path), F.lit("#"), own).alias("path"), filled.alias("content")))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query("""
+    SELECT 'src/o/o' || o_orderkey || '.ts' AS src, 'src/c/c' || c_custkey || '.ts' AS dst, 'find' || c_custkey || ' as find,Customer' || c_custkey AS specifiers, 'ts' AS lang
+    FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT 'geo/nation/n' || n_nationkey || '.py', 'geo/region/r' || r_regionkey || '.py', 'name', 'py' FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
+def source_import_edges(spark, d):
+    """X1 to X4, X7, R1, R3, G1."""
+    rows = sources(spark, d)
+    return imports.import_edges(rows, rows.select("path")).withColumn("specifiers", F.array_join("specifiers", ","))
+
+
+@query("""
+    SELECT 'src/c/c' || c_custkey || '.ts' AS path, 'find' || c_custkey AS name, 'const' AS kind, false AS is_default, true AS exported, NULL AS container, 1 AS line FROM customer
+    UNION ALL SELECT 'src/c/c' || c_custkey || '.ts', 'Customer' || c_custkey, 'class', false, true, NULL, 4 FROM customer
+    UNION ALL SELECT 'src/c/c' || c_custkey || '.ts', 'name', 'method', false, false, 'Customer' || c_custkey, 5 FROM customer
+    UNION ALL SELECT 'src/o/o' || o_orderkey || '.ts', 'order' || o_orderkey, 'function', false, true, NULL, 3 FROM orders
+""")
+def source_symbols(spark, d):
+    """X8 to X11, X13."""
+    return symbols.symbols(sources(spark, d))
+
+
+@query("""
+    SELECT 'src/o/o' || o_orderkey || '.ts' AS path, 'order' || o_orderkey AS symbol, 'src/c/c' || c_custkey || '.ts' AS to_path, 'find' || c_custkey AS to_symbol, 4 AS line
+    FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def source_call_edges(spark, d):
+    """X12, X14 to X16."""
+    rows = sources(spark, d)
+    return symbols.call_edges(rows, imports.import_edges(rows, rows.select("path")), symbols.symbols(rows))
