@@ -3,9 +3,11 @@
 A softmax classifier over hashed words, fitted on rows of a labelled table, gives every document a posterior over the
 domains (the label's values). Document rates r >= 0 are then fitted so that the expected tokens of each domain,
 sum(r * tokens * posterior), match its target share of the token budget. The fit is projected-gradient least squares:
-each step is one distributed sum over all documents of as many numbers as there are domains; a document's rate follows
-from its own posterior and the short list of sums so far, so rates are never gathered. Residuals are measured in the
-metric of the domains' token matrix, in which the step length 1 is exact.
+a rate is 1 less the row's posterior times the sum of all moves so far, projected to 0 or more, so rates are never
+gathered. Distances between rates count by tokens: rows of one posterior move alike, however long they are. A move is the
+residual in the metric of the rows whose rate is above 0, for which step length 1 is exact, shortened where that overshoots;
+it takes one distributed sum over all documents. The fit ends where no move is left: the targets are met, or these are the
+nearest shares that nonnegative rates reach, and then a warning tells them.
 
 The classifier may see `fit_rows` labelled rows at most (by hash of the id); everything else covers all rows. Null and
 empty texts have no tokens, the prior as posterior and rate 1 (nothing pulls at them). Ties and repeated rows are
@@ -14,6 +16,8 @@ documents of their own. Labels of one id that disagree are all used. An empty ta
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,10 @@ from cairn.llm.textbytes import ALNUM, LOWER, U64, by_bytes, prefix_hash, span_h
 
 FEATURES = 1024
 FIT_ROWS = 8_192
-MOST_STEPS = 40
+#: Sums over all rows after which a fit that is not at its end is an error.
+MOST_STEPS = 400
+#: Weight of the distance from rate 1 against that from the targets. It only decides where the targets can't be met.
+SLACK = 1e-8
 
 
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,78 +101,110 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, id_col: str, text_col: s
     return given.mapInArrow(predict, f"{schema}, n_tokens bigint, posterior array<double>"), domains
 
 
-def token_matrix(batch: pa.RecordBatch) -> np.ndarray:
-    """Expected tokens of each row in each domain."""
-    p = np.asarray(pa.compute.list_flatten(batch.column(1))).reshape(batch.num_rows, -1)
-    return p * np.asarray(batch.column(0)).astype(float)[:, None]
+def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and posteriors of each row."""
+    p = np.asarray(pa.compute.list_flatten(batch.column("posterior"))).reshape(batch.num_rows, -1)
+    return np.asarray(batch.column("n_tokens")).astype(float), p
+
+
+def rates_after(tokens: np.ndarray, p: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Rates of rows from 1 by the sum of the moves; rows without tokens stay."""
+    return np.where(tokens > 0, np.maximum(0.0, 1.0 - p @ moved), 1.0)
 
 
-def rates_after(a: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates of rows after the projected steps so far, from 1."""
-    r = np.ones(len(a))
-    for move in moves:
-        r = np.maximum(0.0, r - a @ move)
-    return r
+def sums_of(tokens: np.ndarray, p: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """sum(tokens * rate * p), sum(tokens * rate^2), and sum(tokens * p p^T) over the rows whose rate is above 0."""
+    r = rates_after(tokens, p, moved)
+    t, q = tokens[r > 0], p[r > 0]
+    return np.concatenate(((tokens * r) @ p, [(tokens * r) @ r], ((q.T * t) @ q).reshape(-1)))
 
 
-def domain_sums(rows: DataFrame, moves: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """sum(r * a) and sum(a a^T) over all rows."""
+def domain_sums(rows: DataFrame, moved: np.ndarray) -> np.ndarray:
+    """sums_of all rows."""
+    size = len(moved) + 1 + len(moved) ** 2
 
     def run(batches):
-        total, square = np.zeros(n), np.zeros((n, n))
+        total = np.zeros(size)
         for batch in batches:
-            a = token_matrix(batch)
-            total += rates_after(a, moves) @ a
-            square += a.T @ a
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([square.reshape(-1).tolist()])], names=["total", "square"])
-
-    parts = rows.select("n_tokens", "posterior").mapInArrow(run, "total array<double>, square array<double>")
-    place = parts.select(F.posexplode(F.concat("total", "square")).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-    sums = np.zeros(n + n * n)
+            total += sums_of(*rows_of(batch), moved)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sums"])
+
+    parts = rows.select("n_tokens", "posterior").mapInArrow(run, "sums array<double>")
+    place = parts.select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    sums = np.zeros(size)
     for r in place.collect():
         sums[r["k"]] = r["v"]
-    return sums[:n], sums[n:].reshape(n, n)
+    return sums
+
 
+def fit_moves(sums, shares: np.ndarray, *, steps: int = MOST_STEPS, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sum of the moves, shares of the token budget after them, and whether these meet the targets.
 
-def fit_rates(rows: DataFrame, shares: np.ndarray, *, steps: int = MOST_STEPS, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
-    """rows with `rate`, and the expected share of each domain; rows has n_tokens and posterior."""
+    sums(moved) gives what domain_sums does. The moves minimise the dual of the least squares, which is convex, so every
+    end is the nearest point.
+    """
     n = len(shares)
-    now, square = domain_sums(rows, [], n)
-    budget = float(now.sum())
-    moves: list[np.ndarray] = []
-    if budget > 0:
-        metric = np.linalg.pinv(square + 1e-9 * np.trace(square) / n * np.eye(n), hermitian=True)
-        before = np.inf
-        for _ in range(steps):
-            off = now - shares * budget
-            error = float(off @ metric @ off)
-            # met, or as near as nonnegative rates come
-            if np.abs(off).max() <= tolerance * budget or error >= 0.999 * before:
+    moved = np.zeros(n)
+    found = sums(moved)
+    budget = float(found[:n].sum())
+    wanted = shares * budget
+    every = found[n + 1 :].reshape(n, n) * SLACK + 1e-12 * budget * np.eye(n)
+
+    def height(moved, found):
+        return found[n] / 2 + wanted @ moved + moved @ every @ moved / 2
+
+    done = 1
+    while True:
+        off = found[:n] - wanted - every @ moved
+        if np.abs(found[:n] - wanted).max() <= tolerance * budget:
+            return moved, found[:n] / budget, True
+        if np.abs(off).max() <= 0.1 * tolerance * budget:
+            return moved, found[:n] / budget, False
+        move = np.linalg.solve(found[n + 1 :].reshape(n, n) + every, off)
+        now, length = height(moved, found), 1.0
+        while True:
+            if done >= steps:
+                raise RuntimeError(f"rates not fitted after {steps} sums: shares {(found[:n] / budget).tolist()} for targets {shares.tolist()}")
+            tried, done = sums(moved + length * move), done + 1
+            ahead = tried[:n] - wanted - every @ (moved + length * move)
+            # lower, and where rounding hides that, not past the lowest point
+            if height(moved + length * move, tried) <= now - 1e-4 * length * (off @ move) or (length < 1 and abs(ahead @ move) <= 0.5 * (off @ move)):
                 break
-            before = error
-            moves.append(metric @ off)
-            now, _ = domain_sums(rows, moves, n)
+            length /= 4
+        moved, found = moved + length * move, tried
+
+
+def fit_rates(rows: DataFrame, shares: np.ndarray, **limits) -> tuple[DataFrame, np.ndarray]:
+    """rows with `rate`, and the expected share of each domain in the budget; rows has n_tokens and posterior.
+
+    Where no nonnegative rates meet the targets, the nearest shares are taken, with a warning.
+    """
+    moved, reached = np.zeros(len(shares)), np.zeros(len(shares))
+    if rows.agg(F.sum("n_tokens")).first()[0]:
+        moved, reached, met = fit_moves(lambda m: domain_sums(rows, m), shares, **limits)
+        if not met:
+            warnings.warn(f"no rates meet the targets {shares.tolist()}; the nearest shares are {reached.tolist()}", stacklevel=3)
 
     def run(batches):
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("n_tokens", "posterior")], names=["n_tokens", "posterior"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(token_matrix(own), moves))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(*rows_of(batch), moved))], names=[*batch.schema.names, "rate"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, rate double"), now / budget if budget > 0 else now
+    return rows.mapInArrow(run, f"{schema}, rate double"), reached
 
 
 def mixture_rates(docs: DataFrame, labelled: DataFrame, targets: dict, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list]:
     """(row, id, n_tokens, posterior, rate) of every row, and the domains. row is the place in the scan of docs.
 
-    targets maps domains to weights; a domain that it leaves out gets none.
+    targets maps domains to weights; a domain that it leaves out gets none. The rows' `shares` are those reached, by domain.
     """
     place = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found, domains = posteriors(place, labelled.select(F.col(f"`{label_id_col}`").alias("id_"), F.col(f"`{label_col}`").alias("label_")), id_col="id", text_col="text", label_id_col="id_", label_col="label_", fit_rows=fit_rows)
     weights = np.array([float(targets.get(d, 0.0)) for d in domains]) if domains else np.ones(1)
     if weights.sum() <= 0:
         weights = np.ones(len(weights))
-    rated, _ = fit_rates(stored(found), weights / weights.sum())
+    rated, reached = fit_rates(stored(found), weights / weights.sum())
+    rated.shares = reached.tolist()
     return rated, domains
 
 

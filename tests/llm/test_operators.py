@@ -11,7 +11,7 @@ from cairn.llm import ngram_join, suffix_dedup
 from cairn.llm.components import components, spanning_stars
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
-from cairn.llm.mixing import mix_to_targets, mixture_rates
+from cairn.llm.mixing import fit_rates, mix_to_targets, mixture_rates
 from cairn.llm.packing import END_ID, RANKS, Encoder, best_fit_decreasing, pack_documents
 from cairn.llm.sharding import shuffle_into_shards
 from cairn.llm.topk import exact_top_k
@@ -159,6 +159,25 @@ def test_rates_meet_the_targets(spark):
     assert mixed.columns == docs.columns and mixed.filter("text is null").count() == 1
 
 
+@pytest.mark.parametrize("high, longest, targets", [(0.95, 3, [0.4, 0.6]), (0.95, 3, [0.6, 0.4]), (0.5, 5, [0.51, 0.49])])
+def test_rates_meet_the_targets_beside_very_long_rows(spark, high, longest, targets):
+    r = random.Random(8)
+    rows = [(r.randint(20, 400), r.choice([0.05, 0.95]) if high > 0.5 else r.uniform(0.2, 0.5)) for _ in range(2000)] + [(200_000, high / 2 if high < 0.9 else high)] * longest
+    table = spark.createDataFrame([(n, [1 - p, p]) for n, p in rows], "n_tokens bigint, posterior array<double>")
+    rated, reached = fit_rates(table, np.array(targets))
+    out = rated.collect()
+    found = np.sum([np.array(x["posterior"]) * x["n_tokens"] * x["rate"] for x in out], axis=0) / sum(n for n, _ in rows)
+    assert len(out) == len(rows) and min(x["rate"] for x in out) >= 0
+    assert np.abs(found - targets).max() < 2e-4 and np.abs(reached - targets).max() < 2e-4
+
+
+def test_rates_out_of_reach_are_told(spark):
+    table = spark.createDataFrame([(10, [0.7, 0.3]), (30, [0.5, 0.5]), (0, [0.6, 0.4])], "n_tokens bigint, posterior array<double>")
+    with pytest.warns(UserWarning, match="nearest"):
+        rated, reached = fit_rates(table, np.array([0.1, 0.9]))
+    assert reached[0] == pytest.approx(reached[1], abs=0.01) and [x["rate"] for x in rated.filter("n_tokens <> 30").orderBy("n_tokens").collect()] == [1.0, 0.0]
+
+
 def test_shards_hold_every_row_once(spark, tmp_path):
     rows = some_texts(3, 101)
     documents(spark, rows).write.parquet(str(tmp_path / "d"))
