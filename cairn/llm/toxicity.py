@@ -8,6 +8,11 @@ mean value, fitted on labelled rows that the counts leave out.
 
 Counts come from every labelled row but those kept for the fit and the held-out rows. Null and empty texts have no
 expressions and get the score of a document without evidence. Rows with null or repeated ids are scored one by one.
+
+No n-gram is left out, however many there are. Up to MOST_NGRAMS of them the model is built by the driver and broadcast;
+beyond that it is a table, built by joins of orders, and the distinct words of the documents are joined to it by their
+n-grams. Their values are joined to the documents, those of the MOST_WORDS most common words by broadcast. Documents are
+then read twice and must read the same way again (a file scan), because a row's place in the scan joins its values to it.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import stored
+from cairn.llm.shared import discard, release, stored
 from cairn.llm.textbytes import LOWER, U64, by_bytes, prefix_hash, span_hash, string_bytes, words_of
 
 ORDER, POOLED = 7, 3
-#: Most n-grams of the model that is broadcast (16 bytes each); the count they need rises until they fit.
+#: Most n-grams of a model that is broadcast (16 bytes each); a larger one stays a table.
 MOST_NGRAMS = 1_500_000
+#: Words whose values are broadcast (16 bytes each) where the model is a table; the others are joined.
+MOST_WORDS = 250_000
 #: Labelled rows, at most, that fit the logistic function.
 FIT_ROWS = 40_000
 LETTERS = np.zeros(256, dtype=bool)
@@ -121,11 +128,14 @@ class Model:
         return total / (ends - starts + 1)
 
 
-def absolute_discount(counts: np.ndarray) -> float:
-    once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.3, once / max(1, once + 2 * twice)))
 
 
+def absolute_discount(counts: np.ndarray) -> float:
+    return discount_of(np.count_nonzero(counts == 1), np.count_nonzero(counts == 2))
+
+
 def build(table: pa.Table) -> Model:
     """Model from (key, c0, c1): counts of n-grams by class, of order 1 to ORDER."""
     key = np.asarray(table["key"])
@@ -175,6 +185,79 @@ def build(table: pa.Table) -> Model:
     return Model(*(np.concatenate(x) if x else np.zeros(0) for x in (keys, ratios, contexts, backoffs)))
 
 
+def build_table(counts: DataFrame) -> DataFrame:
+    """What build makes, as a table (key, ratio, backoff): a key's own ratio, and its backoff as a context."""
+    order = F.shiftright("key", 56)
+    both = F.col("c0") + F.col("c1")
+    sizes = {"c0": F.col("c0"), "c1": F.col("c1"), "both": both}
+    marks = [F.count_if(c == k).alias(f"{name}_{k}") for name, c in sizes.items() for k in (1, 2)]
+    known = {r["m"]: r for r in counts.groupBy(order.alias("m")).agg(F.sum(both).alias("total"), *marks).collect()}
+    lower, found, used = None, [], []
+    for m in range(1, ORDER + 1):
+        if m not in known:
+            break
+        d = {name: discount_of(known[m][f"{name}_1"], known[m][f"{name}_2"]) for name in sizes}
+        own = counts.filter(order == m)
+        if m == 1:
+            p = (both + 1) / (F.lit(known[m]["total"]) + 256)
+            lower = stored(own.select("key", p.alias("p0"), p.alias("p1")))
+            used.append(lower)
+            continue
+        top = F.lit((m - 1) << 56)
+        own = own.select("key", "c0", "c1", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)), 8).bitwiseOR(top).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << (8 * (m - 1))) - 1)).bitwiseOR(top).alias("suffix"))
+        low = lower.select(F.col("key").alias("suffix"), F.col("p0").alias("l0"), F.col("p1").alias("l1"))
+        if m <= POOLED:
+            contexts = own.groupBy("ctx").agg(F.sum(both).alias("s"), F.count("*").alias("kinds"))
+            p = F.greatest(both - d["both"], F.lit(0.0)) / F.col("s") + d["both"] * F.col("kinds") / F.col("s") * F.coalesce("l0", F.lit(1 / 256))
+            ps = [p.alias("p0"), p.alias("p1")]
+        else:
+            contexts = own.groupBy("ctx").agg(*(F.sum(f"c{k}").alias(f"s{k}") for k in (0, 1)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"kinds{k}") for k in (0, 1)))
+            gammas = [F.when(F.col(f"s{k}") > 0, F.greatest(d[f"c{k}"] * F.col(f"kinds{k}") / F.col(f"s{k}"), F.lit(1e-4))).otherwise(1.0).alias(f"g{k}") for k in (0, 1)]
+            contexts = stored(contexts.select("ctx", "s0", "s1", *gammas))
+            used.append(contexts)
+            found.append(contexts.select(F.col("ctx").alias("key"), F.lit(None).cast("double").alias("ratio"), (F.log("g1") - F.log("g0")).alias("backoff")))
+            ps = [(F.when(F.col(f"s{k}") > 0, F.greatest(F.col(f"c{k}") - d[f"c{k}"], F.lit(0.0)) / F.col(f"s{k}")).otherwise(0.0) + F.col(f"g{k}") * F.coalesce(f"l{k}", F.lit(1e-6))).alias(f"p{k}") for k in (0, 1)]
+        lower = stored(own.join(contexts, "ctx").join(low, "suffix", "left").select("key", *ps))
+        used.append(lower)
+        if m > POOLED:
+            ratio = F.log(F.greatest("p1", F.lit(1e-12))) - F.log(F.greatest("p0", F.lit(1e-12)))
+            found.append(lower.select("key", ratio.alias("ratio"), F.lit(None).cast("double").alias("backoff")))
+    if not found:
+        return counts.sparkSession.createDataFrame([], "key bigint, ratio double, backoff double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = stored(out.groupBy("key").agg(F.max("ratio").alias("ratio"), F.max("backoff").alias("backoff")))
+    discard(*used)
+    return out
+
+
+def joined_values(words: DataFrame, model: DataFrame) -> DataFrame:
+    """(h, n, value) of distinct words (w, h, word, n), w a number of the word: Model.word_values by joins with the table of build_table."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(1))
+            w = np.asarray(batch.column(0))
+            for order in range(POOLED, ORDER + 1):
+                word, key, at = grams(data, offsets[:-1], offsets[1:], order)
+                yield pa.RecordBatch.from_arrays([pa.array(w[word]), pa.array((at * 8 + order).astype(np.int32)), pa.array(key)], names=["w", "spot", "key"])
+
+    met = words.select("w", "word").mapInArrow(run, "w bigint, spot int, key bigint").join(model, "key").select("w", "spot", "ratio", "backoff").repartition("w")
+    # a key's ratio is for the place it ends at, its backoff for the next place at the next order
+    own = F.struct(F.col("spot").alias("spot"), F.col("ratio").alias("ratio"), F.lit(None).cast("double").alias("backoff"))
+    after = F.struct((F.col("spot") + 9).alias("spot"), F.lit(None).cast("double").alias("ratio"), F.col("backoff").alias("backoff"))
+    sides = met.select("w", F.explode(F.array(own, after)).alias("x")).select("w", "x.*").filter("ratio is not null or backoff is not null")
+    sides = sides.withColumns({"at": F.shiftright("spot", 3), "order": F.col("spot").bitwiseAND(F.lit(7))})
+    orders = range(POOLED + 1, ORDER + 1)
+    places = sides.groupBy("w", "at").agg(F.max(F.when(F.col("ratio").isNotNull(), F.struct("order", "ratio"))).alias("best"), *(F.sum(F.when(F.col("order") == m, F.col("backoff"))).alias(f"b{m}") for m in orders))
+    value = F.coalesce("best.ratio", F.lit(0.0))
+    for m in orders:
+        value = value + F.when(F.coalesce("best.order", F.lit(0)) < m, F.coalesce(f"b{m}", F.lit(0.0))).otherwise(0.0)
+    totals = places.groupBy("w").agg(F.sum(value).alias("total"))
+    return words.join(totals, "w", "left").select("h", "n", (F.coalesce("total", F.lit(0.0)) / (F.length("word") + 1)).alias("value"))
+
+
 def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5))
 
@@ -212,23 +295,40 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     counted = words.mapInArrow(run, "key bigint, c0 bigint, c1 bigint").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     top = stored(counted)
-    every = [top]
+    levels = []
     above = top
     for order in range(ORDER, 1, -1):
         mask = (1 << (8 * (order - 1))) - 1
         longer = above.filter(F.shiftright("key", 56) == order)
         below = longer.groupBy((F.col("key").bitwiseAND(F.lit(mask)) + F.lit((order - 1) << 56)).alias("key")).agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"))
-        below = below.unionByName(top.filter(F.shiftright("key", 56) == order - 1)).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        every.append(below.filter(F.lit(order > 1)))
+        below = stored(below.unionByName(top.filter(F.shiftright("key", 56) == order - 1)).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        levels.append(below)
         above = below
     out = top.filter(F.shiftright("key", 56) == ORDER)
-    for more in every[1:]:
+    for more in levels:
         out = out.unionByName(more)
+    out = stored(out)
+    discard(top, *levels)
     return out
 
 
+def highest_and_mean(row: np.ndarray, own: np.ndarray, rows: int) -> pa.Array:
+    f = np.zeros((rows, TOP + 1))
+    order = np.lexsort((-own, row))
+    row, own = row[order], own[order]
+    first = np.searchsorted(row, np.arange(rows))
+    count = np.bincount(row, minlength=rows)
+    for k in range(TOP):
+        has = count > k
+        f[has, k] = own[first[has] + k]
+    f[:, TOP] = np.bincount(row, own, minlength=rows) / np.maximum(count, 1)
+    return pa.array(f.tolist(), pa.list_(pa.float64()))
+
+
 def evidence(docs: DataFrame, model) -> DataFrame:
     """docs and f: the TOP highest values of a row's expressions and its mean value."""
+    if isinstance(model, DataFrame):
+        return joined_evidence(docs, model)
 
     def run(batches):
         known, value = np.zeros(0, U64), np.zeros(0)
@@ -243,21 +343,62 @@ def evidence(docs: DataFrame, model) -> DataFrame:
                 order = np.argsort(both)
                 known, value = both[order], np.concatenate((value, values))[order]
             own = value[np.searchsorted(known, h)]
-            f = np.zeros((batch.num_rows, TOP + 1))
-            order = np.lexsort((-own, row))
-            row, own = row[order], own[order]
-            first = np.searchsorted(row, np.arange(batch.num_rows))
-            count = np.bincount(row, minlength=batch.num_rows)
-            for k in range(TOP):
-                has = count > k
-                f[has, k] = own[first[has] + k]
-            f[:, TOP] = np.bincount(row, own, minlength=batch.num_rows) / np.maximum(count, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, highest_and_mean(row, own, batch.num_rows)], names=[*batch.schema.names, "f"])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
     return docs.mapInArrow(run, f"{schema}, f array<double>")
 
 
+def joined_evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """evidence by joins with the table of build_table."""
+    spark = docs.sparkSession
+
+    def words(batches):
+        for batch in by_bytes(batches, "text", 8_000_000):
+            data, _, start, end, h = distinct_words(batch.column(0))
+            distinct, one, n = np.unique(h, return_index=True, return_counts=True)
+            found = [data[s:e].tobytes() for s, e in zip(start[one], end[one])]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(found, pa.binary()), pa.array(n.astype(np.int64))], names=["h", "word", "n"])
+
+    vocabulary = stored(docs.select("text").mapInArrow(words, "h bigint, word binary, n bigint").groupBy("h", "word").agg(F.sum("n").alias("n")).withColumn("w", F.monotonically_increasing_id()))
+    values = stored(joined_values(vocabulary, model))
+    discard(vocabulary)
+    common = values.orderBy(F.desc("n"), "h").limit(MOST_WORDS).select("h", "value").toArrow()
+    h = np.asarray(common["h"]).view(U64)
+    order = np.argsort(h)
+    held = spark.sparkContext.broadcast((h[order], np.asarray(common["value"])[order]))
+    placed = docs.withColumn("place", F.monotonically_increasing_id())
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
+    if values.count() > len(h):
+
+        def others(batches):
+            for batch in by_bytes(batches, "text"):
+                _, row, _, _, h = distinct_words(batch.column(1))
+                _, met = find(held.value[0], h)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[~met])), pa.array(h[~met].view(np.int64))], names=["at", "h"])
+
+        pairs = placed.select("place", "text").mapInArrow(others, "at bigint, h bigint")
+        more = pairs.join(values.select("h", "value"), "h").groupBy("at").agg(F.collect_list("value").alias("more"))
+        placed = placed.join(more, F.col("place") == F.col("at"), "left").drop("at")
+    else:
+        placed = placed.withColumn("more", F.lit(None).cast("array<double>"))
+
+    def run(batches):
+        known, value = held.value
+        for batch in by_bytes(batches, "text"):
+            _, row, _, _, h = distinct_words(batch.column(batch.schema.get_field_index("text")))
+            at, met = find(known, h)
+            more = batch.column(batch.schema.get_field_index("more"))
+            lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(more), 0))
+            row = np.concatenate((row[met], np.repeat(np.arange(batch.num_rows), lengths)))
+            own = np.concatenate((value[at[met]], np.asarray(more.flatten())))
+            names = [c for c in batch.schema.names if c not in ("place", "more")]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, highest_and_mean(row, own, batch.num_rows)], names=[*names, "f"])
+
+    return placed.mapInArrow(run, f"{schema}, f array<double>")
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Ridge logistic weights, the intercept last; the rarer class weighs more, by the root of the ratio."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -279,19 +420,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")).filter("label_id is not null and toxic is not null").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, F.col("id") == F.col("label_id")).filter(remainder(F.col("id")) != 0)
     rows = stored(rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", (remainder(F.col("id")) == 4).alias("fit"), F.xxhash64("id").alias("o")))
-    counts = stored(gram_counts(word_counts(rows.filter("not fit"))))
-    sizes = {r["b"]: r["n"] for r in counts.groupBy(F.least(F.col("c0") + F.col("c1"), F.lit(1 << 20)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    least, total = 1, sum(sizes.values())
-    while total > MOST_NGRAMS:
-        total -= sizes.get(least, 0)
-        least += 1
-    model = build(counts.filter((F.col("c0") + F.col("c1") >= least) | (F.shiftright("key", 56) < 3)).toArrow())
-    held = spark.sparkContext.broadcast(model)
-    sample = evidence(rows.filter("fit").orderBy("o").limit(FIT_ROWS).select("text", "toxic"), held).select("toxic", "f").toArrow()
+    counts = gram_counts(word_counts(rows.filter("not fit")))
+    if counts.count() <= MOST_NGRAMS:
+        model = spark.sparkContext.broadcast(build(counts.toArrow()))
+    else:
+        model = build_table(counts)
+    discard(counts)
+    chosen = stored(rows.filter("fit").orderBy("o").limit(FIT_ROWS).select("text", "toxic"))
+    discard(rows)
+    sample = evidence(chosen, model).select("toxic", "f").toArrow()
+    discard(chosen)
+    release(spark)
     y = np.asarray(sample["toxic"]).astype(float)
     x = np.array(sample["f"].to_pylist()).reshape(len(y), TOP + 1)
     weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.zeros(TOP + 2)
-    return held, weights
+    return model, weights
 
 
 def score_documents(docs: DataFrame, model, weights: np.ndarray, *, text_col: str = "text") -> DataFrame:

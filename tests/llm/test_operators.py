@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import ngram_join, suffix_dedup
+from cairn.llm import ngram_join, suffix_dedup, toxicity
 from cairn.llm.components import components, spanning_stars
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
@@ -205,6 +205,24 @@ def test_toxic_words_are_learned(spark):
     assert np.mean([found[i] == t for i, t in marks]) > 0.97 and found[600] == found[601] == 0
 
 
+@pytest.mark.parametrize("most_words", [40, 100_000])
+def test_toxicity_does_not_depend_on_where_the_model_is_kept(spark, monkeypatch, tmp_path, most_words):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeéÉ") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 25))) + (" xyzzy" if i % 4 == 0 else "")) for i in range(300)] + [(300, None), (None, "xyzzy abc"), (7, "abc")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    found = []
+    for most in (10_000_000, 0):
+        monkeypatch.setattr(toxicity, "MOST_NGRAMS", most)
+        monkeypatch.setattr(toxicity, "MOST_WORDS", most_words, raising=False)
+        scored = score_documents(docs, *fit(docs, labels)).select("doc.*", "score").collect()
+        found.append(sorted((str(x["doc_id"]), str(x["text"]), x["score"]) for x in scored))
+    assert len(found[1]) == len(rows) and [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
+    assert [x[2] for x in found[1]] == pytest.approx([x[2] for x in found[0]], abs=1e-9)
+
+
 def test_decontaminate_cuts_spans(spark):
     docs = documents(spark, [(0, "x y The cat, sat on a mat z"), (1, "clean text"), (2, None)])
     items = spark.createDataFrame([("q", "the CAT sat"), ("r", ""), ("s", None)], "item_id string, text string")
