@@ -4,7 +4,9 @@ An expression is a word (letters; ASCII and Latin-1 capitals lower-cased). Each
 Kneser-Ney model of the top orders; below them both back off to counts pooled over the classes, so an expression that
 one class has not seen is smoothed by what all labelled text has. An expression's value is the difference of its two
 log-likelihoods over its length in bytes. A document's score is a logistic function of its highest values and of its
-mean value, fitted on labelled rows that the counts leave out.
+mean value, fitted on labelled rows that the counts leave out. Where these lack a class, the classes' prior odds and the
+highest values, as those of ORDER bytes, take its place; where the counted rows lack one too, only the prior odds do, and
+nothing is held for toxic.
 
 Counts come from every labelled row but those kept for the fit and the held-out rows. Null and empty texts have no
 expressions and get the score of a document without evidence. Rows with null or repeated ids are scored one by one.
@@ -414,12 +416,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w
 
 
+def prior_weights(clean: int, toxic: int, told_apart: bool) -> np.ndarray:
+    """Logistic weights without rows to fit them on, from the labelled rows of each class; told_apart: counts have both."""
+    odds = float(np.log((toxic + 0.5) / (clean + 0.5)))
+    if not told_apart:
+        return np.append(np.zeros(TOP + 1), min(odds, -1.0))
+    return np.array([ORDER / TOP] * TOP + [0.0, min(odds, 0.0)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(model, logistic weights) learned from labelled rows whose crc32(id) mod 5 is 1 to 3 (counts) and 4 (logistic)."""
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")).filter("label_id is not null and toxic is not null").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, F.col("id") == F.col("label_id")).filter(remainder(F.col("id")) != 0)
     rows = stored(rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", (remainder(F.col("id")) == 4).alias("fit"), F.xxhash64("id").alias("o")))
+    found = {(r["fit"], r["toxic"] > 0): r["n"] for r in rows.groupBy("fit", "toxic").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = ([found.get((part, label), 0) for part in (False, True)] for label in (False, True))
+    told_apart = clean[0] > 0 and toxic[0] > 0
     counts = gram_counts(word_counts(rows.filter("not fit")))
     if counts.count() <= MOST_NGRAMS:
         model = spark.sparkContext.broadcast(build(counts.toArrow()))
@@ -433,7 +446,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     release(spark)
     y = np.asarray(sample["toxic"]).astype(float)
     x = np.array(sample["f"].to_pylist()).reshape(len(y), TOP + 1)
-    weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.zeros(TOP + 2)
+    weights = fit_logistic(x, y) if told_apart and 0 < y.sum() < len(y) else prior_weights(sum(clean), sum(toxic), told_apart)
     return model, weights
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -223,6 +224,28 @@ def test_toxicity_does_not_depend_on_where_the_model_is_kept(spark, monkeypatch,
     assert [x[2] for x in found[1]] == pytest.approx([x[2] for x in found[0]], abs=1e-9)
 
 
+def remainder_of(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5
+
+
+@pytest.mark.parametrize("kept", [lambda i, toxic: False, lambda i, toxic: not toxic, lambda i, toxic: toxic])
+def test_no_row_is_toxic_without_labels_of_both_classes(spark, kept):
+    docs = documents(spark, [(i, f"some words {'xyzzy' if i % 3 == 0 else 'abc'}") for i in range(40)] + [(40, None)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40) if kept(i, i % 3 == 0)], "doc_id bigint, toxic int")
+    found = score_documents(docs, *fit(docs, labels)).collect()
+    assert len(found) == 41 and all(x["predicted"] == 0 and x["score"] < 0.5 for x in found)
+
+
+def test_toxic_words_are_learned_where_the_fit_rows_lack_a_class(spark):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" xyzzyq qqyzzx zyxqzy" if i % 5 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 5 == 0)) for i in range(400) if i % 5 or remainder_of(i) != 4]
+    docs = documents(spark, [*rows, (400, None)])
+    found = {x["doc"]["doc_id"]: x["predicted"] for x in score_documents(docs, *fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))).collect()}
+    assert np.mean([found[i] == int(i % 5 == 0) for i in range(400)]) > 0.95 and found[400] == 0
+
+
 def test_decontaminate_cuts_spans(spark):
     docs = documents(spark, [(0, "x y The cat, sat on a mat z"), (1, "clean text"), (2, None)])
     items = spark.createDataFrame([("q", "the CAT sat"), ("r", ""), ("s", None)], "item_id string, text string")
