@@ -33,10 +33,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class stays: the one with the smallest id. Rows without words stay."""
-    kept = jaccard_classes(docs).filter("rid = keeper").select(F.col("id").alias("kept_id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return first.unionByName(docs.filter("doc_id is null"))
+    """One row of each near-duplicate class stays: the one with the smallest id, nulls last. Rows without words stay.
+
+    Rows with repeated or null ids are rows of their own. docs must read the same way again (a file scan), because a
+    row's place in the scan joins its class to it.
+    """
+    placed = docs.withColumn("near_place", F.monotonically_increasing_id())
+    classes = jaccard_classes(placed, id_col="near_place").select("rid", F.col("component_id").alias("near_class"))
+    ids = placed.select("near_place", "doc_id").join(classes, F.col("near_place") == F.col("rid"))
+    kept = ids.groupBy("near_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_place")).alias("least"))
+    return placed.join(kept.select(F.col("least.near_place").alias("near_place")), "near_place", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

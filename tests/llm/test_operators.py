@@ -18,6 +18,7 @@ from cairn.llm.sharding import shuffle_into_shards
 from cairn.llm.topk import exact_top_k
 from cairn.llm.toxicity import fit, score_documents
 from cairn.llm.url_filter import judge_urls
+from corpus_pipeline import drop_near_copies
 
 
 def some_texts(seed: int, n: int):
@@ -246,6 +247,16 @@ def test_toxic_words_are_learned_where_the_fit_rows_lack_a_class(spark):
     assert np.mean([found[i] == int(i % 5 == 0) for i in range(400)]) > 0.95 and found[400] == 0
 
 
+def test_one_row_of_each_near_copy_stays(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (3, a + " more"), (7, b), (7, c), (9, c), (None, b + " end"), (None, "d e f g h i"), (None, "d e f g h i"), (None, None), (None, ""), (11, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = drop_near_copies(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert kept.columns == ["doc_id", "text"]
+    want = [(3, a + " more"), (7, b), (7, c), (None, "d e f g h i"), (None, None), (None, ""), (11, "")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 def test_decontaminate_cuts_spans(spark):
     docs = documents(spark, [(0, "x y The cat, sat on a mat z"), (1, "clean text"), (2, None)])
     items = spark.createDataFrame([("q", "the CAT sat"), ("r", ""), ("s", None)], "item_id string, text string")
