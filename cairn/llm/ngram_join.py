@@ -321,7 +321,12 @@ def united(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """(rid, id, n_shingles, component_id) of every row; rid is the id where ids are unique."""
+    """(rid, id, n_shingles, component_id) of every row; rid is the id where ids are unique.
+
+    SMALL and BANDS hold for links of 80 percent or more, so less is refused.
+    """
+    if not 80 <= percent <= 100:
+        raise ValueError(f"percent must be 80 to 100, not {percent}")
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
 

@@ -257,6 +257,11 @@ def test_one_row_of_each_near_copy_stays(spark, tmp_path):
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
 
 
+def test_shares_below_what_the_join_is_made_for_are_refused(spark):
+    with pytest.raises(ValueError, match="80"):
+        ngram_join.jaccard_classes(documents(spark, [(1, "x")]), percent=70)
+
+
 def test_decontaminate_cuts_spans(spark):
     docs = documents(spark, [(0, "x y The cat, sat on a mat z"), (1, "clean text"), (2, None)])
     items = spark.createDataFrame([("q", "the CAT sat"), ("r", ""), ("s", None)], "item_id string, text string")
