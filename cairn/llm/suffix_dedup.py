@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import keyed, release, stored
-from cairn.llm.textbytes import U64, by_bytes, mix, powers, prefix_hash, span_hash, string_bytes
+from cairn.llm.textbytes import U64, by_bytes, gram_hashes, mix, prefix_hash, span_hash, string_bytes
 
 GRAM = 36
 #: Keys of one range, which one task merges.
@@ -38,12 +38,6 @@ BATCH_BYTES = 1_000_000
 SHARD_BYTES = 1_000_000
 
 
-def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the `width` bytes from every place."""
-    n = len(h) - width
-    return mix((h[width:] - h[:n]) * powers(len(h), True)[:n])
-
-
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     """(row, first start, last start, anchor hash, stretch hash) of the batch; starts count from the row's beginning."""
     n = len(data)

@@ -26,32 +26,57 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * BASE)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+#: Hashes run over blocks of this many bytes, so the tables of powers stay small however long a text is.
+STRIDE = 1 << 16
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    name = "inverse" if inverse else "base"
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), INVERSE if inverse else BASE, dtype=U64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        _powers[name] = have
-    return have[:n]
+def _powers(base: U64) -> np.ndarray:
+    """base**0 .. base**STRIDE modulo 2**64."""
+    out = np.full(STRIDE + 1, base, dtype=U64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(out, out=out)
+    return out
+
+
+POWERS, INVERSES = _powers(BASE), _powers(INVERSE)
+
+
+def _strides(table: np.ndarray, blocks: int) -> np.ndarray:
+    """table's base**(STRIDE * k) for each of the blocks."""
+    out = np.full(blocks, table[STRIDE], dtype=U64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(out, out=out)
+    return out
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """h[i]: polynomial hash of data[:i]; see span_hash."""
     h = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(BYTE_VALUE[data] * powers(len(data)), out=h[1:])
+    for k, far in enumerate(_strides(POWERS, -(-len(data) // STRIDE))):
+        a, b = k * STRIDE, min((k + 1) * STRIDE, len(data))
+        np.cumsum(BYTE_VALUE[data[a:b]] * POWERS[: b - a], out=h[a + 1 : b + 1])
+        with np.errstate(over="ignore"):
+            h[a + 1 : b + 1] *= far
+        h[a + 1 : b + 1] += h[a]
     return h
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end], which depends on those bytes only."""
-    return mix((h[end] - h[start]) * powers(len(h), True)[start])
+    far = _strides(INVERSES, len(h) // STRIDE + 1)
+    return mix((h[end] - h[start]) * INVERSES[start % STRIDE] * far[start // STRIDE])
+
+
+def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` bytes from every place."""
+    n = max(0, len(h) - width)
+    out = h[width : width + n] - h[:n]
+    for k, far in enumerate(_strides(INVERSES, -(-n // STRIDE))):
+        part = out[k * STRIDE : (k + 1) * STRIDE]
+        part *= INVERSES[: len(part)] * far
+    return mix(out)
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +95,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece has at most `most` bytes of the column, or one row."""
     for batch in batches:
         i = batch.schema.get_field_index(column)

@@ -207,22 +207,87 @@ def test_toxic_words_are_learned(spark):
     assert np.mean([found[i] == t for i, t in marks]) > 0.97 and found[600] == found[601] == 0
 
 
-@pytest.mark.parametrize("most_words", [40, 100_000])
-def test_toxicity_does_not_depend_on_where_the_model_is_kept(spark, monkeypatch, tmp_path, most_words):
+def kneser_ney(words):
+    """value(word) by the definition; words has (bytes, count in class 0, count in class 1)."""
+    top, pooled = toxicity.ORDER, toxicity.POOLED
+    counts = {m: defaultdict(lambda: [0, 0]) for m in range(1, top + 1)}
+    for w, *c in words:
+        t = bytes([toxicity.START]) + w + bytes([toxicity.END])
+        for at in range(1, len(t)):
+            m = min(at + 1, top)
+            for k in (0, 1):
+                counts[m][t[at + 1 - m : at + 1]][k] += c[k]
+    for m in range(top - 1, 0, -1):
+        for g, c in counts[m + 1].items():
+            for k in (0, 1):
+                counts[m][g[1:]][k] += c[k] > 0
+
+    def discount(values):
+        values = list(values)
+        return min(0.95, max(0.3, values.count(1) / max(1, values.count(1) + 2 * values.count(2))))
+
+    def of_context(m, g, k):
+        return [(sum(c) if k is None else c[k]) for x, c in counts[m].items() if x[:-1] == g]
+
+    d_pooled = {m: discount(sum(c) for c in counts[m].values()) for m in range(1, pooled + 1)}
+    d = {(m, k): discount(c[k] for c in counts[m].values()) for m in counts for k in (0, 1)}
+
+    def shared(g):
+        m = len(g)
+        if m == 1:
+            return (sum(counts[1][g]) + 1) / (sum(map(sum, counts[1].values())) + 256)
+        inside = of_context(m, g[:-1], None)
+        return max(sum(counts[m][g]) - d_pooled[m], 0) / sum(inside) + d_pooled[m] * len(inside) / sum(inside) * shared(g[1:])
+
+    def weight(g, k):
+        inside = of_context(len(g) + 1, g, k)
+        return max(d[len(g) + 1, k] * sum(x > 0 for x in inside) / sum(inside), 1e-4) if sum(inside) else 1.0
+
+    def p(g, k):
+        m = len(g)
+        if m == pooled:
+            return shared(g)
+        total = sum(of_context(m, g[:-1], k))
+        return (max(counts[m][g][k] - d[m, k], 0) / total if total else 0) + weight(g[:-1], k) * p(g[1:], k)
+
+    def value(w):
+        t, total = bytes([toxicity.START]) + w + bytes([toxicity.END]), 0.0
+        for at in range(pooled, len(t)):
+            for m in range(min(at + 1, top), pooled, -1):
+                g = t[at + 1 - m : at + 1]
+                if g in counts[m]:
+                    total += np.log(p(g, 1)) - np.log(p(g, 0))
+                    break
+                if any(x[:-1] == g[:-1] for x in counts[m]):
+                    total += np.log(weight(g[:-1], 1)) - np.log(weight(g[:-1], 0))
+        return total / (len(w) + 1)
+
+    return value
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_toxicity_equals_kneser_ney_by_definition(spark, monkeypatch, small):
+    if small:
+        for name, n in (("BUCKET_WINDOWS", 5), ("BLOCK_WORDS", 20), ("ASKING", 2), ("MOST_WORDS", 15)):
+            monkeypatch.setattr(toxicity, name, n)
     r = random.Random(6)
-    words = ["".join(r.choice("abcdeéÉ") for _ in range(r.randint(1, 9))) for _ in range(150)]
-    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 25))) + (" xyzzy" if i % 4 == 0 else "")) for i in range(300)] + [(300, None), (None, "xyzzy abc"), (7, "abc")]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
-    found = []
-    for most in (10_000_000, 0):
-        monkeypatch.setattr(toxicity, "MOST_NGRAMS", most)
-        monkeypatch.setattr(toxicity, "MOST_WORDS", most_words, raising=False)
-        scored = score_documents(docs, *fit(docs, labels)).select("doc.*", "score").collect()
-        found.append(sorted((str(x["doc_id"]), str(x["text"]), x["score"]) for x in scored))
-    assert len(found[1]) == len(rows) and [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
-    assert [x[2] for x in found[1]] == pytest.approx([x[2] for x in found[0]], abs=1e-9)
+    words = ["".join(r.choice("abcdeéÉ") for _ in range(r.randint(1, 9))) for _ in range(90)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 25))) + (" xyzzy" if i % 4 == 0 else "")) for i in range(200)] + [(200, None), (None, "xyzzy abc"), (7, "abc")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)] + [(None, 1), (3, None), (9999, 1)], "doc_id bigint, toxic int")
+    flat = lambda w: w.encode().replace(b"\xc3", b"")
+    seen = defaultdict(lambda: [0, 0])
+    for i, t in rows:
+        if i is not None and i < 150 and remainder_of(i) not in (0, 4):
+            for w in set(re.findall("[a-zé]+", (t or "").lower())):
+                seen[flat(w)][i % 4 == 0] += 1
+    value = kneser_ney([(w, *c) for w, c in seen.items()])
+    out = score_documents(docs, *fit(docs, labels)).collect()
+    assert len(out) == len(rows) and out[0]["doc"].asDict().keys() == set(docs.columns)
+    for x in out:
+        mine = sorted((value(flat(w)) for w in set(re.findall("[a-zé]+", (x["doc"]["text"] or "").lower()))), reverse=True)
+        assert x["f"] == pytest.approx([*(mine + [0, 0, 0])[:3], np.mean(mine) if mine else 0], abs=1e-9)
+        assert 0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5)
 
 
 def remainder_of(doc_id):
