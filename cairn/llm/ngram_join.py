@@ -29,13 +29,14 @@ from pyspark.sql.window import Window
 
 from cairn.llm.components import components
 from cairn.llm.shared import discard, keyed, release, stored
-from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, prefix_hash, span_hash, string_bytes, window_hash, words_of
+from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, parts_of, prefix_hash, ranges_of, span_hash, string_bytes, window_hash, words_of
 
 #: Bits of the frequent-token table (2 MB). It takes at most a sixteenth of them as tokens: the frequency bound rises with the corpus.
 TABLE_BITS = 24
 LEAST_FREQUENT = 16
-#: Signature rows or tokens of one range, which one task sorts.
-RANGE_ROWS = 2_000_000
+#: Signature rows or tokens of one range, which one task sorts, and of what a task sends at once.
+RANGE_ROWS, SENT_ROWS = 500_000, 500_000
+MOST_BITS = 30
 #: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
 LINEAR, BUCKET = 16, 8
 SMALL = 4  # sets below four tokens link with equal sets only
@@ -132,7 +133,7 @@ def frequent_table(docs: DataFrame, width: int, seed: int, total: int) -> tuple[
 
     Tasks send (range, tokens, counts) blocks; one task for each range adds up the counts of its tokens.
     """
-    bits = min(20, power_of_two(total / (2 * RANGE_ROWS)))
+    bits = min(MOST_BITS, power_of_two(total / (2 * RANGE_ROWS)))
     shift = 32 - bits
 
     def send(batches):
@@ -140,16 +141,15 @@ def frequent_table(docs: DataFrame, width: int, seed: int, total: int) -> tuple[
 
         def flush():
             keys, counts = np.unique(np.concatenate(held) >> U64(shift), return_counts=True)
-            cut = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=U64) << U64(32))
-            rows = [(r, keys[a:b].astype(np.uint32), counts[a:b]) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            more = [np.flatnonzero(c > 1) for _, _, c in rows]
-            columns = [[r for r, _, _ in rows], [k.tobytes() for _, k, _ in rows], [k[m].tobytes() for (_, k, _), m in zip(rows, more)], [(c[m] - 1).astype(np.uint32).tobytes() for (_, _, c), m in zip(rows, more)]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["range", "once", "again", "extra"])
+            parts = list(parts_of((keys >> U64(32)).astype(np.int64)))
+            keys, more = keys.astype(np.uint32), [p[counts[p] > 1] for _, p in parts]
+            columns = [[keys[p].tobytes() for _, p in parts], [keys[m].tobytes() for m in more], [(counts[m] - 1).astype(np.uint32).tobytes() for m in more]]
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "once", "again", "extra"])
 
         for _, tokens in distinct_sets(batches, width, seed):
             held.append(tokens)
             n += len(tokens)
-            if n >= RANGE_ROWS:
+            if n >= SENT_ROWS:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -174,12 +174,17 @@ def frequent_table(docs: DataFrame, width: int, seed: int, total: int) -> tuple[
     keys = np.asarray(counted.filter(F.col("df") >= least).select("key").toArrow()["key"]).astype(U64)
     table = np.zeros(1 << TABLE_BITS, dtype=bool)
     table[mix(keys) >> U64(64 - TABLE_BITS)] = True
+    discard(counted)
     return np.packbits(table), shift
 
 
 def shared_signatures(docs: DataFrame, width: int, percent: int, seed: int, packed, shift: int, total: int) -> DataFrame:
-    """(sig, node, n, rest) of the signatures that two nodes or more have."""
-    bits = min(20, power_of_two(total * (100 - percent) / 100 / RANGE_ROWS))
+    """(sig, node, n, rest) of the signatures that two nodes or more have.
+
+    Of the nodes that a task sends of one signature, one goes to the signature's range; the others are known to share it
+    and are dealt out by node, so a signature of very many nodes does not gather in one range.
+    """
+    bits = min(MOST_BITS, power_of_two(total * (100 - percent) / 100 / RANGE_ROWS))
 
     def send(batches):
         table = np.unpackbits(packed.value).astype(bool)
@@ -187,44 +192,47 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, seed: int, pack
 
         def flush():
             sig, node, size, rest = (np.concatenate(x) for x in zip(*held))
-            where = (sig >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-            order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange((1 << bits) + 1))
-            rows = [(r, order[a:b]) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[o].tobytes() for _, o in rows], pa.binary()) for x in (sig, node, size, rest))], names=["range", "sig", "node", "n", "rest"])
+            order = np.lexsort((-rest, node, sig))
+            sig, node, size, rest = (x[order] for x in (sig, node, size, rest))
+            _, other, met = shared_runs(sig, node)
+            sig, node, size, rest = sig[other], node[other], size[other], rest[other]
+            met = met[other]
+            later = np.zeros(len(sig), dtype=bool)
+            later[1:] = sig[1:] == sig[:-1]
+            place = np.where(later, mix(sig ^ mix(node.view(U64))), sig)
+            parts = list(parts_of(ranges_of(place, bits)))
+            columns = [[x[p].tobytes() for _, p in parts] for x in (sig, node, size, rest, met)]
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "sig", "node", "n", "rest", "met"])
 
         for (node, _), tokens in distinct_sets(batches, width, seed):
             sig, rest = signatures(tokens, table, shift, percent)
             held.append((sig, np.full(len(sig), node, np.int64), np.full(len(sig), len(tokens), np.int32), rest.astype(np.int32)))
             n += len(sig)
-            if n >= RANGE_ROWS // 2:
+            if n >= SENT_ROWS:
                 yield flush()
                 held, n = [], 0
         if held:
             yield flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        sig, node, n, rest = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group[c]]) for c, kind in (("sig", U64), ("node", np.int64), ("n", np.int32), ("rest", np.int32)))
-        order = np.argsort(sig)
-        sig = sig[order]
-        same = np.zeros(len(sig), dtype=bool)
-        equal = sig[1:] == sig[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-        sig, order = sig[same], order[same]
-        node, n, rest = node[order], n[order], rest[order]
-        order = np.lexsort((-rest, node, sig))
-        sig, node, n, rest = sig[order], node[order], n[order], rest[order]
-        new = np.ones(len(sig), dtype=bool)  # tasks that hold the same set sent it more than once
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, n, rest = sig[new], node[new], n[new], rest[new]
-        many = np.zeros(len(sig), dtype=bool)
-        equal = sig[1:] == sig[:-1]
-        many[1:] |= equal
-        many[:-1] |= equal
-        return pa.table({"sig": signed(sig[many]), "node": node[many], "n": n[many], "rest": rest[many]})
-
-    return docs.mapInArrow(send, "range int, sig binary, node binary, n binary, rest binary").groupBy("range").applyInArrow(meet, "sig bigint, node bigint, n int, rest int")
+        sig, node, n, rest, met = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group[c]]) for c, kind in (("sig", U64), ("node", np.int64), ("n", np.int32), ("rest", np.int32), ("met", bool)))
+        order = np.lexsort((~met, -rest, node, sig))
+        sig, node, n, rest, met = sig[order], node[order], n[order], rest[order], met[order]
+        run, new, many = shared_runs(sig, node)
+        known = np.bincount(run, met, minlength=run[-1] + 1 if len(run) else 0)[run] > 0
+        keep = new & (many | known)
+        return pa.table({"sig": signed(sig[keep]), "node": node[keep], "n": n[keep], "rest": rest[keep]})
+
+    return docs.mapInArrow(send, "range int, sig binary, node binary, n binary, rest binary, met binary").groupBy("range").applyInArrow(meet, "sig bigint, node bigint, n int, rest int")
+
+
+def shared_runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by (sig, node): the run of equal signatures, the first row of each node in it, and runs of two nodes or more."""
+    begin, new = np.ones(len(sig), dtype=bool), np.ones(len(sig), dtype=bool)
+    begin[1:] = sig[1:] != sig[:-1]
+    new[1:] = begin[1:] | (node[1:] != node[:-1])  # tasks that hold the same set sent it more than once
+    run = np.cumsum(begin) - 1
+    return run, new, np.bincount(run, new)[run] > 1 if len(run) else np.zeros(0, bool)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,6 +289,7 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
         split = stored(split.filter("classes > 1").select("sig", F.col("main.comp").alias("main"), "members", (F.col("members") - F.col("main.k")).alias("outside")))
         work = split.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("outside")).alias("pairs")).first()
         if not work["rows"]:
+            discard(split, checked)
             return comps
         every = work["pairs"] <= LINEAR * work["rows"] or fruitless >= 2
         rows = rows.join(split, "sig")
@@ -298,7 +307,9 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
         open_pairs = stored(best_per_node(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), most))
         discard(split)
         if open_pairs.isEmpty():
+            discard(open_pairs)
             if every:
+                discard(checked)
                 return comps
             fruitless += 1
             continue
@@ -344,6 +355,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         nodes = stored(measured.filter("n > 0").groupBy("node").agg(F.min("rid").alias("rep"), F.min("second").alias("low"), F.max("second").alias("high"), F.first("n").alias("n")))
         if nodes.filter("low <> high").isEmpty():
             break
+        discard(measured, nodes)
+    else:
+        raise RuntimeError("eight seeds in a row made two sets share 64 bits")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     packed, shift = frequent_table(rows, width, seed, total)
     release(spark)
@@ -358,8 +372,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     sets = stored(rows.join(wanted, "rid").select("node", "text").mapInArrow(tokens, "node bigint, tokens binary"))
+    discard(nodes)
     release(spark)
     comps = links_between_nodes(shared, sets, percent)
+    discard(shared, sets)
     named = measured.join(comps, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     least = named.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least"))
     return named.join(least, "class", "left").select("rid", "id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.coalesce("least.rid", "rid").alias("keeper"))

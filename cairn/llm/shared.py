@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one beside the warehouse in a local session without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
@@ -57,7 +60,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bad = ids.filter((F.col("n") > 1) | F.col("id").isNull()).limit(1).count()
     if not bad:
         return rows.select(F.col("id").alias("rid"), "id", "text")
-    order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    # equal rows are interchangeable: their place in the scan parts them, so that many of them are not one task's
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first(), F.col("at").asc()]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stored(ranged.select(F.monotonically_increasing_id().alias("rid"), "id", "text"))

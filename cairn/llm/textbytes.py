@@ -108,6 +108,19 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_0
             start = end
 
 
+def ranges_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each 64-bit key, by its highest bits."""
+    return (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def parts_of(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places in order) of every value in where."""
+    order = np.argsort(where, kind="stable")
+    heads = np.flatnonzero(np.diff(where[order], prepend=np.iinfo(np.int64).min))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+        yield int(where[order[a]]), order[a:b]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of word bytes that do not cross rows: starts, ends, and the first word of each row (len+1)."""
     n = len(data)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import discard, release, stored
-from cairn.llm.textbytes import LOWER, U64, by_bytes, mix, prefix_hash, span_hash, string_bytes, words_of
+from cairn.llm.textbytes import LOWER, U64, by_bytes, mix, parts_of, prefix_hash, span_hash, string_bytes, words_of
 
 ORDER, POOLED = 7, 3
 #: Windows of one bucket (16 bytes each) and words of one block, on average.
@@ -228,12 +228,9 @@ def windows_by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held], axis=1))
-            where = bucket_of(keys, buckets)
-            order = np.argsort(where, kind="stable")
-            heads = np.flatnonzero(np.diff(where[order], prepend=-2))
-            parts = [order[a:b] for a, b in zip(heads, [*heads[1:], len(order)])]
-            columns = [[binary(keys[p], *counts[:, p].astype(np.uint32))[i] for p in parts] for i in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array([where[p[0]] for p in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "windows", "c0", "c1"])
+            parts = list(parts_of(bucket_of(keys, buckets)))
+            columns = [[x[p].tobytes() for _, p in parts] for x in (keys, *counts.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "windows", "c0", "c1"])
 
         for batch in by_bytes(batches, "text", PIECE):
             label = np.asarray(batch.column(1)).astype(np.int64) > 0
@@ -380,8 +377,7 @@ def word_values(blocks: DataFrame, counts: Counts) -> DataFrame:
         for batch in batches:
             for block, words, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 windows = block_windows(words, sizes)[-1]
-                where = bucket_of(windows, buckets)
-                parts = [(b, windows[where == b]) for b in np.unique(where).tolist()]
+                parts = [(b, windows[p]) for b, p in parts_of(bucket_of(windows, buckets))]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([block % copies] * len(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([w.tobytes() for _, w in parts], pa.binary())], names=["bucket", "copy", "block", "windows"])
 
     def answer(have: pa.Table, asked: pa.Table) -> pa.Table:
