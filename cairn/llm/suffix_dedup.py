@@ -14,6 +14,10 @@ same one. Strings are judged on the input and never cross documents.
    search, which finds the first start over all shards.
 4. Removed starts go back to the documents as intervals.
 
+Strings of one document and shard are compared byte by byte (in the suffix array); across tasks and shards they are equal
+where 64 bits of hash over all their bytes and 64 more over their first half agree (for a stretch: over its anchor and
+all its bytes). Bytes are not compared again there.
+
 Copies of one document weigh little: a task keeps one place for each stretch, and joins the others to intervals at once.
 Null and empty texts lose nothing. Rows with repeated or null ids are documents of their own, ordered by id (null last)
 and text. An empty table gives no rows. Extra columns of the input are not looked at.
@@ -26,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import keyed, release, stored
-from cairn.llm.textbytes import U64, by_bytes, gram_hashes, mix, prefix_hash, span_hash, string_bytes
+from cairn.llm.shared import discard, keyed, release, stored
+from cairn.llm.textbytes import U64, by_bytes, gram_hashes, mix, parts_of, prefix_hash, ranges_of, span_hash, string_bytes
 
 GRAM = 36
-#: Keys of one range, which one task merges.
-RANGE_KEYS = 500_000
+#: Keys of one range, which one task merges, and of what a task sends at once.
+RANGE_KEYS, SENT_KEYS = 250_000, 250_000
+MOST_BITS = 30
 #: Bytes of text that a task hashes at once.
 BATCH_BYTES = 1_000_000
 #: Bytes of one suffix array.
@@ -92,32 +97,40 @@ def unpacked(table: pa.Table, kinds: dict) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]] or [np.zeros(0, kind)]) for name, kind in kinds.items()]
 
 
-KEYS = {"one": U64, "two": U64, "rid": np.int64, "a": np.int32, "b": np.int32}
+KEYS = {"one": U64, "two": U64, "rid": np.int64, "a": np.int32, "b": np.int32, "met": bool}
 DONE = {"drid": np.int64, "da": np.int32, "db": np.int32}
 BLOCK = "range int, " + ", ".join(f"{c} binary" for c in (*KEYS, *DONE))
 #: kind 0: starts to remove; kind 1: the first place of a stretch whose anchor others share.
 FOUND = "kind int, rid bigint, a int, b int"
 
 
-def keyed_block(one, two, rid, a, b, bits: int, later=None) -> pa.RecordBatch:
-    """The first place of each (one, two), by range of one; other places, and later ones, as intervals spread over the ranges."""
+def keyed_block(one, two, rid, a, b, bits: int, later=None, anchors: bool = False) -> pa.RecordBatch:
+    """The first place of each (one, two), by range of one; other places, and later ones, as intervals spread over the ranges.
+
+    anchors: keys with one `one` are looked at together. Where the block has several of them, one goes to the range of
+    `one`; the others are known to share it (met) and go by both keys, so that no anchor gathers in one range.
+    """
     order, head = first_of_groups((one, two), (rid, a))
     first, other = order[head], order[~head]
     gone = [rid[other], a[other], b[other]]
     if later is not None:
         gone = [np.concatenate(x) for x in zip(gone, later)]
     drid, da, db = joined(*gone)
-    ranges = np.arange(1 << bits)
-    where = (one[first] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
-    spread = (mix(drid.astype(U64)) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(drid), np.int64)
-    by = np.argsort(spread, kind="stable")
-    cut, done = np.searchsorted(where, np.append(ranges, 1 << bits)), np.searchsorted(spread[by], np.append(ranges, 1 << bits))
-    rows = [r for r in ranges if cut[r + 1] > cut[r] or done[r + 1] > done[r]]
-    columns = {"one": one[first], "two": two[first], "rid": rid[first], "a": a[first].astype(np.int32), "b": b[first].astype(np.int32)}
-    rest = {"drid": drid[by], "da": da[by].astype(np.int32), "db": db[by].astype(np.int32)}
+    place, met = one[first], np.zeros(len(first), dtype=bool)
+    if anchors:
+        again = np.zeros(len(first), dtype=bool)
+        again[1:] = place[1:] == place[:-1]
+        met[1:] |= again[1:]
+        met[:-1] |= again[1:]
+        place = np.where(again, mix(place ^ mix(two[first])), place)
+    keys = dict(parts_of(ranges_of(place, bits)))
+    done = dict(parts_of(ranges_of(mix(drid.astype(U64)), bits)))
+    rows, none = sorted(keys.keys() | done.keys()), np.zeros(0, np.int64)
+    columns = {"one": one[first], "two": two[first], "rid": rid[first], "a": a[first].astype(np.int32), "b": b[first].astype(np.int32), "met": met}
+    rest = {"drid": drid, "da": da.astype(np.int32), "db": db.astype(np.int32)}
     arrays = [pa.array(rows, pa.int32())]
-    arrays += [pa.array([c[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary()) for c in columns.values()]
-    arrays += [pa.array([c[done[r] : done[r + 1]].tobytes() for r in rows], pa.binary()) for c in rest.values()]
+    for parts, group in ((keys, columns), (done, rest)):
+        arrays += [pa.array([c[parts.get(r, none)].tobytes() for r in rows], pa.binary()) for c in group.values()]
     return pa.RecordBatch.from_arrays(arrays, names=["range", *columns, *rest])
 
 
@@ -128,15 +141,14 @@ def found_table(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) ->
 
 def unite_stretches(group: pa.Table) -> pa.Table:
     """One range of (anchor, stretch) keys: later places of equal stretches, and first places that share an anchor."""
-    one, two, rid, a, b = unpacked(group, KEYS)
+    one, two, rid, a, b, met = unpacked(group, KEYS)
     done = unpacked(group, DONE)
     order, head = first_of_groups((one, two), (rid, a))
     first, other = order[head], order[~head]
     anchors = one[first]
-    shared = np.zeros(len(first), dtype=bool)
-    same = anchors[1:] == anchors[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
+    met = np.bincount(np.cumsum(head) - 1, met[order], minlength=len(first))
+    run = np.cumsum(np.concatenate(([True], anchors[1:] != anchors[:-1]))) - 1 if len(first) else np.zeros(0, np.int64)
+    shared = (np.bincount(run)[run] > 1) | (np.bincount(run, met)[run] > 0) if len(first) else np.zeros(0, bool)
     edge = first[shared]
     return found_table([(0, *done), (0, *joined(rid[other], a[other], b[other])), (1, rid[edge], a[edge], b[edge])])
 
@@ -257,7 +269,7 @@ def merge_shards(group: pa.Table) -> pa.Table:
     """One range of string keys: the sorted lists of all shards merged pair by pair; every start but the first is removed."""
     lists = []
     for i in range(group.num_rows):
-        one, two, rid, a, _ = unpacked(group.slice(i, 1), KEYS)
+        one, two, rid, a, _, _ = unpacked(group.slice(i, 1), KEYS)
         lists.append((one, two, rid, a))
     parts = [(0, *unpacked(group, DONE))]
     while len(lists) > 1:
@@ -283,13 +295,13 @@ def by_shard(batches, most: int):
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """(rid, a, b): intervals of starts of strings that start earlier too; docs has (rid, text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(0, int(np.ceil(np.log2(max(1.0, total / 33 / RANGE_KEYS))))))
+    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, total / 33 / RANGE_KEYS))))))
 
     def send(batches):
         held, n = [], 0
 
         def flush():
-            return keyed_block(*(np.concatenate(x) for x in zip(*held)), bits)
+            return keyed_block(*(np.concatenate(x) for x in zip(*held)), bits, anchors=True)
 
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             data, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -297,7 +309,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             rid = np.asarray(batch.column(batch.schema.get_field_index("rid"))).astype(np.int64)
             held.append((one, two, rid[row], a, b))
             n += len(row)
-            if n >= RANGE_KEYS:
+            if n >= SENT_KEYS:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -321,9 +333,10 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             text = [data[s:e].tobytes() for s, e in zip(offsets[row] + a, offsets[row] + b + length)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rid")).take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(text, pa.binary())], names=["rid", "a", "text"])
 
-    texts = docs.join(places, "rid").select("rid", "text", "places").mapInArrow(cut, "rid bigint, a int, text binary")
+    texts = stored(docs.join(places, "rid").select("rid", "text", "places").mapInArrow(cut, "rid bigint, a int, text binary"))
+    release(docs.sparkSession)
     tasks = max(1, -(-size // SHARD_BYTES))
-    bits = min(20, max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_KEYS))))))
+    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_KEYS))))))
 
     def sort_shard(batches):
         for table in by_shard(batches, SHARD_BYTES):
@@ -333,7 +346,9 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             yield keyed_block(one, two, doc, start, start, bits, (later_doc, later, later))
 
     merged = texts.repartition(tasks, F.xxhash64("rid", "a")).mapInArrow(sort_shard, BLOCK).groupBy("range").applyInArrow(merge_shards, FOUND)
-    return stored(found.filter("kind = 0").select("rid", "a", "b").unionByName(merged.select("rid", "a", "b")))
+    starts = stored(found.filter("kind = 0").select("rid", "a", "b").unionByName(merged.select("rid", "a", "b")))
+    discard(found, texts)
+    return starts
 
 
 SPANS = "array<struct<start: bigint, end: bigint>>"
