@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import discard, stored
 
-#: Edges that a task holds and contracts at a time.
-HELD = 1_000_000
+#: Edges that a task holds and contracts at a time, and so few that one task contracts them all.
+HELD, FEW = 1_000_000, 200_000
 
 
 def is_star_forest(edges: DataFrame) -> bool:
@@ -69,7 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
     component's width. A hub's row is never gathered: minima combine before the shuffle and the join back can be split.
     """
     edges = stored(contracted(edges.filter("u <> v")).distinct())
-    while not is_star_forest(edges):
+    if few := edges.count() <= FEW:
+        before, edges = edges, stored(contracted(edges.coalesce(1)))
+        discard(before)
+    while not few and not is_star_forest(edges):
         close = stored(contracted(edges))
         both = close.unionByName(close.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -11,9 +11,12 @@ where there are fewer words). Two documents link when 100 * intersection >= perc
   subclasses follows the set's size band, so combinations stay proportional to the set; a set signs for its own band
   and the next, and linked sets are at most one band apart.
 * Documents that share a signature are candidates, less those that their sizes and positions rule out, and are verified
-  on their whole sets. Equal sets are one node. Candidates within one class found so far need no check: rounds verify
-  each node's best candidates, unite classes, and go on until no candidate between two classes is unverified. So no
-  link between classes is lost and pairs within a group of copies are not listed.
+  on their whole sets. Equal sets are one node. Candidates within one class found so far need no check. First each node
+  is verified with the two candidates that lead most of its signatures, and classes unite. Then nodes gather in clusters
+  by the node that leads most of their signatures (the least hash of those that share one). Within a cluster the nodes
+  outside its largest class are counted against all its nodes, block by block inside tasks, which send on only what
+  unites classes. Candidates of different clusters and classes are then verified as pairs, the best of each node first,
+  until none is left. So no link between classes is lost and pairs within a group of copies are not listed.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with null or repeated ids are documents of their
 own; their component_id is the smallest id of the component, nulls last.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.components import components
+from cairn.llm.components import components, spanning_stars
 from cairn.llm.shared import discard, keyed, release, stored
 from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, parts_of, prefix_hash, ranges_of, span_hash, string_bytes, window_hash, words_of
 
@@ -37,8 +40,10 @@ LEAST_FREQUENT = 16
 #: Signature rows or tokens of one range, which one task sorts, and of what a task sends at once.
 RANGE_ROWS, SENT_ROWS = 500_000, 500_000
 MOST_BITS = 30
+#: Tokens of the nodes that a task counts, and of those that it counts them against.
+COUNTED_TOKENS, AGAINST_TOKENS = 250_000, 500_000
 #: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
-LINEAR, BUCKET = 16, 8
+LINEAR, BUCKET = 4, 4
 SMALL = 4  # sets below four tokens link with equal sets only
 
 
@@ -258,65 +263,117 @@ def possible(x: str, y: str, percent: int):
     return (percent * F.greatest(nx, ny) <= 100 * F.least(nx, ny)) & ((100 + percent) * least.cast("long") >= percent * (nx + ny))
 
 
-def best_per_node(pairs: DataFrame, most: int | None) -> DataFrame:
-    """(a, b) of a node's candidates with the most common signatures; all where most is None."""
+def best_per_node(pairs: DataFrame, most: int | None, checked: DataFrame | None = None) -> DataFrame:
+    """(a, b) of a node's candidates, less checked ones, with the most common signatures; all where most is None."""
     counted = pairs.groupBy("node", "other").agg(F.count("*").alias("common"))
+    counted = counted.select("node", "other", "common", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    if checked is not None:
+        counted = counted.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     if most is not None:
         order = Window.partitionBy("node").orderBy(F.desc("common"), "other")
         counted = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    return counted.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return counted.select("a", "b").distinct()
+
+
+def clusters_of(shared: DataFrame) -> DataFrame:
+    """(node, cluster): the node of the least hash that leads most of a node's signatures."""
+    leader = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("cluster"))).alias("y"))
+    votes = shared.join(leader.select("sig", "y.cluster"), "sig").groupBy("node", "cluster").agg(F.count("*").alias("k"))
+    return votes.groupBy("node").agg(F.max(F.struct("k", "cluster")).alias("best")).select("node", "best.cluster")
+
+
+def links_in_clusters(clusters: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that unite the classes of a cluster wherever nodes of the cluster link."""
+
+    def count(own: pa.Table, others: pa.Table) -> pa.Table:
+        x, y = ([np.frombuffer(t.as_py(), U64) for t in side["tokens"]] for side in (own, others))
+        node, comp = np.asarray(others["node"]), np.asarray(others["comp"])
+        size = np.array([len(t) for t in y], dtype=np.int64)
+        owner, tokens = np.repeat(np.arange(len(y)), size), np.concatenate(y) if y else np.zeros(0, U64)
+        order = np.argsort(tokens, kind="stable")
+        owner, tokens = owner[order], tokens[order]
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for name, mine, t in zip(own["node"].to_pylist(), own["comp"].to_pylist(), x):
+            low, high = np.searchsorted(tokens, t), np.searchsorted(tokens, t, side="right")
+            runs = high - low
+            at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(low, runs)
+            common = np.bincount(owner[at], minlength=len(y))
+            linked = np.flatnonzero((100 * common >= percent * (len(t) + size - common)) & (comp != mine))
+            linked = linked[np.unique(comp[linked], return_index=True)[1]]  # one link with a class is enough
+            ends.append((np.full(len(linked), name, np.int64), node[linked].astype(np.int64)))
+        u, v = (np.concatenate(e) if ends else np.zeros(0, np.int64) for e in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 2
+        u, v = spanning_stars(u, v)
+        return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
+
+    rows = clusters.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.join(sets.select("node", "tokens"), "node").withColumn("size", (F.octet_length("tokens") / 8).cast("long"))
+    held = rows.groupBy("cluster", "comp").agg(F.sum("size").alias("size"))
+    held = held.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("size")).filter("classes > 1")
+    held = held.select("cluster", F.col("main.comp").alias("main"), F.ceil(F.col("size") / AGAINST_TOKENS).cast("int").alias("against"), F.ceil((F.col("size") - F.col("main.size")) / COUNTED_TOKENS).cast("int").alias("counted"))
+    rows = rows.join(held, "cluster")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        block, all_of_other = F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return side.select(block.alias(own), all_of_other.alias(other), *(F.col(c).alias(c) for c in ("cluster", "node", "comp", "tokens")))
+
+    left, right = dealt(rows.filter("comp <> main"), "counted", "against"), dealt(rows, "against", "counted")
+    keys = ("cluster", "counted", "against")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, "a bigint, b bigint")
 
 
 def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of the nodes that link with others.
 
-    While the pairs between classes outnumber the signature rows, nodes meet in small random buckets of a signature, so
-    candidates stay linear while large groups unite; then, or where that finds no more links, all pairs that are left
-    between classes are checked.
+    Between clusters, while the pairs outnumber the signature rows, nodes meet in small random buckets of a signature
+    first; where that finds no more links, all pairs that are left between classes are checked.
     """
     spark = shared.sparkSession
     centre = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node").alias("o"), "node", "n", "rest")).alias("y"))
     near = shared.alias("x").join(centre.select("sig", "y.*").alias("y"), "sig")
     near = near.filter((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent)).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
     checked = stored(verify(best_per_node(near, 2), sets, percent))
-    comps, fruitless, exhaustive, turn = None, 0, 0, 0
+    clusters = stored(clusters_of(shared))
+    release(spark)
+    before = united(None, checked.filter("linked"))
+    inside = stored(links_in_clusters(clusters, before, sets, percent))
+    comps, fresh, exhaustive, fruitless, turn = united(before, inside), None, 0, 0, 0
+    discard(before, inside)
     while True:
-        before, comps = comps, united(comps, checked.filter("linked"))
-        discard(before)
         release(spark)
-        rows = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("k").alias("members"))
-        split = stored(split.filter("classes > 1").select("sig", F.col("main.comp").alias("main"), "members", (F.col("members") - F.col("main.k")).alias("outside")))
-        work = split.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("outside")).alias("pairs")).first()
+        rows = shared.join(clusters, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        kinds = [rows.groupBy("sig", kind).agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias(f"{kind}s"), F.sum("k").alias("members"), F.sum(F.col("k") * F.col("k")).alias(f"{kind}_pairs")) for kind in ("comp", "cluster")]
+        split = kinds[0].filter("comps > 1").join(kinds[1].drop("members").filter("clusters > 1"), "sig")
+        split = stored(split.select("sig", "members", (F.col("members") * F.col("members") - F.greatest("comp_pairs", "cluster_pairs")).alias("pairs")))
+        work = split.agg(F.sum("members").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not work["rows"]:
-            discard(split, checked)
+            discard(split, checked, clusters)
             return comps
-        every = work["pairs"] <= LINEAR * work["rows"] or fruitless >= 2
+        every = work["pairs"] <= LINEAR * work["rows"] or fruitless
         rows = rows.join(split, "sig")
+        meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.cluster") != F.col("y.cluster"))
         if every:
-            most = (4, 32, None)[min(exhaustive, 2)]
+            most = (8, None)[min(exhaustive, 1)]
             exhaustive += 1
-            meet = F.col("x.sig") == F.col("y.sig")
         else:
-            most, turn = 4, turn + 1
+            most, turn = 8, turn + 1
             bucket = F.pmod(F.xxhash64(F.lit(turn), "sig", "node"), F.ceil(F.col("members") / BUCKET))
             rows = rows.withColumn("bucket", bucket)
-            meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.bucket") == F.col("y.bucket"))
-        met = rows.filter("comp <> main").alias("x").join(rows.alias("y"), meet & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent))
-        met = met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        open_pairs = stored(best_per_node(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), most))
+            meet = meet & (F.col("x.bucket") == F.col("y.bucket"))
+        met = rows.alias("x").join(rows.alias("y"), meet & (F.col("x.node") < F.col("y.node")) & possible("x", "y", percent))
+        open_pairs = stored(best_per_node(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")), most, checked))
         discard(split)
-        if open_pairs.isEmpty():
-            discard(open_pairs)
-            if every:
-                discard(checked)
-                return comps
-            fruitless += 1
-            continue
         fresh = stored(verify(open_pairs, sets, percent))
-        fruitless = fruitless + 1 if fresh.filter("linked").isEmpty() else 0
-        before, checked = checked, stored(checked.withColumn("linked", F.lit(False)).unionByName(fresh))
-        discard(before, fresh, open_pairs)
+        n_open, n_linked = open_pairs.count(), fresh.filter("linked").count()
+        discard(open_pairs)
+        if n_linked:
+            before, comps = comps, united(comps, fresh.filter("linked"))
+            discard(before)
+        elif every and (most is None or not n_open):
+            discard(checked, fresh, clusters)
+            return comps
+        fruitless = fruitless or 20 * n_linked < n_open
+        before, checked = checked, stored(checked.select("a", "b").unionByName(fresh.select("a", "b")))
+        discard(before, fresh)
 
 
 def united(comps: DataFrame | None, links: DataFrame) -> DataFrame:

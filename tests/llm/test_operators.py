@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.llm import components as components_module
 from cairn.llm import ngram_join, suffix_dedup, toxicity
 from cairn.llm.components import components, spanning_stars
 from cairn.llm.decontaminate import decontaminate
@@ -111,9 +112,20 @@ def classes(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def test_ngram_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LINEAR", 1)
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        for name, n in (("LINEAR", 0), ("COUNTED_TOKENS", 60), ("AGAINST_TOKENS", 90), ("RANGE_ROWS", 300), ("SENT_ROWS", 100), ("LEAST_FREQUENT", 3)):
+            monkeypatch.setattr(ngram_join, name, n)
+        monkeypatch.setattr(components_module, "FEW", 0)
     rows = some_texts(9, 150)
+    edits = random.Random(4)
+    base = [f"w{k}" for k in range(90)]
+    for i in range(150, 230):  # near copies of one text, many of which link only through others
+        words = list(base)
+        for k in edits.sample(range(90), edits.randint(0, 3)):
+            words[k] = f"x{edits.randrange(3)}"
+        rows.append((i, " ".join(words)))
     found = ngram_join.jaccard_classes(documents(spark, rows)).select("id", "n_shingles", "component_id")
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == classes(rows)
 
