@@ -13,8 +13,8 @@ where there are fewer words). Two documents link when 100 * intersection >= perc
 * Documents that share a signature are candidates, less those that their sizes and positions rule out, and are verified
   on their whole sets. Equal sets are one node. Candidates within one class found so far need no check. First each node
   is verified with the two candidates that lead most of its signatures, and classes unite. Then nodes gather in clusters
-  by the node that leads most of their signatures (the least hash of those that share one). Within a cluster the nodes
-  outside its largest class are counted against all its nodes, block by block inside tasks, which send on only what
+  by the node that leads most of their signatures (the least hash of those that share one). Within a cluster of LARGE nodes or more
+  those outside its largest class are counted against all its nodes, block by block inside tasks, which send on only what
   unites classes. Candidates of different clusters and classes are then verified as pairs, the best of each node first,
   until none is left. So no link between classes is lost and pairs within a group of copies are not listed.
 
@@ -40,6 +40,8 @@ LEAST_FREQUENT = 16
 #: Signature rows or tokens of one range, which one task sorts, and of what a task sends at once.
 RANGE_ROWS, SENT_ROWS = 500_000, 500_000
 MOST_BITS = 30
+#: Nodes of a cluster that is counted as a whole; in smaller ones candidates are verified as pairs.
+LARGE = 32
 #: Tokens of the nodes that a task counts, and of those that it counts them against.
 COUNTED_TOKENS, AGAINST_TOKENS = 250_000, 500_000
 #: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
@@ -275,24 +277,35 @@ def best_per_node(pairs: DataFrame, most: int | None, checked: DataFrame | None
     return counted.select("a", "b").distinct()
 
 
-def clusters_of(shared: DataFrame) -> DataFrame:
-    """(node, cluster): the node of the least hash that leads most of a node's signatures."""
+def clusters_of(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, cluster, comp, main, against, counted) of the nodes of large clusters that hold several classes.
+
+    A node's cluster is the node of the least hash that leads most of its signatures. main is the cluster's largest class
+    by tokens, against and counted are the blocks its nodes, and those outside main, are dealt into.
+    """
     leader = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("cluster"))).alias("y"))
-    votes = shared.join(leader.select("sig", "y.cluster"), "sig").groupBy("node", "cluster").agg(F.count("*").alias("k"))
-    return votes.groupBy("node").agg(F.max(F.struct("k", "cluster")).alias("best")).select("node", "best.cluster")
+    votes = shared.join(leader.select("sig", "y.cluster"), "sig").groupBy("node", "cluster").agg(F.count("*").alias("k"), F.first("n").cast("long").alias("n"))
+    rows = votes.groupBy("node").agg(F.max(F.struct("k", "cluster", "n")).alias("best")).select("node", "best.cluster", "best.n")
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = rows.groupBy("cluster", "comp").agg(F.sum("n").alias("size"), F.count("*").alias("nodes"))
+    held = held.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("nodes").alias("nodes"), F.sum("size").alias("size"))
+    held = held.filter((F.col("classes") > 1) & (F.col("nodes") >= LARGE))
+    held = held.select("cluster", F.col("main.comp").alias("main"), F.ceil(F.col("size") / AGAINST_TOKENS).cast("int").alias("against"), F.ceil((F.col("size") - F.col("main.size")) / COUNTED_TOKENS).cast("int").alias("counted"))
+    return rows.drop("n").join(held, "cluster")
 
 
-def links_in_clusters(clusters: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that unite the classes of a cluster wherever nodes of the cluster link."""
 
-    def count(own: pa.Table, others: pa.Table) -> pa.Table:
+    def count(group: pa.Table) -> pa.Table:
+        own, others = (group.filter(pa.compute.equal(group["own"], side)) for side in (True, False))
         x, y = ([np.frombuffer(t.as_py(), U64) for t in side["tokens"]] for side in (own, others))
         node, comp = np.asarray(others["node"]), np.asarray(others["comp"])
         size = np.array([len(t) for t in y], dtype=np.int64)
-        owner, tokens = np.repeat(np.arange(len(y)), size), np.concatenate(y) if y else np.zeros(0, U64)
+        owner, tokens = np.repeat(np.arange(len(y)), size), np.concatenate([*y, np.zeros(0, U64)])
         order = np.argsort(tokens, kind="stable")
         owner, tokens = owner[order], tokens[order]
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for name, mine, t in zip(own["node"].to_pylist(), own["comp"].to_pylist(), x):
             low, high = np.searchsorted(tokens, t), np.searchsorted(tokens, t, side="right")
             runs = high - low
@@ -300,25 +313,18 @@ def links_in_clusters(clusters: DataFrame, comps: DataFrame, sets: DataFrame, pe
             common = np.bincount(owner[at], minlength=len(y))
             linked = np.flatnonzero((100 * common >= percent * (len(t) + size - common)) & (comp != mine))
             linked = linked[np.unique(comp[linked], return_index=True)[1]]  # one link with a class is enough
-            ends.append((np.full(len(linked), name, np.int64), node[linked].astype(np.int64)))
-        u, v = (np.concatenate(e) if ends else np.zeros(0, np.int64) for e in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 2
-        u, v = spanning_stars(u, v)
-        return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
-
-    rows = clusters.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = rows.join(sets.select("node", "tokens"), "node").withColumn("size", (F.octet_length("tokens") / 8).cast("long"))
-    held = rows.groupBy("cluster", "comp").agg(F.sum("size").alias("size"))
-    held = held.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("size")).filter("classes > 1")
-    held = held.select("cluster", F.col("main.comp").alias("main"), F.ceil(F.col("size") / AGAINST_TOKENS).cast("int").alias("against"), F.ceil((F.col("size") - F.col("main.size")) / COUNTED_TOKENS).cast("int").alias("counted"))
-    rows = rows.join(held, "cluster")
+            u.append(np.full(len(linked), name, np.int64))
+            v.append(node[linked].astype(np.int64))
+        a, b = spanning_stars(np.concatenate(u), np.concatenate(v))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        block, all_of_other = F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return side.select(block.alias(own), all_of_other.alias(other), *(F.col(c).alias(c) for c in ("cluster", "node", "comp", "tokens")))
+    def dealt(side: DataFrame, own: bool) -> DataFrame:
+        mine, other = ("counted", "against") if own else ("against", "counted")
+        block, all_of_other = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return side.select(block, all_of_other, "cluster", "node", "comp", F.lit(own).alias("own"))
 
-    left, right = dealt(rows.filter("comp <> main"), "counted", "against"), dealt(rows, "against", "counted")
-    keys = ("cluster", "counted", "against")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, "a bigint, b bigint")
+    sent = dealt(clusters.filter("comp <> main"), True).unionByName(dealt(clusters, False)).join(sets.select("node", "tokens"), "node")
+    return sent.groupBy("cluster", "counted", "against").applyInArrow(count, "a bigint, b bigint")
 
 
 def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -332,15 +338,16 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
     near = shared.alias("x").join(centre.select("sig", "y.*").alias("y"), "sig")
     near = near.filter((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent)).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
     checked = stored(verify(best_per_node(near, 2), sets, percent))
-    clusters = stored(clusters_of(shared))
     release(spark)
     before = united(None, checked.filter("linked"))
-    inside = stored(links_in_clusters(clusters, before, sets, percent))
-    comps, fresh, exhaustive, fruitless, turn = united(before, inside), None, 0, 0, 0
+    clusters = stored(clusters_of(shared, before))
+    inside = stored(links_in_clusters(clusters, sets, percent))
+    comps, exhaustive, fruitless, turn = united(before, inside), 0, False, 0
     discard(before, inside)
     while True:
         release(spark)
-        rows = shared.join(clusters, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = shared.join(clusters.select("node", "cluster"), "node", "left").join(comps, "node", "left")
+        rows = rows.withColumns({"comp": F.coalesce("comp", "node"), "cluster": F.coalesce("cluster", "node")})  # pairs of small clusters are open
         kinds = [rows.groupBy("sig", kind).agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias(f"{kind}s"), F.sum("k").alias("members"), F.sum(F.col("k") * F.col("k")).alias(f"{kind}_pairs")) for kind in ("comp", "cluster")]
         split = kinds[0].filter("comps > 1").join(kinds[1].drop("members").filter("clusters > 1"), "sig")
         split = stored(split.select("sig", "members", (F.col("members") * F.col("members") - F.greatest("comp_pairs", "cluster_pairs")).alias("pairs")))

@@ -115,7 +115,7 @@ def classes(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, small):
     if small:
-        for name, n in (("LINEAR", 0), ("COUNTED_TOKENS", 60), ("AGAINST_TOKENS", 90), ("RANGE_ROWS", 300), ("SENT_ROWS", 100), ("LEAST_FREQUENT", 3)):
+        for name, n in (("LINEAR", 0), ("LARGE", 3), ("COUNTED_TOKENS", 60), ("AGAINST_TOKENS", 90), ("RANGE_ROWS", 300), ("SENT_ROWS", 100), ("LEAST_FREQUENT", 3)):
             monkeypatch.setattr(ngram_join, name, n)
         monkeypatch.setattr(components_module, "FEW", 0)
     rows = some_texts(9, 150)
