@@ -70,7 +70,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     heads = np.flatnonzero(head)
     first, last = start[heads], start[np.append(heads[1:], len(start)) - 1]
     row = np.searchsorted(offsets, first, side="right") - 1
-    return row, first - offsets[row], last - offsets[row], gram[at[heads]], span_hash(h, first, last + length) + (at[heads] - first).astype(U64)
+    # anchors are least hashes: mixed again, they fill all ranges alike
+    return row, first - offsets[row], last - offsets[row], mix(gram[at[heads]] + U64(1)), span_hash(h, first, last + length) + (at[heads] - first).astype(U64)
 
 
 def first_of_groups(keys: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]):
