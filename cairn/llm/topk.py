@@ -6,7 +6,9 @@ sign a query weight asks for). Each query takes the blocks in the order of their
 falls below its k-th score.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids. A query meets vectors of its
-own length only. Rows that repeat a query's id are that query's own. Weights beyond 2**31 are clipped.
+own length only. Rows that repeat a query's id are that query's own; of several usable rows with a query's id the least
+vector is asked. Sums are exact however large the weights; a score beyond 64 bits is given as the largest or smallest
+that 64 bits hold. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.llm.shared import stored
+
 #: Queries that are broadcast at once; more are taken in blocks of this many, each against all rows.
 QUERY_BLOCK = 8192
 
@@ -32,22 +36,32 @@ def weights(column: pa.Array, scale: int) -> list[tuple[np.ndarray, np.ndarray]]
         flat = pa.compute.list_flatten(column.take(pa.array(rows)))
         flat = np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(rows), n)
         fine = np.isfinite(flat).all(axis=1)
-        out.append((rows[fine], np.clip(np.floor(scale * flat[fine]), -(2.0**31), 2.0**31).astype(np.int64)))
+        out.append((rows[fine], np.floor(scale * flat[fine])))
     return out
 
 
+MOST = np.iinfo(np.int64).max
+
+
+def exact(matrix: np.ndarray, kind) -> np.ndarray:
+    """Whole numbers as this kind; object means Python's, which have no bound."""
+    return matrix.astype(kind) if kind is not object else np.array([[int(x) for x in row] for row in matrix.tolist()], dtype=object).reshape(matrix.shape)
+
+
 def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
     """Top k of these documents for every query: (query index, id, score) arrays."""
     top = np.abs(queries).max(initial=0).astype(float) * np.abs(docs).max(initial=0) * max(1, docs.shape[1])
-    kind = np.float64 if top < 2**53 else np.int64  # float products are exact here, and fast
+    kind = np.float64 if top < 2**53 else np.int64 if top < 2**62 else object  # float products are exact here, and fast
     order = np.argsort(ids, kind="stable")
-    ids, docs, queries = ids[order], docs[order].astype(kind), queries.astype(kind)
+    ids, docs, queries = ids[order], exact(docs[order], kind), exact(queries, kind)
     cuts = np.arange(0, len(ids), block)
     high, low = np.maximum.reduceat(docs, cuts, axis=0), np.minimum.reduceat(docs, cuts, axis=0)
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    if kind is object:
+        bound = np.clip(bound, -MOST, MOST).astype(np.int64)
     visit = np.argsort(-bound, axis=1, kind="stable")
     n = len(queries)
-    least = -np.iinfo(np.int64).max
+    least = np.iinfo(np.int64).min
     score = np.full((n, k), least, dtype=np.int64)
     doc = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
     active = np.arange(n)
@@ -63,11 +77,11 @@ def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queri
             who = active[by_block[a:b]]
             at = slice(cuts[blocks[by_block[a]]], cuts[blocks[by_block[a]]] + block)
             own = queries[who] @ docs[at].T
-            own = own.astype(np.int64)
+            own = np.clip(own, -MOST, MOST).astype(np.int64)
             own[query_ids[who][:, None] == ids[at][None, :]] = least
             both = np.concatenate((score[who], own), axis=1)
             names = np.concatenate((doc[who], np.where(own == least, np.iinfo(np.int64).max, np.broadcast_to(ids[at], own.shape))), axis=1)
-            best = np.lexsort((names, -both), axis=1)[:, :k]
+            best = np.lexsort((names, ~both), axis=1)[:, :k]  # ~ turns the order of all 64-bit values
             score[who], doc[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
     q, j = np.nonzero(score > least)
     return q, doc[q, j], score[q, j]
@@ -76,9 +90,10 @@ def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queri
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = 128, range_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query its k highest scores, ties to the smaller id."""
     spark = vectors.sparkSession
-    pick = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")]
-    rows = vectors.select(*pick).filter("id is not null and vector is not null").repartitionByRange("id")
-    asked = queries.select(*pick).filter("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+    usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    pick = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")]
+    rows = vectors.select(*pick).filter("id is not null and vector is not null").filter(usable).repartitionByRange("id")
+    asked = queries.select(*pick).filter("id is not null and vector is not null").filter(usable).groupBy("id").agg(F.min("vector").alias("vector"))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for b in range(n_blocks):
@@ -106,6 +121,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: s
                     yield pa.RecordBatch.from_arrays([pa.array(query_ids[at], pa.int64()), pa.array(doc), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         part = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        if n_blocks > 1:  # a block's queries leave the driver and the executors before the next ones come
+            part = stored(best_of(part, k))
+            held.destroy()
         found = part if found is None else found.unionByName(part)
+    return best_of(found, k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest scores of each query."""
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
