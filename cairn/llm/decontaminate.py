@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm.textbytes import ALNUM, LOWER, U64, by_bytes, prefix_hash, span_hash, string_bytes, window_hash, words_of
 
-#: Benchmark text broadcast at once. A larger benchmark is dealt into blocks of about this size, scanned one by one.
-BLOCK_BYTES = 16_000_000
+#: Benchmark text broadcast at once; its index takes about ten times that (32 bytes a word). A larger benchmark is dealt into
+#: blocks of about this size, scanned one by one.
+BLOCK_BYTES = 4_000_000
 BLOOM_BITS = 22
 
 
@@ -27,25 +28,27 @@ def hashed_words(column: pa.Array):
 
 
 def window_index(items: list, width: int) -> dict:
-    """By window length: a bit table of hashes, the hashes in order, and the exact windows with their items."""
-    found: dict[int, dict[bytes, set]] = {}
-    hashes: dict[int, list] = {}
-    for item, text in items:
-        data, starts, ends, _, h = hashed_words(pa.array([text or ""]))
-        n = min(width, len(h))
-        if n == 0:
-            continue
-        words = [data[s:e].tobytes() for s, e in zip(starts, ends)]
-        hashes.setdefault(n, []).append(window_hash(h, n))
-        for i in range(len(words) - n + 1):
-            found.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-    out = {}
-    for n, windows in found.items():
-        known = np.unique(np.concatenate(hashes[n]))
+    """The items' bytes and words, and by window length: a bit table of window hashes, the hashes in order, and where each starts."""
+    names = [item for item, _ in items]
+    data, starts, ends, first, h = hashed_words(pa.array([text or "" for _, text in items], pa.string()))
+    count = np.diff(first)
+    item = np.repeat(np.arange(len(names)), count)
+    place = np.arange(len(h)) - np.repeat(first[:-1], count)
+    length = np.minimum(count, width)[item]
+    by_length = {}
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero((length == n) & (place + n <= count[item]))
+        hashes = window_hash(h, n)[at]
+        order = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
-        bits[known >> U64(64 - BLOOM_BITS)] = True
-        out[n] = (bits, known, windows)
-    return out
+        bits[hashes >> U64(64 - BLOOM_BITS)] = True
+        by_length[n] = (np.packbits(bits), hashes[order], at[order])
+    return {"names": names, "item": item, "words": (data, starts, ends), "by_length": by_length}
+
+
+def window_bytes(words: tuple[np.ndarray, np.ndarray, np.ndarray], at: int, n: int) -> bytes:
+    data, starts, ends = words
+    return b" ".join(data[s:e].tobytes() for s, e in zip(starts[at : at + n], ends[at : at + n]))
 
 
 def find_hits(column: pa.Array, index: dict):
@@ -56,14 +59,15 @@ def find_hits(column: pa.Array, index: dict):
     row_of = np.repeat(np.arange(rows), np.diff(first))
     change = np.zeros(len(h) + 1, dtype=np.int64)
     items: dict[int, set] = {}
-    for n, (bits, known, windows) in index.items():
+    for n, (bits, known, place) in index["by_length"].items():
         w = window_hash(h, n)
         if not len(w):
             continue
-        at = np.flatnonzero(bits[w >> U64(64 - BLOOM_BITS)] & (row_of[: len(w)] == row_of[n - 1 :]))
-        at = at[known[np.minimum(np.searchsorted(known, w[at]), len(known) - 1)] == w[at]]
-        for i in at.tolist():
-            owners = windows.get(b" ".join(data[s:e].tobytes() for s, e in zip(starts[i : i + n], ends[i : i + n])))
+        at = np.flatnonzero(np.unpackbits(bits).view(bool)[w >> U64(64 - BLOOM_BITS)] & (row_of[: len(w)] == row_of[n - 1 :]))
+        low, high = np.searchsorted(known, w[at]), np.searchsorted(known, w[at], side="right")
+        for i, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
+            own = window_bytes((data, starts, ends), i, n)
+            owners = {index["names"][index["item"][j]] for j in place[a:b].tolist() if window_bytes(index["words"], j, n) == own}
             if owners:
                 change[i] += 1
                 change[i + n] -= 1
