@@ -19,12 +19,13 @@ def line_key(line: Column) -> Column:
 
 
 def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = 12, lg_k: int = 12, band: float = 0.2) -> DataFrame:
-    """All columns of docs, and clean_text, n_lines, n_removed.
+    """All columns of docs, and clean_text, n_lines, n_removed (in place of columns of docs with these names).
 
     A line goes where it stands on at least min_sites distinct sites. The sketch decides outside
     (1 - band .. 1 + band) * min_sites, exact counts decide inside it; band is over ten standard errors at lg_k 12.
     """
-    text, site = F.col(text_col), F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))
+    kept = [c for c in docs.columns if c.lower() not in ("clean_text", "n_lines", "n_removed")]
+    text, site = F.col(f"`{text_col}`").cast("string"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\x00"))
     key = F.unhex(F.md5(text))
     lines = docs.select(key.alias("text_key"), site.alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).filter(F.trim("line") != "")
     lines = lines.select("text_key", "site", "at", line_key(F.col("line")).alias("line_key"))
@@ -34,11 +35,11 @@ def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
     near = spread.filter((F.col("sites") >= low) & (F.col("sites") <= high)).select("line_key")
     exact = lines.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
     wide = spread.filter(F.col("sites") > high).select("line_key").unionByName(exact.select("line_key"))
-    hits = lines.select("text_key", "at", "line_key").join(wide, "line_key", "left_semi").groupBy("text_key").agg(F.collect_set("at").alias("drop"))
+    hits = lines.select("text_key", "at", "line_key").join(wide, "line_key", "left_semi").groupBy("text_key").agg(F.collect_set("at").alias("gone"))
     # equal texts lose the same lines, so positions are gathered once for each distinct text
-    joined = docs.withColumn("text_key", key).join(hits, "text_key", "left")
-    split = F.split(text, "\n", -1)
-    dropped = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
-    clean = F.when(F.size(dropped) == 0, text).otherwise(F.array_join(F.transform(F.array_sort(keep), lambda i: F.get(split, i)), "\n"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], clean.alias("clean_text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.size(dropped).alias("n_removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), text.alias("text"), key.alias("text_key"))
+    split = F.split("text", "\n", -1)
+    gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    clean = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(keep), lambda i: F.get(split, i)), "\n"))
+    return rows.join(hits, "text_key", "left").select("doc.*", clean.alias("clean_text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.size(gone).alias("n_removed"))
