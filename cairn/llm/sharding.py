@@ -4,7 +4,8 @@ Pass one scatters rows by a seeded hash into buckets of about `bucket_bytes`; pa
 shuffle() is a seeded Fisher-Yates) and numbers the rows. The bucket sizes give every bucket its place in the one
 random order, and shards are equal cuts of that order, so row counts differ by one at most.
 
-Null texts count as empty, repeated rows stay separate rows, an empty table gives no rows. The rows must come from a
+Null texts count as empty, repeated rows stay separate rows, an empty table gives no rows. Columns of the input that are
+named shard or slot give way to the new ones. The rows must come from a
 table that reads the same way again (a file scan), because a row's place in the scan is part of its hash: this is what
 spreads repeated rows, which would otherwise share a bucket.
 """
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 #: Offsets of at most this many buckets are broadcast (24 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
+LOT = 1024
 
 
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = 24_000_000) -> DataFrame:
@@ -26,13 +28,19 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "do
     n_buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
     rows = total["rows"]
     place = F.struct(F.col(id_col), F.monotonically_increasing_id().alias("at"))
-    scattered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place"))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    scattered = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), place.alias("place"))
     scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(n_buckets)).cast("int"))
     counts = docs.select(F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
+    # sums before a bucket: within its lot of LOT buckets, and over the lots before
+    counts = counts.withColumn("lot", F.floor(F.col("bucket") / LOT))
+    lots = counts.groupBy("lot").agg(F.sum("n").alias("lot_n"))
+    lots = lots.select("lot", (F.sum("lot_n").over(Window.orderBy("lot")) - F.col("lot_n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("lot").orderBy("bucket")) - F.col("n")
+    offsets = counts.withColumn("within", within).join(F.broadcast(lots) if n_buckets <= LOT * BROADCAST_BUCKETS else lots, "lot").select("bucket", (F.col("before") + F.col("within")).alias("base"))
     if n_buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    filled = scattered.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows"))
+    filled = scattered.repartitionById(n_buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows"))
     dealt = filled.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", seed).alias("rows"))
     placed = dealt.join(offsets, "bucket").select((F.col("base")).alias("base"), F.posexplode("rows").alias("i", "entry"))
     position = F.col("base") + F.col("i")
