@@ -36,20 +36,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     expression = F.concat(F.col("host"), F.col("path"))
     rules = rules.select(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").filter("host is not null and host <> ''")
     rules = rules.groupBy("host", "path").agg(F.max("action").alias("action"))
-    shapes = rules.select(F.length("host").alias("h"), F.length("path").alias("p")).distinct().collect()
-    host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
-    if not shapes:
-        return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    n = F.length("host")
-    fitting = [
-        F.when(
-            (F.length("path") >= s["p"]) & ((n == s["h"]) | ((n > s["h"]) & (F.substr("host", n - s["h"], F.lit(1)) == "."))),
-            F.struct(F.right(F.col("host"), F.lit(s["h"])).alias("h"), F.substring("path", 1, s["p"]).alias("p")),
-        )
-        for s in sorted(shapes, key=lambda s: (s["h"], s["p"]))
-    ]  # only lengths that rules have: no expression of another length can match
-    tries = urls.select("row", id_col, "host", "path", F.explode_outer(F.filter(F.array(*fitting), lambda x: x.isNotNull())).alias("try"))
+    # prefixes of other lengths than the rules' paths can match none: at most as many lengths as the longest path has
+    lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect())
+    host, path = split_url(F.col(f"`{url_col}`").cast("string"))
+    urls = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.left("path", n))
+    expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
+    tries = urls.select("row", "id", "host", "path", F.explode_outer(expressions).alias("try"))
     tries = tries.withColumn("digest", F.sha2(F.concat("try.h", F.lit("\x00"), "try.p"), 256)).withColumn("short", F.substring("digest", 1, prefix_hex))
     rules = rules.select(
         expression.alias("rule"), "action", F.length("host").alias("host_n"), F.length(expression).alias("rule_n"),
@@ -57,8 +52,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     ).withColumn("key", F.substring("full", 1, prefix_hex))
     if rules.count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-    met = tries.join(rules, (F.col("short") == F.col("key")) & (F.col("digest") == F.col("full")), "left")
-    best = met.groupBy("row", id_col, "host", "path").agg(
-        F.max(F.when(F.col("rule").isNotNull(), F.struct("rule_n", "host_n", (F.col("action") == "block").alias("block"), "rule", "action"))).alias("best")
+    met = tries.join(rules, F.col("short") == F.col("key"), "left")  # expressions that only share the prefix are told apart after it
+    best = met.groupBy("row", "id", "host", "path").agg(
+        F.max(F.when(F.col("digest") == F.col("full"), F.struct("rule_n", "host_n", (F.col("action") == "block").alias("block"), "rule", "action"))).alias("best")
     )
-    return best.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
