@@ -11,19 +11,21 @@ nearest shares that nonnegative rates reach, and then a warning tells them.
 
 The classifier may see `fit_rows` labelled rows at most (by hash of the id); everything else covers all rows. Null and
 empty texts have no tokens, the prior as posterior and rate 1 (nothing pulls at them). Ties and repeated rows are
-documents of their own. Labels of one id that disagree are all used. An empty table gives no rows.
+documents of their own. Labels of one id that disagree are all used. More than 1024 values of the label are refused. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import stored
+from cairn.llm.shared import discard, stored
 from cairn.llm.textbytes import ALNUM, LOWER, U64, by_bytes, prefix_hash, span_hash, string_bytes, words_of
 
 FEATURES = 1024
@@ -63,8 +65,8 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, n: int, ridge: float = 1e-3, round
     return w
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, *, id_col: str, text_col: str, label_id_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list]:
-    """docs as struct `doc`, with n_tokens and posterior; and the domains in the order of the posterior."""
+def posteriors(docs: DataFrame, labelled: DataFrame, *, id_col: str, text_col: str, label_id_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list, np.ndarray]:
+    """docs without the text, with n_tokens and posterior; the domains in the order of the posterior; and the classifier's weights."""
     spark = docs.sparkSession
     marks = labelled.select(F.col(f"`{label_id_col}`").alias("label_id"), F.col(f"`{label_col}`").alias("label")).filter("label_id is not null and label is not null")
     domains = [r["label"] for r in marks.select("label").distinct().orderBy("label").limit(1025).collect()]
@@ -84,21 +86,26 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, id_col: str, text_col: s
     sample = examples.select("text", "y").mapInArrow(featurise, "y int, x binary").toArrow()
     y = np.asarray(sample["y"]).astype(int)
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(len(y), FEATURES)
-    weights = spark.sparkContext.broadcast(fit_softmax(x, y, max(1, len(domains))))
+    weights = fit_softmax(x, y, max(1, len(domains)))
+    held = spark.sparkContext.broadcast(weights)
 
     def predict(batches):
         for batch in by_bytes(batches, "text"):
-            x, n = word_features(batch.column(batch.schema.get_field_index("text")))
-            z = np.column_stack((x, np.ones(len(x)))) @ weights.value
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            n, p = tokens_and_posterior(batch.column(batch.schema.get_field_index("text")), held.value)
             own = [c for name, c in zip(batch.schema.names, batch.columns) if name != "text"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(p.reshape(-1), p.shape[1]).cast(pa.list_(pa.float64()))], names=[*(c for c in batch.schema.names if c != "text"), "n_tokens", "posterior"])
 
     given = docs.withColumn("text", F.col(f"`{text_col}`").cast("string")) if text_col != "text" else docs
     kept = [f for f in given.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return given.mapInArrow(predict, f"{schema}, n_tokens bigint, posterior array<double>"), domains
+    return given.mapInArrow(predict, f"{schema}, n_tokens bigint, posterior array<double>"), domains, weights
+
+
+def tokens_and_posterior(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, n = word_features(column)
+    z = np.column_stack((x, np.ones(len(x)))) @ weights
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return n, p / p.sum(axis=1, keepdims=True)
 
 
 def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -174,48 +181,77 @@ def fit_moves(sums, shares: np.ndarray, *, steps: int = MOST_STEPS, tolerance: f
         moved, found = moved + length * move, tried
 
 
-def fit_rates(rows: DataFrame, shares: np.ndarray, **limits) -> tuple[DataFrame, np.ndarray]:
-    """rows with `rate`, and the expected share of each domain in the budget; rows has n_tokens and posterior.
+def moves_to(rows: DataFrame, shares: np.ndarray, **limits) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the moves, and the expected share of each domain in the budget; rows has n_tokens and posterior.
 
     Where no nonnegative rates meet the targets, the nearest shares are taken, with a warning.
     """
-    moved, reached = np.zeros(len(shares)), np.zeros(len(shares))
-    if rows.agg(F.sum("n_tokens")).first()[0]:
-        moved, reached, met = fit_moves(lambda m: domain_sums(rows, m), shares, **limits)
-        if not met:
-            warnings.warn(f"no rates meet the targets {shares.tolist()}; the nearest shares are {reached.tolist()}", stacklevel=3)
+    if not rows.agg(F.sum("n_tokens")).first()[0]:
+        return np.zeros(len(shares)), np.zeros(len(shares))
+    moved, reached, met = fit_moves(lambda m: domain_sums(rows, m), shares, **limits)
+    if not met:
+        warnings.warn(f"no rates meet the targets {shares.tolist()}; the nearest shares are {reached.tolist()}", stacklevel=4)
+    return moved, reached
+
+
+def with_rates(rows: DataFrame, moved: np.ndarray) -> DataFrame:
+    """rows with `rate`."""
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(*rows_of(batch), moved))], names=[*batch.schema.names, "rate"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, rate double"), reached
+    return rows.mapInArrow(run, f"{schema}, rate double")
 
 
-def mixture_rates(docs: DataFrame, labelled: DataFrame, targets: dict, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list]:
-    """(row, id, n_tokens, posterior, rate) of every row, and the domains. row is the place in the scan of docs.
+def fit_rates(rows: DataFrame, shares: np.ndarray, **limits) -> tuple[DataFrame, np.ndarray]:
+    """rows with `rate`, and the expected share of each domain in the budget; rows has n_tokens and posterior."""
+    moved, reached = moves_to(rows, shares, **limits)
+    return with_rates(rows, moved), reached
 
-    targets maps domains to weights; a domain that it leaves out gets none. The rows' `shares` are those reached, by domain.
-    """
-    place = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found, domains = posteriors(place, labelled.select(F.col(f"`{label_id_col}`").alias("id_"), F.col(f"`{label_col}`").alias("label_")), id_col="id", text_col="text", label_id_col="id_", label_col="label_", fit_rows=fit_rows)
+
+def target_shares(domains: list, targets: dict) -> np.ndarray:
+    """targets maps domains to weights; a domain that it leaves out gets none; without any, all get the same."""
     weights = np.array([float(targets.get(d, 0.0)) for d in domains]) if domains else np.ones(1)
-    if weights.sum() <= 0:
-        weights = np.ones(len(weights))
-    rated, reached = fit_rates(stored(found), weights / weights.sum())
+    return weights / weights.sum() if weights.sum() > 0 else np.full(len(weights), 1 / len(weights))
+
+
+def mixture_rates(docs: DataFrame, labelled: DataFrame, targets: dict, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list]:
+    """(id, n_tokens, posterior, rate) of every row, and the domains. The rows' `shares` are those reached, by domain."""
+    found, domains, _ = rows_to_fit(docs, labelled, id_col=id_col, text_col=text_col, label_id_col=label_id_col, label_col=label_col, fit_rows=fit_rows)
+    rated, reached = fit_rates(found, target_shares(domains, targets))
     rated.shares = reached.tolist()
     return rated, domains
 
 
-def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict, *, seed: int = 29, **columns) -> DataFrame:
+def rows_to_fit(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list, np.ndarray]:
+    """Stored (id, n_tokens, posterior) of every row, the domains and the classifier's weights."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marks = labelled.select(F.col(f"`{label_id_col}`").alias("id_"), F.col(f"`{label_col}`").alias("label_"))
+    found, domains, weights = posteriors(rows, marks, id_col="id", text_col="text", label_id_col="id_", label_col="label_", fit_rows=fit_rows)
+    return stored(found), domains, weights
+
+
+def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict, *, seed: int = 29, text_col: str = "text", **columns) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of it, and once more with the chance of the rest.
 
-    The chance is a hash of the row's place and the seed. docs must read the same way again (a file scan), because a
-    row's place in the scan joins its rate to it.
+    A row's rate follows from its text alone (with the fitted classifier and moves), so rows and rates are never joined.
+    The chance is a hash of the row's place in the scan and the seed.
     """
-    rated, _ = mixture_rates(docs, labelled, targets, **columns)
-    chance = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = rated.select(F.col("row").alias("mix_row"), F.floor(F.col("rate") + chance).cast("int").alias("mix_times")).filter("mix_times > 0")
-    whole = docs.select(F.monotonically_increasing_id().alias("mix_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"))
-    return whole.join(times, "mix_row").select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_doc.*")
+    found, domains, weights = rows_to_fit(docs, labelled, text_col=text_col, **columns)
+    moved, _ = moves_to(found, target_shares(domains, targets))
+    discard(found)
+    held = docs.sparkSession.sparkContext.broadcast((weights, moved))
+
+    @F.arrow_udf("double")
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = by_bytes([pa.RecordBatch.from_arrays([column], names=["text"])], "text")
+            done = [rates_after(*tokens_and_posterior(b.column(0), held.value[0]), held.value[1]) for b in parts]
+            yield pa.array(np.concatenate([np.zeros(0), *done]))
+
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"), rate(F.col(f"`{text_col}`").cast("string")).alias("mix_rate"), chance.alias("mix_chance"))
+    times = F.floor(F.col("mix_rate") + F.col("mix_chance")).cast("int")
+    return whole.withColumn("mix_times", times).filter("mix_times > 0").select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_doc.*")
