@@ -15,8 +15,7 @@ where there are fewer words). Two documents link when 100 * intersection >= perc
   is verified with the two candidates that lead most of its signatures, and classes unite. Then nodes gather in clusters
   by the node that leads most of their signatures (the least hash of those that share one). Within a cluster of LARGE nodes or more
   those outside its largest class are counted against all its nodes, block by block inside tasks, which send on only what
-  unites classes. Candidates of different clusters and classes are then verified as pairs, the best of each node first,
-  until none is left. So no link between classes is lost and pairs within a group of copies are not listed.
+  unites classes. Candidates of different clusters and classes are then all verified as pairs. So no link between classes is lost and pairs within a group of copies are not listed.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with null or repeated ids are documents of their
 own; their component_id is the smallest id of the component, nulls last.
@@ -342,41 +341,40 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
     before = united(None, checked.filter("linked"))
     clusters = stored(clusters_of(shared, before))
     inside = stored(links_in_clusters(clusters, sets, percent))
-    comps, exhaustive, fruitless, turn = united(before, inside), 0, False, 0
+    comps, open_rows, fruitless, turn = united(before, inside), shared, False, 0
     discard(before, inside)
     while True:
         release(spark)
-        rows = shared.join(clusters.select("node", "cluster"), "node", "left").join(comps, "node", "left")
+        rows = open_rows.join(clusters.select("node", "cluster"), "node", "left").join(comps, "node", "left")
         rows = rows.withColumns({"comp": F.coalesce("comp", "node"), "cluster": F.coalesce("cluster", "node")})  # pairs of small clusters are open
         kinds = [rows.groupBy("sig", kind).agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias(f"{kind}s"), F.sum("k").alias("members"), F.sum(F.col("k") * F.col("k")).alias(f"{kind}_pairs")) for kind in ("comp", "cluster")]
         split = kinds[0].filter("comps > 1").join(kinds[1].drop("members").filter("clusters > 1"), "sig")
         split = stored(split.select("sig", "members", (F.col("members") * F.col("members") - F.greatest("comp_pairs", "cluster_pairs")).alias("pairs")))
         work = split.agg(F.sum("members").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not work["rows"]:
-            discard(split, checked, clusters)
+            discard(split, checked, clusters, None if open_rows is shared else open_rows)
             return comps
         every = work["pairs"] <= LINEAR * work["rows"] or fruitless
-        rows = rows.join(split, "sig")
+        rows, old_rows = rows.join(split, "sig"), None
+        if not every:  # signatures of one class stay so
+            old_rows, open_rows = open_rows, stored(rows.select(*shared.columns))
         meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.cluster") != F.col("y.cluster"))
-        if every:
-            most = (8, None)[min(exhaustive, 1)]
-            exhaustive += 1
-        else:
-            most, turn = 8, turn + 1
+        if not every:
+            turn += 1
             bucket = F.pmod(F.xxhash64(F.lit(turn), "sig", "node"), F.ceil(F.col("members") / BUCKET))
             rows = rows.withColumn("bucket", bucket)
             meet = meet & (F.col("x.bucket") == F.col("y.bucket"))
         met = rows.alias("x").join(rows.alias("y"), meet & (F.col("x.node") < F.col("y.node")) & possible("x", "y", percent))
-        open_pairs = stored(best_per_node(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")), most, checked))
+        open_pairs = stored(best_per_node(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")), None if every else 8, checked))
         discard(split)
         fresh = stored(verify(open_pairs, sets, percent))
         n_open, n_linked = open_pairs.count(), fresh.filter("linked").count()
-        discard(open_pairs)
+        discard(open_pairs, None if old_rows is shared else old_rows)
         if n_linked:
             before, comps = comps, united(comps, fresh.filter("linked"))
             discard(before)
-        elif every and (most is None or not n_open):
-            discard(checked, fresh, clusters)
+        if every:  # all pairs between the classes of this round have been verified
+            discard(checked, fresh, clusters, None if open_rows is shared else open_rows)
             return comps
         fruitless = fruitless or 20 * n_linked < n_open
         before, checked = checked, stored(checked.select("a", "b").unionByName(fresh.select("a", "b")))
