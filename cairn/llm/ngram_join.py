@@ -37,8 +37,10 @@ from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, parts_of,
 TABLE_BITS = 24
 LEAST_FREQUENT = 16
 #: Signature rows or tokens of one range, which one task sorts, and of what a task sends at once.
-RANGE_ROWS, SENT_ROWS = 500_000, 500_000
+RANGE_ROWS, SENT_ROWS = 500_000, 200_000
 MOST_BITS = 30
+#: Rows of an Arrow batch of texts, token sets or pairs of them; about 2 MB of common texts.
+BATCH_ROWS = 1_000
 #: Nodes of a cluster that is counted as a whole; in smaller ones candidates are verified as pairs.
 LARGE = 32
 #: Tokens of the nodes that a task counts, and of those that it counts them against.
@@ -172,7 +174,7 @@ def frequent_table(docs: DataFrame, width: int, seed: int, total: int) -> tuple[
         return pa.table({"key": pa.array((np.int64(r) << 32) + keys[often].astype(np.int64)), "df": pa.array(counts[often].astype(np.int64))})
 
     blocks = docs.mapInArrow(send, "range int, once binary, again binary, extra binary")
-    counted = stored(blocks.groupBy("range").applyInArrow(add, "key bigint, df bigint"))
+    counted = stored(blocks.groupBy("range").applyInArrow(add, "key bigint, df bigint"), BATCH_ROWS)
     sizes = {r["b"]: r["n"] for r in counted.groupBy(F.floor(F.log2("df")).alias("b")).agg(F.count("*").alias("n")).collect()}
     least = LEAST_FREQUENT
     while sum(n for b, n in sizes.items() if 2**b >= least) > (1 << TABLE_BITS) // 16:
@@ -336,11 +338,11 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
     centre = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node").alias("o"), "node", "n", "rest")).alias("y"))
     near = shared.alias("x").join(centre.select("sig", "y.*").alias("y"), "sig")
     near = near.filter((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent)).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
-    checked = stored(verify(best_per_node(near, 2), sets, percent))
+    checked = stored(verify(best_per_node(near, 2), sets, percent), BATCH_ROWS)
     release(spark)
     before = united(None, checked.filter("linked"))
     clusters = stored(clusters_of(shared, before))
-    inside = stored(links_in_clusters(clusters, sets, percent))
+    inside = stored(links_in_clusters(clusters, sets, percent), BATCH_ROWS)
     comps, open_rows, fruitless, turn = united(before, inside), shared, False, 0
     discard(before, inside)
     while True:
@@ -367,7 +369,7 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
         met = rows.alias("x").join(rows.alias("y"), meet & (F.col("x.node") < F.col("y.node")) & possible("x", "y", percent))
         open_pairs = stored(best_per_node(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")), None if every else 8, checked))
         discard(split)
-        fresh = stored(verify(open_pairs, sets, percent))
+        fresh = stored(verify(open_pairs, sets, percent), BATCH_ROWS)
         n_open, n_linked = open_pairs.count(), fresh.filter("linked").count()
         discard(open_pairs, None if old_rows is shared else old_rows)
         if n_linked:
@@ -410,7 +412,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 marks = [fingerprint(s, seed) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["rid", "id", "n", "node", "second"])
 
-        return stored(rows.mapInArrow(run, "rid bigint, id bigint, n bigint, node bigint, second bigint"))
+        return stored(rows.mapInArrow(run, "rid bigint, id bigint, n bigint, node bigint, second bigint"), BATCH_ROWS)
 
     for seed in range(8):  # two sets that share 64 bits are told apart by another seed
         measured = measure(seed)
@@ -424,7 +426,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     packed, shift = frequent_table(rows, width, seed, total)
     release(spark)
     held = spark.sparkContext.broadcast(packed)
-    shared = stored(shared_signatures(rows, width, percent, seed, held, shift, total))
+    shared = stored(shared_signatures(rows, width, percent, seed, held, shift, total), BATCH_ROWS)
     release(spark)
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("rid"))
 
@@ -433,7 +435,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    sets = stored(rows.join(wanted, "rid").select("node", "text").mapInArrow(tokens, "node bigint, tokens binary"))
+    sets = stored(rows.join(wanted, "rid").select("node", "text").mapInArrow(tokens, "node bigint, tokens binary"), BATCH_ROWS)
     discard(nodes)
     release(spark)
     comps = links_between_nodes(shared, sets, percent)

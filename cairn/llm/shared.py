@@ -22,18 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark then drops the shuffle files of an execution as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends here and lost executors cost no recomputation."""
+def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends here and lost executors cost no recomputation.
+
+    batch_rows is the most rows of an Arrow batch on the way, for rows that hold long values.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
