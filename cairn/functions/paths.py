@@ -15,9 +15,9 @@ BINARY_EXTENSIONS = (
 
 
 def normalised(path: Column) -> Column:
-    """Trimmed, with forward slashes, without leading ./ or / and trailing /; empty becomes a dot."""
-    path = F.translate(F.trim(path), "\\", "/")
-    path = F.regexp_replace(F.regexp_replace(path, r"^(?:\./+)+", ""), r"^/+|/+$", "")
+    """Trimmed, with forward slashes, without one leading ./ or / and one trailing /; empty becomes a dot."""
+    path = F.translate(F.regexp_replace(path, r"^\s+|\s+$", ""), "\\", "/")
+    path = F.regexp_replace(F.regexp_replace(path, r"^\.?/", ""), "/$", "")
     return F.when(path == "", F.lit(".")).otherwise(path)
 
 

@@ -38,7 +38,6 @@ GRADLE = {
 SCHEMA = {'provider = "postgresql"': ("PostgreSQL", None), 'provider = "mysql"': ("MySQL", None), 'provider = "sqlite"': ("SQLite", None)}
 #: Fixed values: (pattern of a path, what it gives as (output, value), what must hold besides). `gate` is for other rules alone.
 PATHS = [
-    (r"^package\.json$", [("gate", "node"), ("feature", "Node.js package")], None),
     (r"^tsconfig\.json$", [("tech", "TypeScript")], "node"),
     (r"^vite\.config", [("tech", "Vite"), ("feature", "Frontend")], None),
     (r"^next\.config", [("tech", "Next.js"), ("feature", "Frontend")], None),
@@ -78,7 +77,7 @@ def rule_rows() -> list[tuple]:
         rows += [(kind, arg, output, value, None) for arg, pair in table.items() for output, value in zip(("tech", "feature"), pair) if value]
     rows += [("file", path, "entry", path, "node") for path in ENTRIES]
     rows += [("tool", tool, "tech", name, None) for tool, name in TOOLS.items()]
-    rows += [("hint", "workspace", "tech", "Monorepo", None), ("hint", "workspace", "feature", "Monorepo structure", None), ("hint", "cargo", "feature", "Cargo workspace", None), ("schema", "", "tech", "Prisma", None), ("schema", "", "feature", "Database", None)]
+    rows += [("hint", "node", "gate", "node", None), ("hint", "node", "feature", "Node.js package", None), ("hint", "workspace", "tech", "Monorepo", None), ("hint", "workspace", "feature", "Monorepo structure", None), ("hint", "cargo", "feature", "Cargo workspace", None), ("schema", "", "tech", "Prisma", None), ("schema", "", "feature", "Database", None)]
     return rows
 
 
@@ -101,7 +100,7 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     used = found.filter("path = 'package.json'").unionByName(members)
     names = used.select("repo", F.explode(F.array_union(F.map_keys("dependencies"), F.map_keys("dev_dependencies"))).alias("arg"))
     of_packages = names.select("repo", F.struct(F.lit("node").alias("kind"), "arg").alias("f"))
-    hints = found.filter("path = 'package.json' and size(workspaces) > 0").select("repo", F.struct(F.lit("hint").alias("kind"), F.lit("workspace").alias("arg")).alias("f"))
+    hints = found.filter("path = 'package.json'").select("repo", F.explode(facts_where("hint", {"node": F.lit(True), "workspace": F.size("workspaces") > 0})).alias("f"))
     gradle = contents.filter("path in ('build.gradle', 'build.gradle.kts')").groupBy("repo").agg(F.max_by("content", "path").alias("content")).withColumn("path", F.lit("build.gradle"))
     needles = F.lit(None).cast("array<struct<kind:string,arg:string>>")
     for name, kind, table in (("go.mod", "go", GO), ("pom.xml", "maven", MAVEN), ("build.gradle", "gradle", GRADLE)):

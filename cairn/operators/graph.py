@@ -79,7 +79,8 @@ def dependents_by_level(edges: DataFrame, roots: DataFrame, depth: int) -> DataF
 
 def impact(edges: DataFrame, roots: DataFrame, depth=2, min_depth=1, limit=None) -> DataFrame:
     """(node, level, dependents, place) by level from min_depth on; place orders all by dependents, then node."""
-    depth, least = at_least_one(depth, 2), at_least_one(min_depth, 1)
+    depth = at_least_one(depth, 2)
+    least = min(at_least_one(min_depth, 1), depth)
     found = dependents_by_level(edges, roots, depth).filter(F.col("level") >= least)
     fan = edges.groupBy("dst").agg(F.count("*").alias("dependents"))
     ranked = found.join(fan, F.col("node") == F.col("dst"), "left").select("node", "level", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
@@ -93,6 +94,29 @@ def level_totals(impacted: DataFrame) -> DataFrame:
     return impacted.groupBy("level").agg(F.count("*").alias("total"))
 
 
+def impact_report(edges: DataFrame, resolved: DataFrame, depth=2, min_depth=1, limit=None) -> DataFrame:
+    """One row (roots, missing_roots, warnings, depth, min_depth, total, truncated, level_totals) of resolved paths.
+
+    resolved comes from resolve_paths. level_totals has the levels from min_depth to the last one looked at, which may be
+    empty. The nodes are the rows of `impact`, as there may be any number of them.
+    """
+    depth = at_least_one(depth, 2)
+    least = min(at_least_one(min_depth, 1), depth)
+    found = dependents_by_level(edges, resolved.filter("found").select(F.col("path").alias("node")), depth)
+    ends = found.agg(F.coalesce(F.max("level"), F.lit(0)).alias("last"), F.count_if(F.col("level") >= least).alias("total"))
+    sums = found.groupBy("level").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("sums"))  # one entry a level
+    asked = resolved.agg(
+        F.array_sort(F.collect_list("path")).alias("roots"),
+        F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("path")))).alias("missing_roots"),
+        F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.concat_ws(": ", "warning", "path")))).alias("warnings"),
+    )  # the stated requests
+    levels = F.filter(F.sequence(F.lit(1), F.least(F.lit(depth), F.col("last") + 1)), lambda x: x >= least)
+    totals = F.map_from_arrays(levels, F.transform(levels, lambda x: F.coalesce(F.try_element_at("sums", x), F.lit(0).cast("bigint"))))
+    count = at_least_one(limit, 0)
+    out = asked.join(F.broadcast(ends)).join(F.broadcast(sums))
+    return out.select("roots", "missing_roots", "warnings", F.lit(depth).alias("depth"), F.lit(least).alias("min_depth"), "total", (F.lit(bool(count)) & (F.col("total") > count)).alias("truncated"), totals.alias("level_totals"))
+
+
 def affected(edges: DataFrame, changed: DataFrame, depth=2) -> DataFrame:
     """(node, is_test) that a change reaches; the changed nodes are left out."""
     return dependents_by_level(edges, changed, at_least_one(depth, 2)).select("node", is_test(F.col("node")).alias("is_test"))

@@ -30,33 +30,48 @@ def suggestions(pairs: DataFrame, name: str) -> DataFrame:
     return kept.groupBy("request").agg(F.array_sort(F.collect_list("path")).alias(name))
 
 
-def resolve_paths(requests: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """(request, path, found, kind, resolved_from, suggestions) of every requested path.
+def longer_by_extension(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(request, path) of the files that begin with a requested value and a dot, wherever they are.
 
-    A file, else a folder, else the dot, else the only file that adds an extension; several such files or similar
-    siblings are suggested. A sibling is similar if one stem holds the other or two edits part them at most.
+    A path is cut before each of its dots and joined by equality, so no request is held against all files.
     """
+    cuts = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "."))
+    rows = files.select("path", F.split("path", r"\.").alias("parts")).filter(F.size("parts") > 1).select("path", F.explode(cuts).alias("value"))
+    return rows.join(asked.select("request", "value"), "value").select("request", "path")
+
+
+def resolve_paths(requests: DataFrame, files: DataFrame, dirs: DataFrame, expected: str = "any") -> DataFrame:
+    """(request, path, found, kind, resolved_from, suggestions, warning) of every requested path.
+
+    A file, else a folder, else the dot, else the only file that adds an extension; several such files or similar files
+    and folders beside it are suggested. A name is similar if one stem holds the other or two edits part them at most.
+    `expected` is file, dir or any. warning is `extended`, `ambiguous`, `similar` or `missing`, null for exact paths.
+    """
+    if expected not in ("file", "dir", "any"):
+        raise ValueError(f"expected must be file, dir or any, not {expected}")
     asked = requests.select("request").distinct().withColumn("value", normalised(F.col("request")))
-    exact = asked.join(files.select(F.col("path").alias("value"), F.lit("file").alias("f")), "value", "left")
-    exact = exact.join(dirs.select(F.col("path").alias("value"), F.lit("directory").alias("d")), "value", "left")
-    exact = exact.withColumn("kind", F.coalesce("f", "d", F.when(F.col("value") == ".", "directory")))
-    near = asked.select("request", "value", directory(F.col("value")).alias("dir"))
-    beside = files.select("path", directory(F.col("path")).alias("dir"))
-    pairs = near.join(beside, "dir")
-    longer = pairs.filter(F.col("path").startswith(F.concat("value", F.lit("."))))
+    there = files.select("path", F.lit("file").alias("is")) if expected != "dir" else files.select("path", F.lit("file").alias("is")).limit(0)
+    if expected != "file":
+        there = there.unionByName(dirs.select("path", F.lit("directory").alias("is")))
+    exact = asked.join(there.select(F.col("path").alias("value"), "is"), "value", "left").groupBy("request", "value").agg(F.max("is").alias("is"))
+    exact = exact.withColumn("kind", F.coalesce("is", F.when((F.col("value") == ".") & F.lit(expected != "file"), "directory")))
+    beside = there.select("path", directory(F.col("path")).alias("dir"))
+    pairs = asked.select("request", "value", directory(F.col("value")).alias("dir")).join(beside, "dir")
     own, other = F.lower(stem(F.col("value"))), F.lower(stem(F.col("path")))
-    alike = pairs.filter((F.col("path") != F.col("value")) & (F.contains(other, own) | F.contains(own, other) | (F.levenshtein(own, other, 2) >= 0)))
+    alike = pairs.filter(F.contains(other, own) | F.contains(own, other) | (F.levenshtein(own, other, 2) >= 0)).select("request", "path").distinct()
+    longer = longer_by_extension(asked, files if expected != "dir" else files.limit(0))
     counted = longer.groupBy("request").agg(F.count("*").alias("n"), F.min("path").alias("only"))
     out = exact.join(counted, "request", "left").join(suggestions(longer, "longer"), "request", "left").join(suggestions(alike, "alike"), "request", "left")
     none = F.array().cast("array<string>")
-    auto = F.col("kind").isNull() & (F.col("n") == 1)
+    known, auto = F.col("kind").isNotNull(), F.col("kind").isNull() & (F.col("n") == 1)
     return out.select(
         "request",
         F.when(auto, F.col("only")).otherwise(F.col("value")).alias("path"),
-        (F.col("kind").isNotNull() | F.coalesce(auto, F.lit(False))).alias("found"),
+        (known | F.coalesce(auto, F.lit(False))).alias("found"),
         F.when(auto, F.lit("file")).otherwise(F.col("kind")).alias("kind"),
         F.when(auto, F.col("value")).alias("resolved_from"),
-        F.when(F.col("kind").isNotNull(), none).otherwise(F.coalesce("longer", "alike", none)).alias("suggestions"),
+        F.when(known, none).otherwise(F.coalesce("longer", "alike", none)).alias("suggestions"),
+        F.when(known, None).when(auto, "extended").when(F.col("n") > 1, "ambiguous").when(F.col("alike").isNotNull(), "similar").otherwise("missing").alias("warning"),
     )
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import is_test, path_list
-from cairn.operators import changes, graph, imports, resolve, symbols, text
+from cairn.operators import changes, detect, fileinfo, graph, imports, resolve, symbols, text
+from cairn.operators.storage import materialise
+from cairn.sources import manifests
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -275,7 +277,7 @@ def tree_depth(spark, d):
     WITH f AS ({FILES}), q(request) AS (VALUES ('src0/en/0'), ('./src0/en/0.txt/'), ('src0/en'), ('src0/en/00'), ('src0\\en\\1.txt'), ('  '), ('nowhere/x')),
     n AS (SELECT request, CASE request WHEN './src0/en/0.txt/' THEN 'src0/en/0.txt' WHEN 'src0\\en\\1.txt' THEN 'src0/en/1.txt' WHEN '  ' THEN '.' ELSE request END AS value FROM q),
     k AS (SELECT n.*, CASE WHEN value IN (SELECT path FROM f) THEN 'file' WHEN value IN (SELECT source || '/' || lang FROM f UNION SELECT source FROM f) OR value = '.' THEN 'directory' END AS kind FROM n),
-    s AS (SELECT request, count(*) AS c, min(path) AS one FROM k JOIN f ON starts_with(path, value || '.') AND regexp_replace(path, '/[^/]*$', '') = regexp_replace(value, '/[^/]*$', '') GROUP BY request)
+    s AS (SELECT request, count(*) AS c, min(path) AS one FROM k JOIN f ON starts_with(path, value || '.') GROUP BY request)
     SELECT k.request, CASE WHEN kind IS NULL AND c = 1 THEN one ELSE value END AS path, kind IS NOT NULL OR coalesce(c = 1, false) AS found,
            CASE WHEN kind IS NULL AND c = 1 THEN 'file' ELSE kind END AS kind, CASE WHEN kind IS NULL AND c = 1 THEN value END AS resolved_from
     FROM k LEFT JOIN s USING (request)
@@ -489,4 +491,96 @@ def source_symbols(spark, d):
 def source_call_edges(spark, d):
     """X12, X14 to X16."""
     rows = sources(spark, d)
-    return symbols.call_edges(rows, imports.import_edges(rows, rows.select("path")), symbols.symbols(rows))
+    return symbols.call_edges(rows, materialise(imports.import_edges(rows, rows.select("path"))), materialise(symbols.symbols(rows)))
+
+
+@query("""
+    WITH o AS (SELECT 'src/o/o' || o_orderkey || '.ts' AS p, o_orderkey AS k, o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey),
+    r AS (SELECT 'src/c/c1' AS request, 'src/c/c1.ts' AS path), n AS (SELECT NULL AS name, NULL AS kind, CAST(NULL AS BOOLEAN) AS is_default, CAST(NULL AS BOOLEAN) AS exported, NULL AS container, NULL AS other_path, NULL AS other_name, CAST(NULL AS INTEGER) AS line)
+    SELECT request, path, 'file' AS part, NULL AS name, 'file' AS kind, is_default, exported, container, other_path, other_name, line FROM r, n
+    UNION ALL SELECT 'geo/nation/n0.py', 'geo/nation/n0.py', 'file', 'limited', 'file', is_default, exported, container, other_path, other_name, line FROM n
+    UNION ALL SELECT 'geo/region/r9.py', 'geo/region/r9.py', 'file', 'limited', 'missing', is_default, exported, container, other_path, other_name, line FROM n
+    UNION ALL SELECT 'geo/region/r9.py', 'geo/region/r9.py', 'suggestion', name, kind, is_default, exported, container, 'geo/region/r' || r_regionkey || '.py', other_name, line FROM region, n
+    UNION ALL SELECT request, path, 'suggestion', name, kind, is_default, exported, container, path, other_name, line FROM r, n
+    UNION ALL SELECT request, path, 'symbol', s.name, s.kind, false, s.exported, s.container, NULL, NULL, s.line FROM r, (VALUES ('find1', 'const', true, NULL, 1), ('Customer1', 'class', true, NULL, 4), ('name', 'method', false, 'Customer1', 5)) s(name, kind, exported, container, line)
+    UNION ALL SELECT request, path, 'imported_by', name, kind, is_default, exported, container, p, other_name, line FROM r, n, o WHERE c = 1
+    UNION ALL SELECT request, path, 'called_by', 'find1', kind, is_default, exported, container, p, 'order' || k, 4 FROM r, n, o WHERE c = 1
+    UNION ALL SELECT 'geo/nation/n0.py', 'geo/nation/n0.py', 'import', name, kind, is_default, exported, container, 'geo/region/r' || n_regionkey || '.py', other_name, line FROM nation, n WHERE n_nationkey = 0
+""")
+def file_info(spark, d):
+    """E5, R5 to R7, G11, G12."""
+    rows = sources(spark, d)
+    paths = rows.select("path")
+    edges, found = materialise(imports.import_edges(rows, paths)), materialise(symbols.symbols(rows))
+    calls = materialise(symbols.call_edges(rows, edges, found))
+    asked = spark.createDataFrame([("src/c/c1",), ("geo/nation/n0.py",), ("geo/region/r9.py",)], "request string")
+    return fileinfo.file_info(resolve.resolve_paths(asked, paths, text.directories(paths), "file"), edges, found, calls)
+
+
+@query(f"""
+    WITH f AS ({FILES}), p AS (SELECT DISTINCT source AS path FROM f WHERE contains(source, 'sr0') OR contains('sr0', source) OR levenshtein(source, 'sr0') <= 2)
+    SELECT 'sr0' AS request, 'sr0' AS path, coalesce((SELECT string_agg(path, '|' ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 10)), '') AS suggestions, CASE WHEN (SELECT count(*) FROM p) > 0 THEN 'similar' ELSE 'missing' END AS warning
+""")
+def suggest_directories(spark, d):
+    """Folders beside the path that is asked for."""
+    rows = files(spark, d).select("path")
+    asked = spark.createDataFrame([("sr0",)], "request string")
+    return resolve.resolve_paths(asked, rows, text.directories(rows)).select("request", "path", F.array_join("suggestions", "|").alias("suggestions"), "warning")
+
+
+@query(reach(3) + """, k AS (SELECT unnest(range(2, 4)) AS level), c AS (SELECT CAST(k.level AS INTEGER) AS level, count(x.node) AS n FROM k LEFT JOIN x USING (level) GROUP BY 1)
+    SELECT 'nowhere|region/1' AS roots, 'nowhere' AS missing_roots, 3 AS depth, 2 AS min_depth, (SELECT count(*) FROM x WHERE level >= 2) AS total, (SELECT count(*) FROM x WHERE level >= 2) > 5 AS truncated, level, n FROM c
+""")
+def impact_report(spark, d):
+    """The totals of each level, with roots of which one is missing."""
+    edges = dep(spark, d)
+    known = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    resolved = resolve.resolve_paths(nodes(spark, "region/1", "nowhere").withColumnRenamed("node", "request"), known, known.limit(0), "file")
+    found = graph.impact_report(edges, resolved, 3, 2, limit=5)
+    return found.select(F.array_join("roots", "|").alias("roots"), F.array_join("missing_roots", "|").alias("missing_roots"), "depth", "min_depth", "total", "truncated", F.explode("level_totals").alias("level", "n"))
+
+
+#: The manifest that a customer's repository holds; # is its key. Every seventh has no valid manifest.
+MANIFEST = '{ /* one, of many */ "name": "r#", "dependencies": {"react": "1", "left": 2,}, "devDependencies": {"%s": "3"}, // end\n }'
+
+
+def customer_repositories(spark, d):
+    key = F.col("c_custkey").cast("string")
+    other = F.when(F.col("c_custkey") % 2 == 0, F.lit(MANIFEST % "express")).otherwise(F.lit(MANIFEST % "vitest"))
+    text = F.when(F.col("c_custkey") % 7 == 0, F.lit("none")).otherwise(F.replace(other, F.lit("#"), key))
+    held = [("package.json", text, None), ("tsconfig.json", F.lit("{}"), "c_custkey % 3 = 0"), ("go.mod", F.lit("module m\nrequire gorm.io/gorm v1"), "c_custkey % 5 = 0"), ("tests/test_a.py", F.lit(""), "c_custkey % 11 = 0")]
+    rows = table(spark, d, "customer").select("c_custkey", key.alias("repo"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), t.alias("content"), (F.expr(c) if c else F.lit(True)).alias("has")) for p, t, c in held))).alias("f"))
+    return rows.filter("f.has").select("repo", "f.path", "f.content")
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo FROM customer)
+    SELECT repo, 'feature' AS output, 'Node.js package' AS value FROM c WHERE k % 7 <> 0
+    UNION ALL SELECT repo, 'tech', 'TypeScript' FROM c WHERE k % 3 = 0 AND k % 7 <> 0
+    UNION ALL SELECT repo, output, value FROM c, (VALUES ('tech', 'React'), ('feature', 'Frontend')) v(output, value) WHERE k % 7 <> 0
+    UNION ALL SELECT repo, output, value FROM c, (VALUES ('tech', 'Express'), ('feature', 'Backend')) v(output, value) WHERE k % 7 <> 0 AND k % 2 = 0
+    UNION ALL SELECT repo, 'tech', 'Vitest' FROM c WHERE k % 7 <> 0 AND k % 2 = 1
+    UNION ALL SELECT repo, 'tech', unnest(['Go', 'GORM']) FROM c WHERE k % 5 = 0
+    UNION ALL SELECT repo, output, value FROM c, (VALUES ('tech', 'Python'), ('feature', 'Tests')) v(output, value) WHERE k % 11 = 0
+""")
+def detect_stack(spark, d):
+    """The rule table over one repository for each customer."""
+    rows = customer_repositories(spark, d)
+    return detect.detect(rows.select("repo", "path"), rows)
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS repo, 'r' || c_custkey AS name, v.name AS dependency, v.value AS version
+    FROM customer, (VALUES ('react', '1', -1), ('express', '3', 0), ('vitest', '3', 1)) v(name, value, odd) WHERE c_custkey % 7 <> 0 AND (odd = -1 OR c_custkey % 2 = odd)
+""")
+def manifest_dependencies(spark, d):
+    """Entries whose values are strings, from JSON with comments and trailing commas."""
+    found = manifests.packages(customer_repositories(spark, d))
+    return found.select("repo", "name", F.explode(F.map_concat("dependencies", "dev_dependencies")).alias("dependency", "version"))
+
+
+@query(f"SELECT path, path LIKE '%1.txt' AS is_test FROM (SELECT CASE WHEN doc_id % 10 = 1 THEN 'tests/' || path ELSE path END AS path FROM ({FILES}))")
+def test_folders(spark, d):
+    """Paths below a tests folder and others."""
+    moved = files(spark, d).select(F.when(F.col("path").endswith("1.txt"), F.concat(F.lit("tests/"), "path")).otherwise(F.col("path")).alias("path"))
+    return moved.select("path", is_test(F.col("path")).alias("is_test"))

@@ -85,3 +85,24 @@ def test_tokens(spark):
 def test_pending(spark, events, left):
     rows = spark.createDataFrame([("p", e, i) for i, e in enumerate(events)], "path string, event string, seq bigint")
     assert [tuple(r) for r in changes.pending(rows).collect()] == [("p", left)]
+
+
+def test_requested_paths(spark):
+    from cairn.operators.resolve import resolve_paths
+
+    files = spark.createDataFrame([(p,) for p in ("src/mcp/cache.ts", "src/mcp/cache.test.ts", "src/mcp/server.ts", "src/utils.ts", "lib/a.test/x.ts")], "path string")
+    dirs = spark.createDataFrame([(p,) for p in ("src", "src/mcp", "lib", "lib/a.test")], "path string")
+
+    def ask(path, expected="file"):
+        r = resolve_paths(spark.createDataFrame([(path,)], "request string"), files, dirs, expected).first()
+        return r["path"], r["found"], r["kind"], r["resolved_from"], r["suggestions"], r["warning"]
+
+    assert ask("src/mcp/cache.ts") == ("src/mcp/cache.ts", True, "file", None, [], None)
+    assert ask("src/utils") == ("src/utils.ts", True, "file", "src/utils", ["src/utils.ts"], "extended")
+    assert ask("src/mcp/cach") == ("src/mcp/cach", False, None, None, ["src/mcp/cache.test.ts", "src/mcp/cache.ts"], "similar")
+    assert ask("src/mcp/cache") == ("src/mcp/cache", False, None, None, ["src/mcp/cache.test.ts", "src/mcp/cache.ts"], "ambiguous")
+    assert ask("lib/a") == ("lib/a.test/x.ts", True, "file", "lib/a", ["lib/a.test/x.ts"], "extended")
+    assert ask("src/mpc", "any")[4:] == (["src/mcp"], "similar")
+    assert ask("src/mcp", "file")[:3] == ("src/mcp", False, None)
+    assert ask("", "dir")[:3] == (".", True, "directory")
+    assert ask("zzz/q") == ("zzz/q", False, None, None, [], "missing")
