@@ -37,10 +37,12 @@ from cairn.llm.textbytes import LOWER, NOT_SPACE, U64, by_bytes, mix, parts_of,
 TABLE_BITS = 24
 LEAST_FREQUENT = 16
 #: Signature rows or tokens of one range, which one task sorts, and of what a task sends at once.
-RANGE_ROWS, SENT_ROWS = 500_000, 200_000
+RANGE_ROWS, SENT_ROWS = 250_000, 200_000
 MOST_BITS = 30
 #: Rows of an Arrow batch of texts, token sets or pairs of them; about 2 MB of common texts.
 BATCH_ROWS = 1_000
+#: Bytes of text that a task hashes at once; a word costs it about 50 bytes while it does.
+PIECE_BYTES = 500_000
 #: Nodes of a cluster that is counted as a whole; in smaller ones candidates are verified as pairs.
 LARGE = 32
 #: Tokens of the nodes that a task counts, and of those that it counts them against.
@@ -125,7 +127,7 @@ def signatures(tokens: np.ndarray, table: np.ndarray, shift: int, percent: int)
 def distinct_sets(batches, width: int, seed: int):
     """(fingerprint, set) of each distinct set of a task's rows."""
     seen = set()
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", PIECE_BYTES):
         for tokens in shingle_sets(batch.column(batch.schema.get_field_index("text")), width):
             if len(tokens) >= SMALL and (own := fingerprint(tokens, seed)) not in seen:
                 seen.add(own)
@@ -407,7 +409,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def measure(seed):
         def run(batches):
-            for batch in by_bytes(batches, "text"):
+            for batch in by_bytes(batches, "text", PIECE_BYTES):
                 sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
                 marks = [fingerprint(s, seed) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["rid", "id", "n", "node", "second"])
@@ -431,7 +433,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("rid"))
 
     def tokens(batches):
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", PIECE_BYTES):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
