@@ -49,6 +49,8 @@ LARGE = 32
 COUNTED_TOKENS, AGAINST_TOKENS = 250_000, 500_000
 #: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
 LINEAR, BUCKET = 4, 4
+#: Nodes whose ids are broadcast (below 100 MB as a hash table) to keep other sets out of a shuffle.
+BROADCAST_NODES = 2_000_000
 SMALL = 4  # sets below four tokens link with equal sets only
 
 
@@ -246,7 +248,7 @@ def shared_runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b)."""
+    """(a, b, linked) of stored pairs (a, b); sets of no pair are left out before the shuffle where the ids may be broadcast."""
 
     def run(batches):
         for batch in batches:
@@ -258,6 +260,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * inter >= percent * (len(both) - inter))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if needed.count() <= BROADCAST_NODES:
+        sets = sets.join(F.broadcast(needed), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
@@ -340,7 +345,10 @@ def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> Dat
     centre = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node").alias("o"), "node", "n", "rest")).alias("y"))
     near = shared.alias("x").join(centre.select("sig", "y.*").alias("y"), "sig")
     near = near.filter((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent)).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
-    checked = stored(verify(best_per_node(near, 2), sets, percent), BATCH_ROWS)
+    first = stored(best_per_node(near, 2))
+    release(spark)
+    checked = stored(verify(first, sets, percent), BATCH_ROWS)
+    discard(first)
     release(spark)
     before = united(None, checked.filter("linked"))
     clusters = stored(clusters_of(shared, before))
