@@ -47,8 +47,9 @@ PIECE_BYTES = 500_000
 LARGE = 32
 #: Tokens of the nodes that a task counts, and of those that it counts them against.
 COUNTED_TOKENS, AGAINST_TOKENS = 250_000, 500_000
-#: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first.
-LINEAR, BUCKET = 4, 4
+#: Pairs between classes for each signature row from which on nodes meet in buckets of BUCKET first: so many tests of sizes
+#: and positions cost about as much as a row on its way through a round's shuffles.
+LINEAR, BUCKET = 64, 4
 #: Nodes whose ids are broadcast (below 100 MB as a hash table) to keep other sets out of a shuffle.
 BROADCAST_NODES = 2_000_000
 SMALL = 4  # sets below four tokens link with equal sets only
