@@ -339,7 +339,7 @@ def links_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int) -> Dat
 def links_between_nodes(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of the nodes that link with others.
 
-    Between clusters, while the pairs outnumber the signature rows, nodes meet in small random buckets of a signature
+    Between clusters, while the pairs are more than LINEAR times the signature rows, nodes meet in small random buckets of a signature
     first; where that finds no more links, all pairs that are left between classes are checked.
     """
     spark = shared.sparkSession
