@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.bestfit import pack_best_fit
 from cairn.llm.decontaminate import decontaminate
+from cairn.llm.lexical import build_index, search
 from cairn.llm.line_dedup import remove_boilerplate
+from cairn.llm.merkle import fold, leaf_of, merkle_manifest, proof
 from cairn.llm.mixing import mixture_rates
 from cairn.llm.ngram_join import jaccard_classes
 from cairn.llm.packing import pack_documents
@@ -81,6 +84,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_best_fit(table(spark, sf_dir, "documents"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    tampered = leaf_of(*map(F.col, fields[:-1]), text)
+    found = merkle_manifest(table(spark, sf_dir, "documents"), fields, carry={"tampered": tampered})
+    found = found.withColumn("folded_root", fold(F.col("tampered"), F.col("path")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_pack_tokens": op1_pack_tokens,
     "op2_mix_sources": op2_mix_sources,
@@ -92,6 +114,9 @@ QUERIES = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -163,4 +188,62 @@ ORACLES = {
         )
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE n = 1
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), c AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+        i AS (
+            SELECT item_id, term, count(*) AS repeats
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term
+        ), p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+        x AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM x, c),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(repeats * g.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM i JOIN p USING (term) JOIN g USING (term), c GROUP BY item_id, doc_id
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE f AS (
+            SELECT *, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: CASE WHEN x IS NULL THEN '-' ELSE CAST(strlen(x) AS VARCHAR) || ':' || x END) AS head,
+                   list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS crc
+            FROM documents
+        ), t AS (SELECT *, CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS altered FROM f),
+        leaves AS (
+            SELECT doc_id, coalesce('=' || source, '-') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+                   sha256(array_to_string(head, '') || CASE WHEN text IS NULL THEN '-' ELSE CAST(strlen(text) AS VARCHAR) || ':' || text END) AS node,
+                   sha256(array_to_string(head, '') || CASE WHEN altered IS NULL THEN '-' ELSE CAST(strlen(altered) AS VARCHAR) || ':' || altered END) AS tampered
+            FROM t
+        ), lower_levels AS (
+            SELECT 0 AS level, grp, idx, n, node FROM leaves
+            UNION ALL
+            SELECT level + 1, grp, idx // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY idx)) FROM lower_levels WHERE n > 1 GROUP BY level, grp, idx // 3
+        ), subroots AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+        upper_levels AS (
+            SELECT 0 AS level, '' AS grp, place AS idx, n, subroot AS node FROM subroots
+            UNION ALL
+            SELECT level + 1, grp, idx // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY idx)) FROM upper_levels WHERE n > 1 GROUP BY level, grp, idx // 3
+        ), nodes AS (SELECT 'lower' AS tree, * FROM lower_levels UNION ALL SELECT 'upper', * FROM upper_levels),
+        sides AS (
+            SELECT tree, level, grp, idx, n, coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, grp, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                   coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, grp, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+            FROM nodes
+        ), low(grp, leaf_idx, level, idx, proof, folded) AS (
+            SELECT grp, idx, 0, idx, '', tampered FROM leaves
+            UNION ALL
+            SELECT low.grp, leaf_idx, low.level + 1, low.idx // 3, proof || before || behind, sha256(before || folded || behind)
+            FROM low JOIN sides ON tree = 'lower' AND sides.level = low.level AND sides.grp = low.grp AND sides.idx = low.idx AND n > 1
+        ), ended AS (SELECT grp, leaf_idx, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM low GROUP BY grp, leaf_idx),
+        up(grp, leaf_idx, level, idx, proof, folded) AS (
+            SELECT grp, leaf_idx, 0, place, proof, folded FROM ended JOIN subroots USING (grp)
+            UNION ALL
+            SELECT up.grp, leaf_idx, up.level + 1, up.idx // 3, proof || before || behind, sha256(before || folded || behind)
+            FROM up JOIN sides ON tree = 'upper' AND sides.level = up.level AND sides.idx = up.idx AND n > 1
+        ), done AS (SELECT grp, leaf_idx, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM up GROUP BY grp, leaf_idx),
+        top AS (SELECT node AS root FROM upper_levels WHERE n = 1)
+        SELECT doc_id, leaves.node AS leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM leaves JOIN done ON leaves.grp = done.grp AND leaves.idx = done.leaf_idx JOIN subroots ON subroots.grp = leaves.grp, top
+    """,
 }
