@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
 POINT[list(b",.;:!?")] = True
 #: A control character that stands between chunks that are encoded together.
 MARK = "\x01"
+#: Fixed value: how the vocabulary writes tokens at the end of a word.
+WORD_END = "</w>"
 
 
 def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -64,36 +65,51 @@ def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class ChunkEncoder:
     """Ids of texts; a chunk that was met before, byte for byte, is looked up."""
 
-    def __init__(self, path: str, most_known: int = 500_000):
+    def __init__(self, path: str, most_known: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.most_known = most_known
-        self.forget()
-
-    def forget(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.starts, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def keep_only(self, words: list[bytes]) -> None:
+        """Forget all chunks but these."""
+        known = [w for w in words if w in self.slots]
+        slot = np.fromiter((self.slots[w] for w in known), np.int64, len(known))
+        size = self.starts[slot + 1] - self.starts[slot]
+        starts = np.concatenate(([0], np.cumsum(size)))
+        self.pool = self.pool[np.repeat(self.starts[slot] - starts[:-1], size) + np.arange(int(starts[-1]))]
+        self.slots, self.starts = dict(zip(known, range(len(known)))), starts
+
     def encode_new(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """Ids of each chunk. Many are encoded as one text, with the mark between them."""
-        out: list = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if b"\x01" not in c] if self.mark is not None else []
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            text = f" {MARK} ".join(chunks[i].decode("utf-8", "replace") for i in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(some) - 1:
-                for i, start, end in zip(some, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
-                    out[i] = ids[start:end]
-        for i, found in enumerate(out):
-            if found is None:
-                out[i] = np.array(self.tokenizer.encode(chunks[i].decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int32)
-        return out
+        """Ids of each chunk. Many are encoded as one text: words of letters alone, and others with the mark between them."""
+        texts, out = [c.decode("utf-8", "replace") for c in chunks], [None] * len(chunks)
+
+        def together(which: list[int], gap: str) -> None:
+            for a in range(0, len(which), 512):
+                some = which[a : a + 512]
+                ids = np.array(self.tokenizer.encode(gap.join([texts[i] for i in some]), add_special_tokens=False).ids, dtype=np.int32)
+                if gap == " ":  # a word of letters ends with its only end of a word
+                    ends = np.flatnonzero(self.ends_word[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                    starts = np.append(0, ends[:-1] + 1)
+                if len(ends) == len(some):
+                    for i, start, end in zip(some, starts.tolist(), ends.tolist()):
+                        out[i] = ids[start:end]
+
+        together([i for i, t in enumerate(texts) if t.isalpha()], " ")
+        if self.mark is not None:
+            together([i for i, t in enumerate(texts) if out[i] is None and MARK not in t], f" {MARK} ")
+        return [np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32) if x is None else x for i, x in enumerate(out)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, the end id after each row, and len+1 offsets."""
@@ -101,7 +117,7 @@ class ChunkEncoder:
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.slots) > self.most_known:
-            self.forget()
+            self.keep_only(words)
         slots = self.slots
         new = [w for w in words if w not in slots]
         fresh = self.encode_new(new)
