@@ -5,9 +5,9 @@ shuffle() is a seeded Fisher-Yates) and numbers the rows. The bucket sizes give
 random order, and shards are equal cuts of that order, so row counts differ by one at most.
 
 Null texts count as empty, repeated rows stay separate rows, an empty table gives no rows. Columns of the input that are
-named shard or slot give way to the new ones. The rows must come from a
-table that reads the same way again (a file scan), because a row's place in the scan is part of its hash: this is what
-spreads repeated rows, which would otherwise share a bucket.
+named shard or slot give way to the new ones. A row's place in the scan is part of its hash: this is what spreads repeated
+rows, which would otherwise share a bucket. Pass one writes its buckets to the shared folder, and all that follows reads
+them there, so that counts and rows agree however the scan is split.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.llm.shared import stored
+
 #: Offsets of at most this many buckets are broadcast (24 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 LOT = 1024
@@ -30,8 +32,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "do
     place = F.struct(F.col(id_col), F.monotonically_increasing_id().alias("at"))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     scattered = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), place.alias("place"))
-    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(n_buckets)).cast("int"))
-    counts = docs.select(F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    scattered = stored(scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(n_buckets)).cast("int")))
+    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     # sums before a bucket: within its lot of LOT buckets, and over the lots before
     counts = counts.withColumn("lot", F.floor(F.col("bucket") / LOT))
     lots = counts.groupBy("lot").agg(F.sum("n").alias("lot_n"))

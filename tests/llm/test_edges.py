@@ -173,3 +173,32 @@ def test_the_pipeline_runs_and_takes_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(folder / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_keep_their_names_however_scans_are_split(spark, tmp_path):
+    rows = [(i // 2 if i % 7 else None, " ".join(f"w{(i // 4) * 31 + k}" for k in range(40)) if i % 5 else None, f"s{i % 3}", i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, near_place string, row int").coalesce(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        kept, dealt = corpus_pipeline.drop_near_copies(spark, docs, ""), shuffle_into_shards(docs, 3, bucket_bytes=2000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert docs.rdd.getNumPartitions() > 3
+        kept, dealt = kept.collect(), dealt.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    texts = {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if r[1] is not None:
+            texts.setdefault(r[1], r[0])
+    assert {(r["text"], r["doc_id"]) for r in kept if r["text"] is not None} == set(texts.items())
+    assert len(kept) == len(texts) + sum(r[1] is None for r in rows)
+    by_row = {r[3]: r for r in rows}
+    assert all(tuple(r) == by_row[r["row"]] for r in kept)
+    assert sorted(r["row"] for r in dealt) == list(range(400))
+    slots = {}
+    for r in dealt:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert {k: sorted(v) for k, v in slots.items()} == {k: list(range(len(v))) for k, v in slots.items()} and len(slots) == 3
