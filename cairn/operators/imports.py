@@ -1,7 +1,8 @@
 """Import edges of TypeScript and JavaScript, Python and Go sources.
 
-Contents are (path, content) rows, files (path) rows. An edge is (src, dst, specifiers, lang); each target of a file
-appears once, with the specifiers of the first statement that leads to it. Null contents have no imports.
+Contents are (path, content) rows, files (path) rows, both with `repo` where there are several repositories: nothing is
+resolved across them. An edge is (repo, src, dst, specifiers, lang, ordinal); each target of a file appears once, with the
+specifiers and the place of the first statement that leads to it. Null contents have no imports.
 """
 
 from __future__ import annotations
@@ -12,29 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import base_name, directory
-from cairn.operators.resolve import first_existing, representatives
+from cairn.operators.facts import PYTHON_MODULES, SCRIPT_EXTENSIONS, source_facts
+from cairn.operators.resolve import representatives
+from cairn.operators.storage import materialise
 
-#: Extensions that are tried, in this order, and what a written extension may stand for.
-SCRIPT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs"]
+#: What a written extension may stand for.
 WRITTEN_FOR = {".js": [".ts", ".tsx"], ".jsx": [".tsx", ".ts"], ".mjs": [".mts", ".ts", ".tsx"], ".cjs": [".cts", ".ts", ".tsx"]}
-#: Import and re-export statements as (pattern, group of the names or 0, group of the module).
-SCRIPT_IMPORTS = [
-    (r"""import\s+(?:type\s+)?(\{[^}]*\})\s+from\s+['"]([^'"]+)['"]""", 1, 2),
-    (r"""import\s+(\w+)\s+from\s+['"]([^'"]+)['"]""", 1, 2),
-    (r"""import\s+\*\s+as\s+(\w+)\s+from\s+['"]([^'"]+)['"]""", 1, 2),
-    (r"""import\s+['"]([^'"]+)['"]""", 0, 1),
-    (r"""export\s+(?:type\s+)?(\{[^}]*\})\s+from\s+['"]([^'"]+)['"]""", 1, 2),
-    (r"""export\s+\*\s+(?:as\s+\w+\s+)?from\s+['"]([^'"]+)['"]""", 0, 1),
-]
-FROM = r"(?m)^from\s+(%s)\s+import\s+(?:\(([\s\S]*?)\)([^\n]*)|(.+)$)"
 
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def has_extension(path: Column, extensions: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [path.endswith(e) for e in extensions])
+def with_repo(rows: DataFrame) -> DataFrame:
+    """rows, of one nameless repository where they name none."""
+    return rows if "repo" in rows.columns else rows.withColumn("repo", F.lit(""))
 
 
 def joined(folder: Column, rest: Column) -> Column:
@@ -72,28 +65,25 @@ def imported_names(text: Column, kept: str = r"^[A-Za-z_]\w*$") -> Column:
 
 
 def first_per_target(found: DataFrame, files: DataFrame, lang: str) -> DataFrame:
-    """Edges of statements (src, pat, pos, specifiers, candidates): resolved, and the first for each target."""
-    numbered = found.withColumn("specifiers", F.coalesce("specifiers", F.array().cast("array<string>")))
-    hits = first_existing(numbered, files, by=("src", "pat", "pos", "specifiers")).withColumnRenamed("path", "dst")
-    return hits.groupBy("src", "dst").agg(F.min_by("specifiers", F.struct("pat", "pos")).alias("specifiers")).withColumn("lang", F.lit(lang))
+    """Edges of statements (repo, src, ordinal, specifiers, candidates): resolved, and the first for each target."""
+    tried = found.select("repo", "src", "ordinal", "specifiers", F.posexplode("candidates").alias("rank", "path"))
+    hits = tried.join(with_repo(files).select("repo", "path"), ["repo", "path"])
+    best = hits.groupBy("repo", "src", "ordinal").agg(F.min_by(F.struct("path", "specifiers"), "rank").alias("t"))
+    edges = best.groupBy("repo", "src", F.col("t.path").alias("dst")).agg(F.min_by("t.specifiers", "ordinal").alias("specifiers"), F.min("ordinal").alias("ordinal"))
+    return edges.select("repo", "src", "dst", F.coalesce("specifiers", F.array().cast("array<string>")).alias("specifiers"), F.lit(lang).alias("lang"), "ordinal")
 
 
-def statements(contents: DataFrame, pattern: str, pat: int, groups: int) -> DataFrame:
-    """(src, pat, pos, g1, ..) of all matches."""
-    columns = [F.regexp_extract_all("content", F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)]
-    rows = contents.select(F.col("path").alias("src"), F.posexplode(F.arrays_zip(*columns)).alias("pos", "m"))
-    return rows.select("src", F.lit(pat).alias("pat"), "pos", "m.*")
+def ordinal(pos: Column | str = "pos", k: Column | str | None = None) -> Column:
+    """The place of a statement among those of its file: by pattern, then by order."""
+    return F.struct(F.col("rank").alias("pat"), (F.col(pos) if isinstance(pos, str) else pos).alias("pos"), (F.lit(0) if k is None else F.col(k)).alias("k")).alias("ordinal")
 
 
-def script_imports(contents: DataFrame, files: DataFrame) -> DataFrame:
+def script_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Relative imports and re-exports."""
-    sources, found = contents.filter(has_extension(F.col("path"), SCRIPT_EXTENSIONS)), []
-    for pat, (pattern, names, module) in enumerate(SCRIPT_IMPORTS):
-        rows = statements(sources, pattern, pat, module)
-        bound = specifiers(F.col(f"g{names}")) if names else F.array().cast("array<string>")
-        found.append(rows.select("src", "pat", "pos", bound.alias("specifiers"), F.col(f"g{module}").alias("module")))
-    rows = reduce(DataFrame.unionByName, found).filter(F.col("module").startswith("."))
-    rows = rows.withColumn("target", joined(directory(F.col("src")), F.col("module")))
+    rows = facts.filter("fact = 'script'")
+    names = F.when(F.col("g1").isNotNull(), specifiers(F.col("g1"))).otherwise(F.array().cast("array<string>"))
+    target = joined(directory(F.col("path")), F.col("g2"))
+    rows = rows.select("repo", F.col("path").alias("src"), ordinal(), names.alias("specifiers"), target.alias("target"))
     return first_per_target(rows.withColumn("candidates", script_candidates(F.col("target"))), files, "ts")
 
 
@@ -102,43 +92,46 @@ def python_module(path: Column) -> Column:
     return F.when(path == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py"))))
 
 
-def python_imports(contents: DataFrame, files: DataFrame) -> DataFrame:
+def python_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Imports that start a line, names over several lines included; a file's edge to itself is left out."""
-    sources = contents.filter(F.col("path").endswith(".py"))
-    plain = statements(sources, r"(?m)^import\s+(.+)$", 1, 1)
-    plain = plain.select("src", "pat", F.col("pos").alias("at"), F.posexplode(imported_names(F.regexp_replace("g1", r"[()]", " ( "), r"^[A-Za-z_][\w.]*$")).alias("k", "module"))
-    plain = plain.select("src", "pat", F.struct("at", "k").alias("pos"), F.array("module").alias("specifiers"), python_module(F.translate("module", ".", "/")).alias("candidates"))
-    found = [plain]
-    for pat, module in ((2, r"[A-Za-z_][\w.]*"), (3, r"\.+[\w.]*")):
-        rows = statements(sources, FROM % module, pat, 4)
-        body = F.array_join(F.filter(F.transform(F.split("g2", "\n"), stripped), lambda x: x != ""), " ")
-        rows = rows.withColumn("specifiers", imported_names(F.when(F.col("g4") != "", F.col("g4")).otherwise(F.concat(body, F.col("g3")))))
-        dots = F.length(F.regexp_extract("g1", r"^\.*", 0))
-        suffix = F.translate(F.expr("substring(g1, length(regexp_extract(g1, '^\\\\.*', 0)) + 1)"), ".", "/")
-        own = F.split(F.when(directory(F.col("src")) == "", F.lit(".")).otherwise(directory(F.col("src"))), "/")
-        package = F.when(dots > 0, F.array_join(F.slice(own, F.lit(1), F.greatest(F.lit(0), F.size(own) - dots + 1)), "/")).otherwise(F.lit(""))
-        base = F.array_join(F.filter(F.array(package, suffix), lambda x: x != ""), "/")
-        rows = rows.withColumn("base", base).withColumn("direct", F.when((dots > 0) & (suffix != ""), python_module(base)).otherwise(F.array().cast("array<string>")))
-        inner = F.transform("specifiers", lambda n: python_module(F.when(F.col("base") == "", n).otherwise(F.concat(F.col("base"), F.lit("/"), n))))
-        tried = F.concat("direct", F.flatten(inner), python_module(F.col("base")))
-        found.append(rows.select("src", "pat", F.struct(F.col("pos").alias("at"), F.lit(0).alias("k")).alias("pos"), "specifiers", tried.alias("candidates")))
-    return first_per_target(reduce(DataFrame.unionByName, found), files, "py").filter("src <> dst")
-
-
-def go_imports(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports below the module that go.mod names, to each package's representative file."""
-    module = contents.filter("path = 'go.mod'").select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module")).filter("module <> ''")
-    sources = files.filter(F.col("path").endswith(".go"))
+    rows = facts.filter("fact = 'python'").withColumn("src", F.col("path"))
+    plain = rows.filter("rank = 0").select("repo", "src", "rank", "pos", F.posexplode(imported_names(F.regexp_replace("g1", r"[()]", " ( "), r"^[A-Za-z_][\w.]*$")).alias("k", "module"))
+    plain = plain.select("repo", "src", ordinal(k="k"), F.array("module").alias("specifiers"), python_module(F.translate("module", ".", "/")).alias("candidates"))
+    rows = rows.filter(F.col("rank").between(1, len(PYTHON_MODULES)))
+    body = F.array_join(F.filter(F.transform(F.split("g2", "\n"), stripped), lambda x: x != ""), " ")
+    rows = rows.withColumn("specifiers", imported_names(F.when(F.col("g4") != "", F.col("g4")).otherwise(F.concat(body, F.col("g3")))))
+    dots = F.length(F.regexp_extract("g1", r"^\.*", 0))
+    suffix = F.translate(F.expr("substring(g1, length(regexp_extract(g1, '^\\\\.*', 0)) + 1)"), ".", "/")
+    own = F.split(F.when(directory(F.col("src")) == "", F.lit(".")).otherwise(directory(F.col("src"))), "/")
+    package = F.when(dots > 0, F.array_join(F.slice(own, F.lit(1), F.greatest(F.lit(0), F.size(own) - dots + 1)), "/")).otherwise(F.lit(""))
+    base = F.array_join(F.filter(F.array(package, suffix), lambda x: x != ""), "/")
+    rows = rows.withColumn("base", base).withColumn("direct", F.when((dots > 0) & (suffix != ""), python_module(base)).otherwise(F.array().cast("array<string>")))
+    inner = F.transform("specifiers", lambda n: python_module(F.when(F.col("base") == "", n).otherwise(F.concat(F.col("base"), F.lit("/"), n))))
+    tried = F.concat("direct", F.flatten(inner), python_module(F.col("base")))
+    found = rows.select("repo", "src", ordinal(), "specifiers", tried.alias("candidates"))
+    return first_per_target(plain.unionByName(found), files, "py").filter("src <> dst")
+
+
+def go_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Imports below the module that the repository's go.mod names, to each package's representative file."""
+    module = facts.filter("fact = 'module' and path = 'go.mod'").select("repo", F.col("g1").alias("module"))
+    sources = with_repo(files).filter(F.col("path").endswith(".go"))
     folder = directory(F.col("path"))
-    kept = representatives(sources, folder, base_name(F.col("path")) == F.concat(base_name(folder), F.lit(".go")), F.col("path").endswith("_test.go")).withColumnRenamed("path", "dst")
-    listed = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"import\s*\(([\s\S]*?)\)"), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit('"([^"]+)"'), F.lit(1))))
-    names = F.array_distinct(F.concat(F.regexp_extract_all("content", F.lit(r'import\s+"([^"]+)"'), F.lit(1)), listed))
-    rows = contents.filter(F.col("path").endswith(".go")).select(F.col("path").alias("src"), F.explode(names).alias("name"))
-    below = rows.join(F.broadcast(module), F.col("name").startswith(F.concat("module", F.lit("/"))))  # go.mod is one row
-    below = below.withColumn("grp", F.expr("substring(name, length(module) + 2)"))
-    return below.join(kept, "grp").filter("src <> dst").select("src", "dst", F.array("name").alias("specifiers"), F.lit("go").alias("lang"))
+    group = F.struct(F.col("repo"), folder.alias("folder"))
+    kept = representatives(sources, group, base_name(F.col("path")) == F.concat(base_name(folder), F.lit(".go")), F.col("path").endswith("_test.go"))
+    kept = kept.select("grp.repo", "grp.folder", F.col("path").alias("dst"))
+    rows = facts.filter("fact = 'go'").select("repo", F.col("path").alias("src"), ordinal().alias("ordinal"), F.col("g1").alias("name"))
+    below = rows.join(module, "repo").filter(F.col("name").startswith(F.concat("module", F.lit("/"))))
+    below = below.withColumn("folder", F.expr("substring(name, length(module) + 2)"))
+    edges = below.join(kept, ["repo", "folder"]).filter("src <> dst")
+    return edges.select("repo", "src", "dst", F.array("name").alias("specifiers"), F.lit("go").alias("lang"), "ordinal")
+
+
+def edges_of(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """The edges of all three languages, from facts that were taken in one pass."""
+    return script_edges(facts, files).unionByName(python_edges(facts, files)).unionByName(go_edges(facts, files))
 
 
 def import_edges(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """The edges of all three languages."""
-    return script_imports(contents, files).unionByName(python_imports(contents, files)).unionByName(go_imports(contents, files))
+    """The edges of contents; the facts are stored between, so that each text is read once."""
+    return edges_of(materialise(source_facts(contents)), files)

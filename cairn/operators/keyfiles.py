@@ -17,5 +17,4 @@ KEY_FILES = [
 def key_files(files: DataFrame) -> DataFrame:
     """(path) of the key files and folders that are there."""
     there = files.select("path").unionByName(directories(files.select("path")))
-    names = files.sparkSession.createDataFrame([(n,) for n in KEY_FILES], "path string")
-    return F.broadcast(names).join(there, "path", "left_semi").orderBy("path")
+    return there.filter(F.col("path").isin(KEY_FILES)).distinct().orderBy("path")

@@ -1,98 +1,58 @@
-"""Symbols of TypeScript and JavaScript sources and calls between exported functions."""
+"""Symbols of TypeScript and JavaScript sources and calls between exported functions.
 
-from __future__ import annotations
+All come from the facts of `source_facts`, which read each text once; nothing here sees a text. Rows carry `repo`.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from cairn.functions.matches import blocks, line_at, matches, quoted
-from cairn.operators.imports import has_extension
-
-#: Extensions of files with symbols; patterns as (kind, pattern, default, exported), in the order of their rank.
-SYMBOL_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs"]
-DECLARED = [
-    ("function", r"export\s+(?:async\s+)?function\s+(\w+)", False, True),
-    ("function", r"export\s+default\s+(?:async\s+)?function\s+(\w+)", True, True),
-    ("class", r"export\s+class\s+(\w+)", False, True),
-    ("class", r"export\s+default\s+class\s+(\w+)", True, True),
-    ("interface", r"export\s+(?:declare\s+)?interface\s+(\w+)", False, True),
-    ("type", r"export\s+(?:declare\s+)?type\s+(\w+)\s*[=<{]", False, True),
-    ("const", r"export\s+(?:declare\s+)?(?:const|let|var)\s+(\w+)", False, True),
-    ("enum", r"export\s+(?:declare\s+)?enum\s+(\w+)", False, True),
-    ("variable", r"export\s+\{([^}]+)\}(?!\s*from)", False, True),
-    ("function", r"(?<![\w.])(?:async\s+)?function\s+(\w+)\s*\(", False, False),
-    ("const", r"(?<![\w.])(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", False, False),
-]
-CLASS = r"(?:export\s+(?:default\s+)?)?class\s+(\w+)[^{]*\{"
-METHOD = r"(?m)^[ \t]*(?:(?:public|private|protected|static|readonly|override|async)\s+)*(#?\w+)\s*(?:<[^>{}]+>)?\s*\([^;{}]*\)\s*(?::\s*[^{}]+)?\{"
-FUNCTION = r"export\s+(?:async\s+)?function\s+(\w+)[^{]*\{"
-FUNCTION_VALUE = r"export\s+(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>\s*\{|export\s+(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function\b[^{]*\{"
-
-
-def symbol_files(contents: DataFrame) -> DataFrame:
-    """X13."""
-    return contents.filter(has_extension(F.col("path"), SYMBOL_EXTENSIONS) & F.col("content").isNotNull()).select("path", "content")
+
+from cairn.operators.facts import source_facts
+from cairn.operators.storage import materialise
+
+
+def symbols_of(facts: DataFrame) -> DataFrame:
+    """(repo, path, name, kind, is_default, exported, container, line); the first of equal (container, name, kind) stays."""
+    first = facts.filter("fact = 'symbol'").groupBy("repo", "path", "container", "name", "kind").agg(F.min_by(F.struct("is_default", "exported", "line"), F.struct("rank", "pos", "k")).alias("s"))
+    return first.select("repo", "path", "name", "kind", "s.is_default", "s.exported", F.when(F.col("container") != "", F.col("container")).alias("container"), "s.line")
 
 
 def symbols(contents: DataFrame) -> DataFrame:
-    """(path, name, kind, is_default, exported, container, line); the first of equal (container, name, kind) stays."""
-    sources, found = symbol_files(contents), []
-    for rank, (kind, pattern, default, exported) in enumerate(DECLARED):
-        rows = sources.select("path", "content", F.posexplode(matches(F.col("content"), pattern)).alias("pos", "m"))
-        names = F.array(F.col("m.g1"))
-        if kind == "variable":
-            names = F.filter(F.transform(F.split("m.g1", ","), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+as\s+\w+$", "")), lambda x: x.rlike(r"^\w+$"))
-        rows = rows.select("path", F.posexplode(names).alias("k", "name"), F.struct(F.lit(rank).alias("rank"), "pos").alias("at"), line_at(F.col("content"), F.col("m.off")).alias("line"))
-        found.append(rows.select("path", "name", F.lit(kind).alias("kind"), F.lit(default).alias("is_default"), F.lit(exported).alias("exported"), F.lit("").alias("container"), "line", F.struct("at", "k").alias("ord")))
-    bodies = sources.select("path", "content", F.posexplode(blocks(CLASS, resume=False)("content")).alias("pos", "b"))
-    methods = bodies.select("path", "content", "pos", "b", F.posexplode(matches(F.col("b.body"), METHOD)).alias("k", "m")).filter((F.col("m.g1") != "constructor") & (F.col("m.g1") != F.col("b.name")))
-    at = F.struct(F.lit(len(DECLARED)).alias("rank"), "pos")
-    found.append(
-        methods.select(
-            "path", F.regexp_replace("m.g1", "^#", "").alias("name"), F.lit("method").alias("kind"), F.lit(False).alias("is_default"), F.lit(False).alias("exported"),
-            F.col("b.name").alias("container"), line_at(F.col("content"), F.col("b.open") + 1 + F.col("m.off")).alias("line"), F.struct(at.alias("at"), "k").alias("ord"),
-        )
-    )
-    first = reduce(DataFrame.unionByName, found).groupBy("path", "container", "name", "kind").agg(F.min_by(F.struct("is_default", "exported", "line"), "ord").alias("s"))
-    return first.select("path", "name", "kind", "s.is_default", "s.exported", F.when(F.col("container") != "", F.col("container")).alias("container"), "s.line")
-
-
-def function_bodies(contents: DataFrame) -> DataFrame:
-    """(path, content, symbol, body, start, ord) of exported functions; body is the head and what the braces hold."""
-    sources, found = symbol_files(contents), []
-    for rank, pattern in enumerate((FUNCTION, FUNCTION_VALUE)):
-        rows = sources.select("path", "content", F.posexplode(blocks(pattern, resume=True)("content")).alias("pos", "b"))
-        found.append(rows.select("path", "content", F.col("b.name").alias("symbol"), F.concat("b.head", "b.body").alias("body"), F.col("b.start").alias("start"), F.struct(F.lit(rank).alias("rank"), "pos").alias("ord")))
-    return reduce(DataFrame.unionByName, found)
+    """The symbols of contents; the facts are stored between."""
+    return symbols_of(materialise(source_facts(contents)))
 
 
 def imported_symbols(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, local, to_path, to_symbol); of one local name the last import counts (by target, then place)."""
-    exported = found.filter("exported").select(F.col("path").alias("to_path"), F.col("name").alias("to_symbol")).distinct()
-    rows = edges.select(F.col("src").alias("path"), F.col("dst").alias("to_path"), F.posexplode("specifiers").alias("pos", "spec"))
-    rows = rows.withColumn("words", F.split("spec", r"\s+as\s+")).select("path", "to_path", "pos", F.element_at("words", -1).alias("local"), F.element_at("words", 1).alias("to_symbol"))
-    return rows.join(exported, ["to_path", "to_symbol"]).groupBy("path", "local").agg(F.max_by(F.struct("to_path", "to_symbol"), F.struct("to_path", "pos")).alias("t")).select("path", "local", "t.*")
+    """(repo, path, local, to_path, to_symbol); of one local name the import of the last statement counts."""
+    exported = found.filter("exported").select("repo", F.col("path").alias("to_path"), F.col("name").alias("to_symbol")).distinct()
+    rows = edges.select("repo", F.col("src").alias("path"), F.col("dst").alias("to_path"), "ordinal", F.posexplode("specifiers").alias("pos", "spec"))
+    rows = rows.withColumn("words", F.split("spec", r"\s+as\s+")).select("repo", "path", "to_path", F.struct("ordinal", "pos").alias("place"), F.element_at("words", -1).alias("local"), F.element_at("words", 1).alias("to_symbol"))
+    last = rows.join(exported, ["repo", "to_path", "to_symbol"]).groupBy("repo", "path", "local").agg(F.max_by(F.struct("to_path", "to_symbol"), "place").alias("t"))
+    return last.select("repo", "path", "local", "t.*")
+
+
+def calls_of(facts: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(repo, path, symbol, to_path, to_symbol, line) where an exported function calls an imported symbol or its member."""
+    called = facts.filter("fact = 'call'").select("repo", "path", F.col("container").alias("symbol"), F.col("name").alias("local"), "line", F.struct("rank", "pos").alias("ord"))
+    hits = called.join(imported_symbols(edges, found), ["repo", "path", "local"])
+    return hits.groupBy("repo", "path", "symbol", "to_path", "to_symbol").agg(F.min_by("line", F.struct("ord", "local")).alias("line"))
 
 
 def call_edges(contents: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, symbol, to_path, to_symbol, line) where an exported function calls an imported symbol or its member."""
-    pairs = function_bodies(contents).join(imported_symbols(edges, found), "path")
-    at = F.regexp_instr("body", F.concat(F.lit(r"\b"), quoted(F.col("local")), F.lit(r"(?:\s*\(|\s*\.\s*\w+\s*\()")))
-    hits = pairs.withColumn("at", at).filter("at > 0").withColumn("line", line_at(F.col("content"), F.col("start") + F.col("at") - 1))
-    return hits.groupBy("path", "symbol", "to_path", "to_symbol").agg(F.min_by("line", F.struct("ord", "local")).alias("line"))
+    """The calls of contents, given their edges and symbols."""
+    return calls_of(source_facts(contents), edges, found)
 
 
 def calls_by_export(found: DataFrame, calls: DataFrame) -> DataFrame:
-    """(path, name, calls, called_by) of every export, each list by path, symbol and line."""
-    out = calls.groupBy("path", F.col("symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("to_path").alias("path"), F.col("to_symbol").alias("symbol"), "line"))).alias("calls"))
-    into = calls.groupBy(F.col("to_path").alias("path"), F.col("to_symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct("path", "symbol", "line"))).alias("called_by"))
-    return found.filter("exported").select("path", "name").distinct().join(out, ["path", "name"], "left").join(into, ["path", "name"], "left")
+    """(repo, path, name, calls, called_by) of every export, each list by path, symbol and line."""
+    out = calls.groupBy("repo", "path", F.col("symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("to_path").alias("path"), F.col("to_symbol").alias("symbol"), "line"))).alias("calls"))
+    into = calls.groupBy("repo", F.col("to_path").alias("path"), F.col("to_symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct("path", "symbol", "line"))).alias("called_by"))
+    names = ["repo", "path", "name"]
+    return found.filter("exported").select(*names).distinct().join(out, names, "left").join(into, names, "left")
 
 
 def most_exports(found: DataFrame, limit: int = 15) -> DataFrame:
-    """(path, exports, symbols) of the files with the most exports."""
-    counted = found.groupBy("path").agg(F.count_if("exported").alias("exports"), F.count("*").alias("symbols"))
-    return counted.orderBy(F.desc("exports"), "path").limit(limit)
+    """(repo, path, exports, symbols) of the files with the most exports."""
+    counted = found.groupBy("repo", "path").agg(F.count_if("exported").alias("exports"), F.count("*").alias("symbols"))
+    return counted.orderBy(F.desc("exports"), "path", "repo").limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import is_test, path_list
-from cairn.operators import changes, detect, fileinfo, graph, imports, resolve, symbols, text
+from cairn.operators import changes, detect, facts, fileinfo, graph, imports, resolve, symbols, text
 from cairn.operators.storage import materialise
 from cairn.sources import manifests
 
@@ -470,7 +470,7 @@ def sources(spark, d):
 def source_import_edges(spark, d):
     """X1 to X4, X7, R1, R3, G1."""
     rows = sources(spark, d)
-    return imports.import_edges(rows, rows.select("path")).withColumn("specifiers", F.array_join("specifiers", ","))
+    return imports.import_edges(rows, rows.select("path")).select("src", "dst", F.array_join("specifiers", ",").alias("specifiers"), "lang")
 
 
 @query("""
@@ -481,7 +481,7 @@ def source_import_edges(spark, d):
 """)
 def source_symbols(spark, d):
     """X8 to X11, X13."""
-    return symbols.symbols(sources(spark, d))
+    return symbols.symbols(sources(spark, d)).drop("repo")
 
 
 @query("""
@@ -491,7 +491,55 @@ def source_symbols(spark, d):
 def source_call_edges(spark, d):
     """X12, X14 to X16."""
     rows = sources(spark, d)
-    return symbols.call_edges(rows, materialise(imports.import_edges(rows, rows.select("path"))), materialise(symbols.symbols(rows)))
+    known = materialise(facts.source_facts(rows))
+    return symbols.calls_of(known, imports.edges_of(known, rows.select("path")), symbols.symbols_of(known)).drop("repo")
+
+
+#: The files of a customer's repository; # is its key. Every third lacks x.ts.
+REPOSITORY = [
+    ("go.mod", "module m#\n\ngo 1.22\n"),
+    ("main.go", 'package main\nimport (\n  "fmt"\n  "m#/p"\n)\nimport "m1/q"\n'),
+    ("p/p_test.go", "package p"),
+    ("p/a.go", 'package p\nimport "m#/q"\n'),
+    ("q/q.go", "package q"),
+    ("src/x.test.ts", "import { f# } from './x.js';\nimport { f# as g } from './y';\n"),
+    ("src/x.ts", "export const f# = 1;\n"),
+    ("src/y.ts", "export * from './x';\n"),
+]
+
+
+def source_tree(spark, d):
+    """(repo, path, content): a repository for each customer, all with the same paths."""
+    key, held = F.col("c_custkey").cast("string"), F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in REPOSITORY))
+    rows = table(spark, d, "customer").select("c_custkey", key.alias("repo"), F.explode(held).alias("f"))
+    return rows.filter("f.path <> 'src/x.ts' or c_custkey % 3 <> 0").select("repo", "f.path", F.replace("f.text", F.lit("#"), "repo").alias("content"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo FROM customer)
+    SELECT repo, 'main.go' AS src, 'p/a.go' AS dst, 'm' || k || '/p' AS specifiers, 'go' AS lang, false AS is_test FROM c
+    UNION ALL SELECT repo, 'main.go', 'q/q.go', 'm1/q', 'go', false FROM c WHERE k = 1
+    UNION ALL SELECT repo, 'p/a.go', 'q/q.go', 'm' || k || '/q', 'go', false FROM c
+    UNION ALL SELECT repo, 'src/x.test.ts', 'src/x.ts', 'f' || k, 'ts', true FROM c WHERE k % 3 <> 0
+    UNION ALL SELECT repo, 'src/x.test.ts', 'src/y.ts', 'f' || k || ' as g', 'ts', true FROM c
+    UNION ALL SELECT repo, 'src/y.ts', 'src/x.ts', '', 'ts', false FROM c WHERE k % 3 <> 0
+""")
+def source_repositories(spark, d):
+    """X1, X5, X6, R4, P8 over many repositories with equal paths."""
+    rows = source_tree(spark, d)
+    edges = imports.import_edges(rows, rows)
+    return edges.select("repo", "src", "dst", F.array_join("specifiers", ",").alias("specifiers"), "lang", is_test(F.col("src")).alias("is_test"))
+
+
+@query("""
+    SELECT 'f' || c_custkey AS local, 'src/x.ts' AS to_path, CAST(c_custkey AS VARCHAR) AS repo FROM customer WHERE c_custkey % 3 <> 0
+""")
+def source_imported_symbols(spark, d):
+    """What a local name means, by repository."""
+    rows = source_tree(spark, d)
+    known = materialise(facts.source_facts(rows))
+    found = symbols.imported_symbols(imports.edges_of(known, rows), symbols.symbols_of(known))
+    return found.select("repo", "local", "to_path")
 
 
 @query("""
@@ -511,10 +559,11 @@ def file_info(spark, d):
     """E5, R5 to R7, G11, G12."""
     rows = sources(spark, d)
     paths = rows.select("path")
-    edges, found = materialise(imports.import_edges(rows, paths)), materialise(symbols.symbols(rows))
-    calls = materialise(symbols.call_edges(rows, edges, found))
+    known = materialise(facts.source_facts(rows))
+    edges, found = materialise(imports.edges_of(known, paths)), materialise(symbols.symbols_of(known))
+    calls = materialise(symbols.calls_of(known, edges, found))
     asked = spark.createDataFrame([("src/c/c1",), ("geo/nation/n0.py",), ("geo/region/r9.py",)], "request string")
-    return fileinfo.file_info(resolve.resolve_paths(asked, paths, text.directories(paths), "file"), edges, found, calls)
+    return fileinfo.file_info(materialise(resolve.resolve_paths(asked, paths, text.directories(paths), "file")), edges, found, calls)
 
 
 @query(f"""

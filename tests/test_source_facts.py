@@ -78,3 +78,41 @@ def test_calls(tree):
     by = {(r["path"], r["name"]): r for r in calls_by_export(found, calls).collect()}
     assert [tuple(x) for x in by["src/util.ts", "add"]["called_by"]] == [("src/main.ts", "later", 13), ("src/main.ts", "run", 8)]
     assert by["src/util.ts", "Shape"]["calls"] is None
+
+
+def test_the_last_statement_names_a_local(spark):
+    texts = [("a.ts", "export function f() {}"), ("z.ts", "export function f() {}"), ("m.ts", "import { f } from './z';\nimport { f } from './a';\nexport function g() { f(); }\n"), ("n.ts", "import { f } from './a';\nimport { f } from './z';\nexport function g() { f(); }\n")]
+    contents = spark.createDataFrame(texts, "path string, content string")
+    calls = call_edges(contents, import_edges(contents, contents), symbols(contents))
+    assert sorted((r["path"], r["to_path"]) for r in calls.collect()) == [("m.ts", "a.ts"), ("n.ts", "z.ts")]
+
+
+def test_repositories_stay_apart(spark):
+    rows = [("r1", "a.py", "import b"), ("r1", "b.py", ""), ("r2", "a.py", "import b"), ("r2", "c.ts", "export class C { m() { } }\n"), (None, "b.py", ""), ("r3", None, "x"), ("r3", "d.ts", None)]
+    contents = spark.createDataFrame(rows, "repo string, path string, content string")
+    assert [(r["repo"], r["src"], r["dst"]) for r in import_edges(contents, contents).collect()] == [("r1", "a.py", "b.py")]
+    assert sorted((r["repo"], r["name"]) for r in symbols(contents).collect()) == [("r2", "C"), ("r2", "m")]
+
+
+def test_called_names_are_those_the_pattern_finds():
+    import re
+
+    from cairn.operators.facts import Extractor
+
+    body = "export function f() { a(1); b.c(2); $d (3); x$y(4); new Box(); z . w (5); if (q) return p; a(6) }"
+    names = {x["name"] for x in Extractor().symbols(body) if x["fact"] == "call"}
+    for local in ("a", "b", "c", "d", "$d", "y", "x$y", "$y", "Box", "z", "w", "p", "q", "if", "f", "x"):
+        pattern = r"\b" + re.escape(local) + r"(?:\s*\(|\s*\.\s*\w+\s*\()"
+        assert (local in names) == bool(re.search(pattern, body.partition(" {")[0] + body.partition(" {")[2], re.ASCII)), local
+
+
+def test_a_large_text_costs_no_more_than_its_length(spark):
+    import time
+
+    from cairn.operators.facts import Extractor
+
+    text = "".join(f"export function f{i}(x) {{ return g{i}(x); }}\n" for i in range(20_000))
+    start = time.time()
+    found = list(Extractor().facts("a.ts", text))
+    assert time.time() - start < 20 and sum(x["fact"] == "call" for x in found) == 40_000
+    assert found[-1]["line"] == 20_000
