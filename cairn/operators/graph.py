@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.paths import at_least_one, is_test
-from cairn.operators.storage import materialise
+from cairn.operators.storage import discard, materialise
 
 
 def distinct_edges(*parts: DataFrame) -> DataFrame:
@@ -60,32 +60,49 @@ def fan_in(edges: DataFrame, node: str, limit=None, offset=None) -> DataFrame:
     return page(edges.filter(F.col("dst") == node).select(F.col("src").alias("node")), "node", limit, offset)
 
 
+#: Nodes of a level that are broadcast, so that the edges stay where they are; a larger level is joined by a shuffle.
+BROADCAST_NODES = 500_000
+
+
 def dependents_by_level(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, level): nodes that reach a root over dependencies, by their least distance up to depth; roots are left out.
 
-    A node is taken at the first level that meets it, so cycles end (G13).
+    A node is taken at the first level that meets it, so cycles end (G13). roots (request, node) ask for many requests at
+    once, in as many jobs as one takes; rows then have their request, and each has its own roots.
     """
-    edges = materialise(edges) if depth > 1 else edges
-    seen = materialise(roots.select("node", F.lit(0).alias("level")).dropDuplicates(["node"]))
-    front = seen
+    keys = ["request", "node"] if "request" in roots.columns else ["node"]
+    held = materialise(edges.select("src", "dst")) if depth > 1 else edges
+    front = materialise(roots.select(*keys, F.lit(0).alias("level")).dropDuplicates(keys))
+    levels = [front]
     for level in range(1, depth + 1):
-        met = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        front = materialise(met.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
+        step = front.select(*keys[:-1], F.col("node").alias("dst"))
+        step = F.broadcast(step) if front.count() <= BROADCAST_NODES else step
+        met = held.join(step, "dst").select(*keys[:-1], F.col("src").alias("node")).distinct()
+        front = materialise(met.join(reduce(DataFrame.unionByName, levels), keys, "left_anti").withColumn("level", F.lit(level)))
+        levels.append(front)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen.filter("level > 0")
+    found = materialise(reduce(DataFrame.unionByName, levels).filter("level > 0"))
+    discard(*levels, held if held is not edges else None)
+    return found
 
 
 def impact(edges: DataFrame, roots: DataFrame, depth=2, min_depth=1, limit=None) -> DataFrame:
-    """(node, level, dependents, place) by level from min_depth on; place orders all by dependents, then node."""
+    """(node, level, dependents) by level from min_depth on, ordered by dependents, then node.
+
+    With roots (request, node), rows have their request and come by request first; limit then holds for each request.
+    """
     depth = at_least_one(depth, 2)
     least = min(at_least_one(min_depth, 1), depth)
     found = dependents_by_level(edges, roots, depth).filter(F.col("level") >= least)
     fan = edges.groupBy("dst").agg(F.count("*").alias("dependents"))
-    ranked = found.join(fan, F.col("node") == F.col("dst"), "left").select("node", "level", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
-    ranked = ranked.orderBy(F.desc("dependents"), "node")
+    own = [c for c in found.columns if c == "request"]
+    ranked = found.join(fan, F.col("node") == F.col("dst"), "left").select(*own, "node", "level", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
+    ranked = ranked.orderBy(*own, F.desc("dependents"), "node")
     count = at_least_one(limit, 0)
+    if count and own:
+        first = Window.partitionBy("request").orderBy(F.desc("dependents"), "node")
+        return ranked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= count).drop("n")
     return ranked.limit(count) if count else ranked
 
 

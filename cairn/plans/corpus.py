@@ -6,13 +6,17 @@ change feed. Each entry names the survey's operators that it covers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import is_test, path_list
-from cairn.operators import changes, detect, facts, fileinfo, graph, imports, resolve, symbols, text
-from cairn.operators.storage import materialise
+from cairn.operators import changes, context, detect, facts, fileinfo, graph, imports, resolve, symbols, text
+from cairn.operators.storage import materialise, shared_folder
 from cairn.sources import manifests
+from cairn.sources.versions import Versions
+from cairn.streaming.index import SourceIndex
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -633,3 +637,94 @@ def test_folders(spark, d):
     """Paths below a tests folder and others."""
     moved = files(spark, d).select(F.when(F.col("path").endswith("1.txt"), F.concat(F.lit("tests/"), "path")).otherwise(F.col("path")).alias("path"))
     return moved.select("path", is_test(F.col("path")).alias("is_test"))
+
+
+# --- many requests, versions, the maintained index -----------------------------------------------------------------------
+
+
+@query(f"""
+    WITH RECURSIVE dep AS ({DEP}), r(request, node, level) AS (
+        SELECT 'r' || r_regionkey, 'region/' || r_regionkey, 0 FROM region UNION SELECT request, dep.src, level + 1 FROM r JOIN dep ON dep.dst = r.node WHERE level < 3),
+    f AS (SELECT request, node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY request, node HAVING min(level) > 0), fan AS (SELECT dst AS node, count(*) AS n FROM dep GROUP BY 1)
+    SELECT request, f.node, level, coalesce(n, 0) AS dependents FROM f LEFT JOIN fan USING (node)
+""")
+def impact_requests(spark, d):
+    """A request for each region, in one run over the levels."""
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("request"), F.concat(F.lit("region/"), "r_regionkey").alias("node"))
+    return graph.impact(dep(spark, d), roots, 3)
+
+
+@query(f"WITH dep AS ({DEP}) SELECT 1 AS version, src, dst FROM dep WHERE src LIKE 'supplier/%' AND dst <> 'nation/0' UNION ALL SELECT 2, src, 'nation/0' FROM dep WHERE src LIKE 'supplier/%' AND dst <> 'nation/0'")
+def published_versions(spark, d):
+    """T5: what two versions of the key graph differ in; the first is read after the second was published."""
+    store = Versions(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}")
+    store.publish({"edges": dep(spark, d)})
+    old = store.open(1)["edges"]
+    changed = old.filter("src like 'supplier/%'").select(F.col("src").alias("node"))
+    store.publish({"edges": graph.rebuild(old, changed, changed.select(F.col("node").alias("src"), F.lit("nation/0").alias("dst")))})
+    both = [store.open(version)["edges"].select("src", "dst") for version in (1, 2)]
+    only = [a.join(b, ["src", "dst"], "left_anti").select(F.lit(k).alias("version"), "src", "dst") for k, (a, b) in enumerate((both, both[::-1]), 1)]
+    return only[0].unionByName(only[1])
+
+
+def refreshed_index(spark, d):
+    """An index of the customers' repositories in which y.ts of every second has changed, and its status."""
+    rows = source_tree(spark, d)
+    index = SourceIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.scan(rows)
+    hit = (F.col("path") == "src/y.ts") & (F.col("repo").cast("bigint") % 2 == 0)
+    now = F.when(hit, F.replace(F.lit("import { f# } from './x.js';\nexport function y#() { return f#(); }\n"), F.lit("#"), F.col("repo"))).otherwise(F.col("content"))
+    status = index.refresh(rows.filter(hit).select("repo", "path", F.lit("change").alias("event")), rows.withColumn("content", now))
+    return index, status
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS repo, 'src/y.ts' AS path, 'y' || c_custkey AS symbol, 'src/x.ts' AS to_path, 'f' || c_custkey AS to_symbol, 2 AS line FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def index_calls(spark, d):
+    """T4: calls after a refresh of changed files alone."""
+    return refreshed_index(spark, d)[0].versions.open()["calls"]
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k FROM customer)
+    SELECT 2 AS version, 'incremental' AS action, count(*) FILTER (WHERE k % 2 = 0) AS changed, count(*) * 7 + count(*) FILTER (WHERE k % 3 <> 0) AS files,
+           count(*) * 3 + count(*) FILTER (WHERE k = 1) + 2 * count(*) FILTER (WHERE k % 3 <> 0) AS edges, count(*) FILTER (WHERE k % 3 <> 0) + count(*) FILTER (WHERE k % 2 = 0) AS symbols,
+           count(*) FILTER (WHERE k % 2 = 0 AND k % 3 <> 0) AS calls, 0 AS pending, true AS fresh, 'none' AS next_action FROM c
+""")
+def index_status(spark, d):
+    """The status after that refresh."""
+    return refreshed_index(spark, d)[1]
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo FROM customer), t AS (SELECT *, CASE WHEN k % 2 = 0 THEN '.' END AS top FROM c)
+    SELECT repo, 'a/b/c' AS root, 'a/b' AS project_root FROM t UNION ALL SELECT repo, 'a/b', CASE WHEN k % 3 = 0 THEN 'a' ELSE top END FROM t
+    UNION ALL SELECT repo, 'a', top FROM t UNION ALL SELECT repo, '.', NULL FROM t
+""")
+def upstream_projects(spark, d):
+    """The nearest project above a folder, in nested ones, at the top and where there is none."""
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("repo"))
+    held = [("package.json", "c_custkey % 2 = 0"), ("a/go.mod", "c_custkey % 3 = 0"), ("a/b/pom.xml", "true"), ("a/b/x.java", "true")]
+    files = rows.select("repo", F.explode(F.array(*(F.when(F.expr(c), F.lit(p)) for p, c in held))).alias("path")).filter("path is not null")
+    return context.upstream_projects(rows.select("repo", F.explode(F.array(*map(F.lit, ("a/b/c", "./a/b/", "a", ".")))).alias("root")), files)
+
+
+@query(f"WITH f AS ({FILES}) SELECT '' AS repo, source || '/' || lang || '/' AS entry FROM f UNION SELECT '', source || '/' FROM f")
+def directory_map(spark, d):
+    """Folders and files of two segments at most."""
+    return context.directory_map(files(spark, d), 2)
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo FROM customer),
+    o AS (SELECT repo, 'package.json' AS path, 0 AS n FROM c UNION ALL SELECT repo, 'tests/test_a.py', 1 FROM c WHERE k % 11 = 0 UNION ALL SELECT repo, 'go.mod', 2 FROM c WHERE k % 5 = 0 UNION ALL SELECT repo, 'tsconfig.json', 3 FROM c WHERE k % 3 = 0)
+    SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY n) AS INTEGER) AS place FROM o
+""")
+def reading_order(spark, d):
+    """First by name, then entry points, then important files, each once, with ties."""
+    rows = customer_repositories(spark, d)
+    repos = rows.select("repo").distinct()
+
+    def listed(*paths):
+        return repos.select("repo", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(n).alias("place")) for p, n in paths))).alias("x")).select("repo", "x.*")
+
+    return context.reading_order(rows, listed(("absent.ts", 0), ("tests/test_a.py", 1), ("package.json", 2)), listed(("tsconfig.json", 5), ("go.mod", 5), ("tests/test_a.py", 0)))

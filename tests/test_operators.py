@@ -106,3 +106,41 @@ def test_requested_paths(spark):
     assert ask("src/mcp", "file")[:3] == ("src/mcp", False, None)
     assert ask("", "dir")[:3] == (".", True, "directory")
     assert ask("zzz/q") == ("zzz/q", False, None, None, [], "missing")
+
+
+def test_many_requests_equal_single_ones(spark, monkeypatch):
+    pairs = sorted({((i * 7 + j * 3) % 40, (i * 5 + j) % 40) for i in range(40) for j in range(2)})
+    edges = edge_table(spark, *((f"n{a}", f"n{b}") for a, b in pairs))
+    roots = [(f"r{k}", f"n{k % 40}") for k in range(50)] + [("r0", "n3"), ("r0", "n3")]
+    want = {}
+    for request, node in roots:
+        level, front = 0, {n for q, n in roots if q == request}
+        seen = dict.fromkeys(front, 0)
+        while front and level < 3:
+            level += 1
+            front = {f"n{a}" for a, b in pairs if f"n{b}" in front} - seen.keys()
+            seen |= dict.fromkeys(front, level)
+        want[request] = {n: x for n, x in seen.items() if x}
+    asked = spark.createDataFrame(roots, "request string, node string")
+    for most in (graph.BROADCAST_NODES, 3):
+        monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+        found = {}
+        for r in graph.impact(edges, asked, 3).collect():
+            found.setdefault(r["request"], {})[r["node"]] = r["level"]
+        assert found == {k: v for k, v in want.items() if v}
+    assert max(r["count"] for r in graph.impact(edges, asked, 3, limit=2).groupBy("request").count().collect()) == 2
+
+
+def test_projects_above_a_folder(spark):
+    from cairn.operators.context import directory_map, reading_order, rebased, upstream_projects
+
+    files = spark.createDataFrame([("package.json",), ("a/b/go.mod",), ("a/b/c/d/setup.py",), ("a/x.ts",)], "path string")
+    asked = spark.createDataFrame([("a/b/c/d",), ("a/b",), (".",), ("q",), (None,)], "root string")
+    assert {(r["root"], r["project_root"]) for r in upstream_projects(asked, files).collect()} == {("a/b/c/d", "a/b"), ("a/b", "."), (".", None), ("q", "."), (None, None)}
+    known = spark.createDataFrame([(".",)], "path string")
+    assert {r["project_root"] for r in upstream_projects(asked.filter("root = 'a/b/c/d'"), files, known).collect()} == {"."}
+    moved = spark.createDataFrame([("a/b", "a/b/c.ts"), ("a/b", "a/b"), ("a/b", "a/bc"), (".", "z")], "prefix string, path string")
+    assert sorted(r["path"] for r in rebased(moved).collect()) == [".", "c.ts", "z"]
+    assert sorted(r["entry"] for r in directory_map(files, 2).collect()) == ["a/", "a/b/", "a/x.ts", "package.json"]
+    none = spark.createDataFrame([], "path string, place int")
+    assert [tuple(r)[1:] for r in reading_order(files, none, none).collect()] == [("package.json", 1)]

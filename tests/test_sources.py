@@ -43,3 +43,41 @@ def test_streaming_pending_equals_batch(spark, tmp_path):
     query = pending_stream(stream).writeStream.outputMode("update").format("memory").queryName("pending").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("pending").collect())) == sorted(map(tuple, changes.pending(rows).collect()))
+
+
+def test_filters_open_no_other_file_and_large_folders_are_split(spark, tmp_path):
+    import os
+
+    from pyspark.sql.datasource import EqualTo, In, StringEndsWith, StringStartsWith
+
+    from cairn.sources.repository import FilteringReader, RepositoryReader
+
+    for k in range(40):
+        (tmp_path / f"big/d{k % 4}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"big/d{k % 4}/f{k}.txt").write_text("x" * 1000)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/a.py").write_text("a")
+    options = {"root": str(tmp_path), "partitionbytes": str(5 * 65_000)}
+    parts = RepositoryReader(options).partitions()
+    assert len(parts) == 9 and max(len(p.files) for p in parts) == 5 and sum(len(p.files) for p in parts) == 41
+
+    def listed(*filters):
+        reader = FilteringReader(options)
+        left = list(reader.pushFilters(list(filters)))
+        return sorted(path for p in reader.partitions() for path, _ in p.files), left
+
+    assert listed(EqualTo(("path",), "other/a.py"))[0] == ["other/a.py"]
+    assert listed(StringStartsWith(("path",), "big/d1/"), StringEndsWith(("path",), "9.txt"))[0] == ["big/d1/f9.txt", "big/d1/f29.txt"][::-1]
+    assert listed(In(("path",), ("big/d0/f0.txt", "no/such", None)), EqualTo(("size",), 3)) == (["big/d0/f0.txt"], [EqualTo(("size",), 3)])
+    (tmp_path / "other/secret.py").write_text("b")
+    os.chmod(tmp_path / "other/secret.py", 0)
+    (tmp_path / "big/gone.txt").symlink_to(tmp_path / "nowhere")
+    spark.dataSource.register(RepositorySource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("cairn_repository").option("root", str(tmp_path)).option("pushdown", "true").load()
+        assert [tuple(r) for r in rows.filter("path = 'other/a.py'").collect()] == [("other/a.py", 1, "a")]
+        assert rows.filter("path like 'big/d2/%' and size > 5").count() == 10
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
