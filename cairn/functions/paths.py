@@ -40,6 +40,14 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"^.+\.([^.]*)$", 1))
 
 
+def in_locale_order(path: Column) -> Column:
+    """O1: the path as it is compared by language rules: without case and accents first, which then decide between equals.
+
+    Sorts, windows and min_by over this column use Spark's root collation; equality stays that of the letters.
+    """
+    return F.collate(path, "UNICODE")
+
+
 def is_text(path: Column) -> Column:
     return ~extension(path).isin(list(BINARY_EXTENSIONS))
 

@@ -1,7 +1,8 @@
 """Technologies, features, entry points and important files of repositories, by a rule table.
 
-Files are (repo, path), contents (repo, path, content) of manifests. Paths and manifests give facts (repo, kind, arg) in one
-pass each; facts join the small rule table, and what they give is made distinct. A folder is known by a file below it.
+Files are (repo, path), contents (repo, path, content) of manifests. Paths give facts (repo, kind, arg) in one pass; the texts
+that rules look at are stored, once parsed and once as they are, and give theirs from there. Facts join the small rule table,
+and what they give is made distinct. A folder is known by a file below it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.storage import materialise
 from cairn.sources.manifests import packages, workspace_packages
 
 #: Names of dependencies and what they stand for, with the feature that they imply or None.
@@ -70,6 +72,10 @@ ENTRIES = ["src/main.tsx", "src/main.ts", "src/cli.ts", "src/index.ts", "src/ser
 TOOLS = {"poetry": "Poetry", "hatch": "Hatch", "pdm": "PDM", "uv": "uv"}
 
 
+#: Manifests at the top that rules look at; package.json and Prisma's schema may stand deeper.
+MANIFESTS = ["package.json", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "Cargo.toml", "pyproject.toml", "pnpm-workspace.yaml"]
+
+
 def rule_rows() -> list[tuple]:
     """(kind, arg, output, value, gate): a fact of that kind and arg gives the value, if the gate holds."""
     rows = [("path", pattern, output, value, gate) for pattern, given, gate in PATHS for output, value in given]
@@ -95,8 +101,9 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(repo, kind, arg): what paths and manifests tell."""
     path, text, none = F.col("path"), F.col("content"), F.array().cast("array<struct<kind:string,arg:string>>")
     of_paths = files.select("repo", F.explode(F.concat(facts_where("path", {p: path.rlike(p) for p, _, _ in PATHS}), facts_where("file", {p: path == p for p in ENTRIES}))).alias("f"))
-    found = packages(contents)
-    members = workspace_packages(found)
+    contents = materialise(contents.filter(path.isin(MANIFESTS) | path.endswith("/package.json") | path.endswith("prisma/schema.prisma")).select("repo", "path", "content"))
+    found = materialise(packages(contents))
+    members = materialise(workspace_packages(found))
     used = found.filter("path = 'package.json'").unionByName(members)
     names = used.select("repo", F.explode(F.array_union(F.map_keys("dependencies"), F.map_keys("dev_dependencies"))).alias("arg"))
     of_packages = names.select("repo", F.struct(F.lit("node").alias("kind"), "arg").alias("f"))
@@ -130,6 +137,7 @@ def detect(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(repo, output, value): tech, feature and entry values, each once; CI features are named by their workflow."""
     rules = files.sparkSession.createDataFrame(rule_rows(), "kind string, arg string, output string, value string, gate string")
     hits = facts(files, contents).join(F.broadcast(rules), ["kind", "arg"]).select("repo", "output", "value", "gate").distinct()
+    hits = materialise(hits)
     open_gates = hits.filter("output = 'gate'").select("repo", F.col("value").alias("gate"), F.lit(True).alias("open")).distinct()
     kept = hits.filter("output <> 'gate'").join(open_gates, ["repo", "gate"], "left").filter("gate is null or open").select("repo", "output", "value")
     flows = contents.filter(F.col("path").rlike(r"^\.github/workflows/.+\.ya?ml$"))

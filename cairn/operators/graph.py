@@ -181,6 +181,42 @@ def path_between(edges: DataFrame, start: str, end: str, max_paths=5, max_depth=
     return chains.orderBy("path").limit(paths).select("path", F.lit(reached).alias("length"), F.lit(more).alias("truncated"))
 
 
+def path_report(edges: DataFrame, ends: DataFrame, max_paths=5, max_depth=12) -> DataFrame:
+    """One row (start, end, status, length, paths, truncated) for resolved ends.
+
+    ends is one row (start, start_found, end, end_found). status is `missing_start`, `missing_end`, `same`, `connected` or
+    `not_connected`; paths hold the chains, none where there is no way.
+    """
+    asked = ends.first()
+    spark, status, found = edges.sparkSession, None, []
+    if not asked["start_found"] or not asked["end_found"]:
+        status = "missing_start" if not asked["start_found"] else "missing_end"
+    else:
+        found = path_between(edges, asked["start"], asked["end"], max_paths, max_depth).collect()  # max_paths rows at most
+        status = "same" if asked["start"] == asked["end"] else "connected" if found else "not_connected"
+    row = (asked["start"], asked["end"], status, found[0]["length"] if found else None, sorted(list(r["path"]) for r in found), bool(found and found[0]["truncated"]))
+    return spark.createDataFrame([row], "start string, end string, status string, length int, paths array<array<string>>, truncated boolean")
+
+
+def affected_report(edges: DataFrame, resolved: DataFrame, depth=2) -> DataFrame:
+    """(part, node, warning): changed files as they were resolved, those that are missing, and what they reach.
+
+    resolved comes from resolve_paths. part is `changed`, `missing`, `affected` or `test`; a test that was changed itself is
+    one of the tests to run.
+    """
+    changed = resolved.filter("found").select(F.col("path").alias("node"), "warning")
+    reached = affected(edges, changed, depth)
+    tests = reached.filter("is_test").select("node").unionByName(changed.filter(is_test(F.col("node"))).select("node")).distinct()
+    none = F.lit(None).cast("string").alias("warning")
+    parts = [
+        changed.distinct().select(F.lit("changed").alias("part"), "node", "warning"),
+        resolved.filter("not found").select(F.lit("missing").alias("part"), F.col("path").alias("node"), "warning"),
+        reached.select(F.lit("affected").alias("part"), "node", none),
+        tests.select(F.lit("test").alias("part"), "node", none),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rebuild(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """T4: edges without those that start at a changed node, and the fresh edges."""
     return edges.join(changed.select(F.col("node").alias("src")).distinct(), "src", "left_anti").unionByName(fresh.select("src", "dst"))

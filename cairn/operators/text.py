@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.globs import path_match
-from cairn.functions.paths import at_least_one, depth_below, is_text
+from cairn.functions.paths import at_least_one, depth_below, in_locale_order, is_text
 
 MOST_CHARS, HEAD_CHARS, MOST_SHOWN = 2_000_000, 8_000, 240
 
@@ -90,6 +90,11 @@ def search(files: DataFrame, dirs: DataFrame | None = None, symbols: DataFrame |
     return reduce(DataFrame.unionByName, parts).orderBy("ord", "path", "name").limit(at_least_one(limit, 100))
 
 
+def ordered_tree(files: DataFrame, root: str = ".", depth=None) -> DataFrame:
+    """The rows of `tree` in the order in which they are shown."""
+    return tree(files, root, depth).orderBy(in_locale_order(F.col("path")), "entry")
+
+
 def tree(files: DataFrame, root: str = ".", depth=None) -> DataFrame:
     """(path, entry) of files and folders up to depth below root; a folder's entry ends with a slash."""
     both = files.select("path", F.lit("").alias("end")).unionByName(directories(files).select("path", F.lit("/").alias("end")))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.paths import is_test, path_list
+from cairn.functions.paths import in_locale_order, is_test, path_list
 from cairn.operators import changes, context, detect, facts, fileinfo, graph, imports, resolve, symbols, text
 from cairn.operators.storage import materialise, shared_folder
 from cairn.sources import manifests
@@ -728,3 +728,45 @@ def reading_order(spark, d):
         return repos.select("repo", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(n).alias("place")) for p, n in paths))).alias("x")).select("repo", "x.*")
 
     return context.reading_order(rows, listed(("absent.ts", 0), ("tests/test_a.py", 1), ("package.json", 2)), listed(("tsconfig.json", 5), ("go.mod", 5), ("tests/test_a.py", 0)))
+
+
+@query("""
+    WITH w AS (SELECT p_type, unnest(string_split(p_name, ' ')) AS word, p_partkey AS k FROM part),
+    m AS (SELECT DISTINCT p_type, CASE k % 3 WHEN 0 THEN upper(word) WHEN 1 THEN upper(word[1]) || word[2:] ELSE word END AS word FROM w)
+    SELECT p_type, arg_min(word, lower(word) || chr(1) || translate(word, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')) AS first_word,
+           arg_max(word, lower(word) || chr(1) || translate(word, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')) AS last_word
+    FROM m GROUP BY p_type
+""")
+def locale_order(spark, d):
+    """O1: the first and last word of each part type, in mixed case, by language rules."""
+    words = table(spark, d, "part").select("p_type", "p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    kind = F.pmod("p_partkey", F.lit(3))
+    word = F.when(kind == 0, F.upper("word")).when(kind == 1, F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1000))).otherwise(F.col("word"))
+    shown = words.select("p_type", word.alias("word"))
+    return shown.groupBy("p_type").agg(F.min_by("word", in_locale_order(F.col("word"))).alias("first_word"), F.max_by("word", in_locale_order(F.col("word"))).alias("last_word"))
+
+
+@query(f"""
+    WITH dep AS ({DEP}) SELECT DISTINCT 'changed' AS part, 'src/c/c1.ts' AS node, 'extended' AS warning
+    UNION ALL SELECT 'missing', 'tests/none', 'missing'
+    UNION ALL SELECT p, 'src/o/o' || o_orderkey || '.ts', NULL FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('affected')) v(p) WHERE o_custkey = 1
+    UNION ALL SELECT p, 'tests/t1.test.ts', NULL FROM (VALUES ('affected'), ('test')) v(p)
+""".replace(f"WITH dep AS ({DEP}) ", ""))
+def affected_report(spark, d):
+    """A changed file by its stem, a missing one, and the tests that they reach."""
+    test = table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("tests/t1.test.ts").alias("path"), F.lit("import { find1 } from '../src/c/c1';").alias("content"))
+    rows = sources(spark, d).unionByName(test)
+    paths = materialise(rows.select("path"))
+    asked = spark.createDataFrame([("src/c/c1",), ("tests/none",)], "request string")
+    resolved = materialise(resolve.resolve_paths(asked, paths, text.directories(paths), "file"))
+    return graph.affected_report(materialise(imports.import_edges(rows, paths)), resolved, 2)
+
+
+@query("""
+    SELECT 'region/1' AS start, 'customer/' || (SELECT min(c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1) AS "end", 'not_connected' AS status, CAST(NULL AS INTEGER) AS length, 0 AS paths, false AS truncated
+""")
+def path_report(spark, d):
+    """Two nodes that no chain joins."""
+    far = table(spark, d, "customer").join(table(spark, d, "nation").filter("n_regionkey <> 1"), F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min("c_custkey").alias("k"))
+    ends = far.select(F.lit("region/1").alias("start"), F.lit(True).alias("start_found"), F.concat(F.lit("customer/"), "k").alias("end"), F.lit(True).alias("end_found"))
+    return graph.path_report(dep(spark, d), ends).withColumn("paths", F.size("paths"))

@@ -144,3 +144,22 @@ def test_projects_above_a_folder(spark):
     assert sorted(r["entry"] for r in directory_map(files, 2).collect()) == ["a/", "a/b/", "a/x.ts", "package.json"]
     none = spark.createDataFrame([], "path string, place int")
     assert [tuple(r)[1:] for r in reading_order(files, none, none).collect()] == [("package.json", 1)]
+
+
+def test_reports_name_what_is_missing(spark):
+    edges = edge_table(spark, ("b", "a"), ("c", "b"), ("z", "y"), ("tests/t.ts", "b"))
+    ends = lambda *row: spark.createDataFrame([row], "start string, start_found boolean, end string, end_found boolean")
+    assert graph.path_report(edges, ends("q", False, "a", True)).first()["status"] == "missing_start"
+    assert graph.path_report(edges, ends("a", True, "q", False)).first()["status"] == "missing_end"
+    assert tuple(graph.path_report(edges, ends("a", True, "z", True)).first()) == ("a", "z", "not_connected", None, [], False)
+    assert tuple(graph.path_report(edges, ends("a", True, "c", True)).first()) == ("a", "c", "connected", 2, [["a", "b", "c"]], False)
+    assert graph.path_report(edges, ends("a", True, "a", True)).first()["status"] == "same"
+    resolved = spark.createDataFrame([("a", True, None), ("q", False, "missing")], "path string, found boolean, warning string")
+    found = sorted((r["part"], r["node"]) for r in graph.affected_report(edges, resolved).collect())
+    assert found == [("affected", "b"), ("affected", "c"), ("affected", "tests/t.ts"), ("changed", "a"), ("missing", "q"), ("test", "tests/t.ts")]
+
+
+def test_trees_are_shown_in_locale_order(spark):
+    files = spark.createDataFrame([(p,) for p in ("b.ts", "B.ts", "a.ts", "Z.ts", "é.ts", "f.ts", "_x.ts", "a/k.ts")], "path string")
+    shown = [r["path"] for r in text.ordered_tree(files).collect()]
+    assert shown == ["_x.ts", "a", "a.ts", "a/k.ts", "b.ts", "B.ts", "é.ts", "f.ts", "Z.ts"]
