@@ -48,6 +48,34 @@ def exact(matrix: np.ndarray, kind) -> np.ndarray:
     return matrix.astype(kind) if kind is not object else np.array([[int(x) for x in row] for row in matrix.tolist()], dtype=object).reshape(matrix.shape)
 
 
+def sort_key(score: int) -> str:
+    """A string that orders scores of equal 64-bit value: 1 for scores within 64 bits, else by sign, length and digits."""
+    if -MOST <= score <= MOST:
+        return "1"
+    digits = str(abs(score))
+    return f"1{len(digits):09d}{digits}" if score > 0 else f"0{999_999_999 - len(digits):09d}{digits.translate(COMPLEMENT)}"
+
+
+COMPLEMENT = str.maketrans("0123456789", "9876543210")
+
+
+def search_wide(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, cuts: np.ndarray, k: int, block: int):
+    """search_range over Python's whole numbers, for sums that 64 bits may not hold: scores are exact."""
+    at, names, scores = [], [], []
+    for q in range(len(queries)):
+        top: list[tuple[int, int]] = []
+        for b in sorted(range(len(cuts)), key=lambda b: (-bound[q, b], b)):
+            if len(top) == k and bound[q, b] < -top[-1][0]:
+                break
+            part = slice(cuts[b], cuts[b] + block)
+            own = zip((docs[part] @ queries[q]).tolist(), ids[part].tolist())
+            top = sorted(top + [(-score, name) for score, name in own if name != query_ids[q]])[:k]
+        at += [q] * len(top)
+        names += [name for _, name in top]
+        scores += [-score for score, _ in top]
+    return np.array(at, np.int64), np.array(names, np.int64), scores
+
+
 def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
     """Top k of these documents for every query: (query index, id, score) arrays."""
     top = np.abs(queries).max(initial=0).astype(float) * np.abs(docs).max(initial=0) * max(1, docs.shape[1])
@@ -58,7 +86,7 @@ def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queri
     high, low = np.maximum.reduceat(docs, cuts, axis=0), np.minimum.reduceat(docs, cuts, axis=0)
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     if kind is object:
-        bound = np.clip(bound, -MOST, MOST).astype(np.int64)
+        return search_wide(ids, docs, query_ids, queries, bound, cuts, k, block)
     visit = np.argsort(-bound, axis=1, kind="stable")
     n = len(queries)
     least = np.iinfo(np.int64).min
@@ -77,7 +105,7 @@ def search_range(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queri
             who = active[by_block[a:b]]
             at = slice(cuts[blocks[by_block[a]]], cuts[blocks[by_block[a]]] + block)
             own = queries[who] @ docs[at].T
-            own = np.clip(own, -MOST, MOST).astype(np.int64)
+            own = own.astype(np.int64)
             own[query_ids[who][:, None] == ids[at][None, :]] = least
             both = np.concatenate((score[who], own), axis=1)
             names = np.concatenate((doc[who], np.where(own == least, np.iinfo(np.int64).max, np.broadcast_to(ids[at], own.shape))), axis=1)
@@ -118,17 +146,19 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: s
                 if matrix.shape[1] in sets and len(r):
                     query_ids, q = sets[matrix.shape[1]]
                     at, doc, score = search_range(ids[r], matrix, query_ids, q, k, block)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[at], pa.int64()), pa.array(doc), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    keys = [sort_key(x) for x in score] if isinstance(score, list) else ["1"] * len(score)
+                    score = [max(-MOST, min(MOST, x)) for x in score] if isinstance(score, list) else score
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[at], pa.int64()), pa.array(doc), pa.array(score, pa.int64()), pa.array(keys, pa.string())], names=["query_id", "vec_id", "score", "key"])
 
-        part = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        part = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, key string")
         if n_blocks > 1:  # a block's queries leave the driver and the executors before the next ones come
             part = stored(best_of(part, k))
             held.destroy()
-        found = part if found is None else found.unionByName(part)
-    return best_of(found, k)
+        found = part if found is None else found.select("query_id", "vec_id", "score", "key").unionByName(part.select("query_id", "vec_id", "score", "key"))
+    return best_of(found, k).drop("key")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest scores of each query."""
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    """(query_id, rank, vec_id, score, key): the k highest scores of each query."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "key")

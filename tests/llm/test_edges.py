@@ -49,6 +49,11 @@ def test_top_k_of_large_weights_and_repeated_queries(spark):
     out = {r["rank"]: (r["vec_id"], r["score"]) for r in exact_top_k(vectors, vectors.filter("vec_id = 0"), 5).collect()}
     assert out == {1: (4, 2**63 - 1), 2: (3, 256 * 256 * 300_000_000), 3: (2, 256 * 256 * 200_000_000), 4: (1, 256 * 256 * 100_000_000), 5: (5, -(2**63 - 1))}
     assert exact_top_k(vectors.limit(0), vectors.limit(0), 5).count() == 0
+    # beyond 64 bits the order is that of the exact scores
+    wide = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2e30, 0.0]), (3, [3e30, 0.0]), (4, [-2e30, 0.0]), (5, [-1e30, 0.0]), (6, [0.0, 5.0]), (7, [3e30, 0.0])], "vec_id bigint, embedding array<double>")
+    for rows in (wide.coalesce(1), wide.repartition(4)):
+        out = exact_top_k(rows, wide.filter("vec_id = 0"), 7, block=2).orderBy("rank").collect()
+        assert [r["vec_id"] for r in out] == [3, 7, 2, 1, 6, 5, 4] and out[4]["score"] == 5 * 256 * 256
 
 
 def test_query_blocks_give_what_one_block_gives(spark, monkeypatch):
