@@ -7,6 +7,8 @@ decreasing. Each row carries the padded ids, cumulative segment lengths, and pos
 Packing needs no shuffle: a task packs what it reads in shards of `shard_tokens` tokens, so its memory is bounded and a
 lost task is packed again alike from the same split of the input. pack_id numbers the rows of a task.
 
+The rank file goes to the executors with the job, so only the driver needs its path. Ids of documents are whole numbers.
+
 Null and empty texts are the end id alone. Repeated rows are packed one by one. An empty table gives no rows. Extra
 columns of the input are not looked at.
 """
@@ -14,12 +16,13 @@ columns of the input are not looked at.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ POINT[list(b",.;:!?")] = True
 
 
 class Encoder:
-    """Encodes batches of texts; the ids of a chunk that was met before are looked up.
+    """Encodes batches of texts; the ids of a chunk that was met before are looked up by hash, and its bytes are compared.
 
     Chunks end where the split pattern always parts, so they are encoded independently of each other: before a single
     space and around a single line feed that stand between visible characters, and between a letter and a point.
@@ -56,6 +59,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int64)
         self.starts, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.spelled, self.letters = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
     def chunks(self, column: pa.Array):
         data, offsets = string_bytes(column)
@@ -92,10 +96,15 @@ class Encoder:
         slots = len(self.starts) - 1 + np.arange(len(fresh))
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(fresh), np.int32, int(sizes.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        sources = [raw[s:e] for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(sources), np.uint8)])
+        self.spelled = np.concatenate([self.spelled, self.spelled[-1] + np.cumsum(np.fromiter(map(len, sources), np.int64, len(sources)))])
         keys = np.concatenate([self.keys, distinct[new]])
         order = np.argsort(keys)
         self.keys, self.slots = keys[order], np.concatenate([self.slots, slots])[order]
         slot = self.slots[np.searchsorted(self.keys, distinct)][back]
+        if not self.spells(slot, data, starts, ends):
+            return self.encode_plainly(column)
         length = self.starts[slot + 1] - self.starts[slot]
         base = np.concatenate(([0], np.cumsum(length)))
         ends_at = base[first[1:]]
@@ -109,10 +118,24 @@ class Encoder:
         return ids, np.concatenate(([0], close + 1))
 
 
+    def spells(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether every chunk has the bytes of the known one that stands for it; chunks tile the data."""
+        size = ends - starts
+        if not np.array_equal(self.spelled[slot + 1] - self.spelled[slot], size):
+            return False
+        return np.array_equal(self.letters[np.repeat(self.spelled[slot] - starts, size) + np.arange(len(data))], data)
+
+    def encode_plainly(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, without look-ups: for batches in which different chunks have one hash."""
+        found = [self.bpe.encode_ordinary(text or "") + [END_ID] for text in column.to_pylist()]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) if len(found) else 0), np.concatenate(([0], ends))
+
+
 @lru_cache(2)
-def encoder_of(ranks_path: str) -> Encoder:
-    """The encoder of this Python worker, which later tasks use again."""
-    return Encoder(ranks_path)
+def encoder_of(name: str) -> Encoder:
+    """The encoder of this Python worker, which later tasks use again, from the rank file that Spark sent along."""
+    return Encoder(SparkFiles.get(name))
 
 
 class FreeCapacities:
@@ -190,6 +213,9 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     (0 .. n_tokens), input_ids and position_ids (width little-endian 32-bit integers; what follows n_tokens is padding).
     """
 
+    docs.sparkSession.sparkContext.addFile(ranks_path)
+    ranks_name = os.path.basename(ranks_path)
+
     def shard(ids, offsets, names, first_pack):
         matrix, position, used, doc, at, start, row = pack_rows(ids, offsets, width, pad_id)
         cuts = np.searchsorted(row, np.arange(len(matrix) + 1))
@@ -212,7 +238,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             )
 
     def run(batches):
-        encoder, held, n = encoder_of(ranks_path), [], 0
+        encoder, held, n = encoder_of(ranks_name), [], 0
         pack = TaskContext.get().partitionId() << 33
 
         def flush():

@@ -222,3 +222,21 @@ def test_tampering_is_seen(spark, tmp_path):
     for r in op13_merkle_manifest(spark, str(tmp_path)).collect():
         hit = zlib.crc32(str(r["doc_id"]).encode()) % 2 == 0 and r["doc_id"] != 99 and r["doc_id"] % 3 != 0
         assert r["verified"] == (not hit) == (r["folded_root"] == r["root"])
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from cairn.llm import packing
+
+    texts = pa.array(["one two, three", "", None, "four\nfive two é", "one " * 50])
+    plain = packing.Encoder(packing.RANKS).encode_plainly(texts)
+    looked_up = packing.Encoder(packing.RANKS)
+    monkeypatch.setattr(looked_up, "encode_plainly", None)
+    for _ in range(2):
+        assert all(np.array_equal(a, b) for a, b in zip(looked_up.encode(texts), plain))
+    monkeypatch.setattr(packing, "span_hash", lambda h, starts, ends: np.zeros(len(starts), packing.U64))
+    clashing = packing.Encoder(packing.RANKS)
+    for _ in range(2):
+        assert all(np.array_equal(a, b) for a, b in zip(clashing.encode(texts), plain))
