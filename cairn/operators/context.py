@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,18 @@ PROJECT_MANIFESTS = [
 READ_FIRST = ["README.md", "package.json"]
 
 
+def folders_above(path: Column) -> Column:
+    """(depth, folder) of each folder above a path, from the top one, a dot, on."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.when(n == 0, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")).alias("folder")))
+
+
+def project_folders(files: DataFrame) -> DataFrame:
+    """(repo, folder) of the folders that hold a project's manifest."""
+    home = directory(F.col("path"))
+    return with_repo(files).filter(base_name(F.col("path")).isin(PROJECT_MANIFESTS)).select("repo", F.when(home == "", ".").otherwise(home).alias("folder")).distinct()
+
+
 def upstream_projects(requests: DataFrame, files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(repo, root, project_root) of every requested folder (repo, root): the nearest folder above it with a manifest.
 
@@ -26,11 +38,8 @@ def upstream_projects(requests: DataFrame, files: DataFrame, known: DataFrame |
     cut into those above it, which join the projects by equality, so no request walks anything.
     """
     asked = with_repo(requests).select("repo", normalised(F.col("root")).alias("root")).distinct()
-    parts = F.split("root", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder")))
-    steps = asked.filter("root <> '.'").select("repo", "root", F.explode(above).alias("a")).select("repo", "root", "a.depth", F.when(F.col("a.folder") == "", ".").otherwise(F.col("a.folder")).alias("folder"))
-    home = directory(F.col("path"))
-    homes = with_repo(files).filter(base_name(F.col("path")).isin(PROJECT_MANIFESTS)).select("repo", F.when(home == "", ".").otherwise(home).alias("folder")).distinct()
+    steps = asked.filter("root <> '.'").select("repo", "root", F.explode(folders_above(F.col("root"))).alias("a")).select("repo", "root", "a.depth", "a.folder")
+    homes = project_folders(files)
     if known is not None:
         homes = homes.join(with_repo(known).select("repo", F.col("path").alias("folder")), ["repo", "folder"], "left_semi")
     best = steps.join(homes, ["repo", "folder"]).groupBy("repo", "root").agg(F.max_by("folder", "depth").alias("project_root"))

@@ -133,10 +133,13 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     return every.select("repo", "f.kind", "f.arg").distinct()
 
 
-def detect(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """(repo, output, value): tech, feature and entry values, each once; CI features are named by their workflow."""
+def detect(files: DataFrame, contents: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(repo, output, value): tech, feature and entry values, each once; CI features are named by their workflow.
+
+    known, where given, is what facts found of the same tables.
+    """
     rules = files.sparkSession.createDataFrame(rule_rows(), "kind string, arg string, output string, value string, gate string")
-    hits = facts(files, contents).join(F.broadcast(rules), ["kind", "arg"]).select("repo", "output", "value", "gate").distinct()
+    hits = (facts(files, contents) if known is None else known).join(F.broadcast(rules), ["kind", "arg"]).select("repo", "output", "value", "gate").distinct()
     hits = materialise(hits)
     open_gates = hits.filter("output = 'gate'").select("repo", F.col("value").alias("gate"), F.lit(True).alias("open")).distinct()
     kept = hits.filter("output <> 'gate'").join(open_gates, ["repo", "gate"], "left").filter("gate is null or open").select("repo", "output", "value")

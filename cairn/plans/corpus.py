@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import in_locale_order, is_test, path_list
-from cairn.operators import changes, context, detect, facts, fileinfo, graph, imports, resolve, symbols, text
+from cairn.operators import changes, context, detect, facts, fileinfo, findings, graph, imports, projects, resolve, symbols, text
 from cairn.operators.storage import materialise, shared_folder
 from cairn.sources import manifests
 from cairn.sources.versions import Versions
@@ -770,3 +770,98 @@ def path_report(spark, d):
     far = table(spark, d, "customer").join(table(spark, d, "nation").filter("n_regionkey <> 1"), F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min("c_custkey").alias("k"))
     ends = far.select(F.lit("region/1").alias("start"), F.lit(True).alias("start_found"), F.concat(F.lit("customer/"), "k").alias("end"), F.lit(True).alias("end_found"))
     return graph.path_report(dep(spark, d), ends).withColumn("paths", F.size("paths"))
+
+
+# --- what a project is made of ---------------------------------------------------------------------------------------------
+
+#: The files of a customer's project, the texts that matter, and where they are there; # is the key.
+PROJECT = [
+    ("package.json", '{"name": "r#", "scripts": {"test": "t #", "build": "b", "odd": 1}, "dependencies": {"express": "1"}}', "c_custkey % 7 <> 0"), ("package.json", "none", "c_custkey % 7 = 0"),
+    ("src/index.ts", "", "c_custkey % 2 = 0"), ("src/server.ts", "", "c_custkey % 4 = 0"), ("Dockerfile", "", "c_custkey % 6 = 0"), ("go.mod", "module m", "c_custkey % 5 = 0"),
+    ("cmd/b/z.go", "", "c_custkey % 5 = 0"), ("cmd/A/sub/y.go", "", "c_custkey % 5 = 0"), ("main.go", "", "c_custkey % 10 = 0"), *((f"src/{x}Application.java", "", "c_custkey % 13 = 0") for x in "dcba"),
+    ("docs/x/a.md", "", "true"), ("README.md", "", "c_custkey % 3 = 0"), ("tests/a.txt", "", "c_custkey % 11 = 0"),
+    ("cairn.config.json", '{"maxDepth": 0}', "c_custkey % 18 = 0"), ("cairn.config.json", '{"maxDepth": 2, /* more */ "ignore": ["a"]}', "c_custkey % 18 = 9"),
+]
+PROJECT_SQL = """
+    c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo, k % 7 <> 0 AS node, k % 5 = 0 AS go, k % 6 = 0 AS docker, k % 13 = 0 AS java FROM customer),
+    v(ord, output, path, text) AS (VALUES
+        (1, 'name', NULL, 'r#'), (1, 'script', 'test', 't #'), (2, 'script', 'build', 'b'),
+        (1, 'entry', 'src/index.ts', 'Node.js entry point'), (2, 'entry', 'src/server.ts', 'Server entry point'), (3, 'entry', 'main.go', 'Go main entry point'), (4, 'entry', 'cmd/A/sub/y.go', 'CLI binary: A'),
+        (5, 'entry', 'cmd/b/z.go', 'CLI binary: b'), (6, 'entry', 'src/aApplication.java', 'Application entry point'), (7, 'entry', 'src/bApplication.java', 'Application entry point'), (8, 'entry', 'src/cApplication.java', 'Application entry point'),
+        (1, 'important', 'package.json', 'Project metadata, scripts and dependency declarations'), (2, 'important', 'Dockerfile', 'Container image build config'), (3, 'important', 'go.mod', 'Go module definition and dependencies')),
+    found AS (
+        SELECT repo, output, ord, path, replace(text, '#', repo) AS text FROM c, v WHERE CASE
+            WHEN output IN ('name', 'script') OR path = 'package.json' THEN node WHEN path = 'src/index.ts' THEN node AND k % 2 = 0 WHEN path = 'src/server.ts' THEN node AND k % 4 = 0
+            WHEN path = 'main.go' THEN k % 10 = 0 WHEN path = 'Dockerfile' THEN docker WHEN path LIKE '%.java' THEN java ELSE go END)
+"""
+
+
+def customer_projects(spark, d):
+    """(repo, path, content) of a project for each customer."""
+    key = F.col("c_custkey").cast("string")
+    held = F.array(*(F.when(F.expr(c), F.struct(F.lit(p).alias("path"), F.replace(F.lit(t), F.lit("#"), key).alias("content"))) for p, t, c in PROJECT))
+    return table(spark, d, "customer").select(key.alias("repo"), F.explode(F.array_compact(held)).alias("f")).select("repo", "f.*")
+
+
+@query(f"WITH {PROJECT_SQL} SELECT repo, output, CAST(row_number() OVER (PARTITION BY repo, output ORDER BY ord) AS INTEGER) AS place, path, text FROM found")
+def project_findings(spark, d):
+    """Names, entry points with labels, important files with reasons and scripts, the first of a path wins."""
+    rows = customer_projects(spark, d)
+    return findings.findings(rows.select("repo", "path"), rows)
+
+
+@query(f"""
+    WITH {PROJECT_SQL}, asked AS (SELECT *, node OR docker OR go OR java AS known FROM c, (VALUES ('.'), ('src'), ('docs/x')) r(root)),
+    served AS (SELECT *, root = 'src' AND java AS own, known AND NOT (root = 'src' AND java) AS whole, known AND root <> '.' AND NOT (root = 'src' AND java) AS up FROM asked),
+    lists AS (
+        SELECT s.repo, s.root, string_agg(CASE WHEN s.own THEN path[5:] WHEN s.root = '.' THEN path ELSE path[5:] END || '=' || text, '|' ORDER BY ord) FILTER (
+                WHERE output = 'entry' AND CASE s.root WHEN '.' THEN true WHEN 'src' THEN path LIKE 'src/%' AND (NOT s.own OR path LIKE '%.java') ELSE false END) AS entry_points,
+            string_agg(path || '=' || text, '|' ORDER BY ord) FILTER (WHERE output = 'important' AND s.root = '.') AS important_files,
+            string_agg(path || '=' || text, '|' ORDER BY ord) FILTER (WHERE output = 'script' AND NOT s.own) AS scripts,
+            string_agg(path || '=' || text, '|' ORDER BY ord) FILTER (WHERE output = 'important' AND s.up) AS workspace_files
+        FROM served s JOIN found f USING (repo) GROUP BY ALL)
+    SELECT repo, root, CASE WHEN whole AND node THEN 'r' || repo WHEN root = '.' THEN repo WHEN root = 'src' THEN 'src' ELSE 'x' END AS project_name,
+        concat_ws('|', CASE WHEN whole AND docker THEN 'Docker' END, CASE WHEN whole AND node THEN 'Express' END, CASE WHEN whole AND go THEN 'Go' END, CASE WHEN java AND (whole OR own) THEN 'Java' END) AS tech,
+        concat_ws('|', CASE WHEN whole AND node THEN 'Backend' END, CASE WHEN whole AND docker THEN 'Docker' END, CASE WHEN whole AND node THEN 'Node.js package' END) AS features,
+        coalesce(entry_points, '') AS entry_points, coalesce(important_files, '') AS important_files, coalesce(scripts, '') AS scripts, CASE WHEN up THEN '.' END AS project_root,
+        coalesce(workspace_files, '') AS workspace_files, CASE WHEN up THEN 'upstream' WHEN NOT known THEN 'no_project' END AS warning
+    FROM served LEFT JOIN lists USING (repo, root)
+""")
+def project_contexts(spark, d):
+    """The record of the top, of a folder with a project of its own or above it, and of one with none of its own."""
+    rows = customer_projects(spark, d)
+    asked = rows.select("repo").distinct().select("repo", F.explode(F.array(*map(F.lit, (".", "src", "docs/x")))).alias("root"))
+    found = projects.contexts(asked, rows.select("repo", "path"), rows)
+
+    def joined(name: str, first: str = "path", second: str = "reason"):
+        return F.array_join(F.transform(name, lambda x: F.concat(x[first], F.lit("="), x[second])), "|").alias(name)
+
+    return found.select("repo", "root", "project_name", F.array_join("tech", "|").alias("tech"), F.array_join("features", "|").alias("features"), joined("entry_points", "path", "label"), joined("important_files"), joined("scripts", "name", "command"), "project_root", joined("workspace_files"), "warning")
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS repo FROM customer),
+    v(place, label, yes, no) AS (VALUES
+        (1, 'target path', 'Path exists and is readable', ''), (2, 'config', 'Config file is valid', 'Config file error: maxDepth'), (3, 'README.md', 'Provides project background and usage', 'Not found'), (4, 'package.json', 'Provides Node.js project metadata', 'Not found'),
+        (5, 'tests', 'Test directory or test files detected', 'No test directory or test files detected'), (6, 'GitHub Actions', 'CI workflow detected', 'No CI workflow detected'), (7, 'Docker', 'Docker configuration detected', 'No Docker configuration detected')),
+    r AS (SELECT *, CASE place WHEN 1 THEN true WHEN 2 THEN k % 18 <> 0 WHEN 3 THEN k % 3 = 0 WHEN 4 THEN true WHEN 5 THEN k % 11 = 0 WHEN 6 THEN false ELSE k % 6 = 0 END AS good FROM c, v WHERE place <= 2 OR k % 18 <> 0)
+    SELECT repo, place, label, CASE WHEN good THEN 'pass' WHEN place = 2 THEN 'fail' ELSE 'warning' END AS status, CASE WHEN good THEN yes ELSE no END AS message FROM r
+""")
+def project_doctor(spark, d):
+    """The seven checks of every project, two where its configuration is wrong."""
+    rows = customer_projects(spark, d)
+    return projects.doctor_report(rows.select("repo").distinct(), rows.select("repo", "path"), rows)
+
+
+@query(f"""
+    WITH {PROJECT_SQL}, o AS (
+        SELECT repo, 'README.md' AS path, 0 AS part, 0 AS ord FROM c WHERE k % 3 = 0 UNION ALL SELECT repo, 'package.json', 0, 1 FROM c
+        UNION ALL SELECT repo, path, CASE output WHEN 'entry' THEN 1 ELSE 2 END, ord FROM found WHERE output IN ('entry', 'important') AND path <> 'package.json')
+    SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY part, ord) AS INTEGER) AS place FROM o
+""")
+def project_reading_order(spark, d):
+    """What to read first of every project, from its own entry points and important files."""
+    rows = customer_projects(spark, d)
+    found = materialise(findings.findings(rows.select("repo", "path"), rows))
+    parts = [found.filter(F.col("output") == output).select("repo", "path", "place") for output in ("entry", "important")]
+    return context.reading_order(rows.select("repo", "path"), *parts)

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 STRING = r'("(?:[^"\\]++|\\.)*+")'
 
 
+def json_text(text: Column) -> Column:
+    """JSON without its comments and trailing commas."""
+    text = F.regexp_replace(text, STRING + r"|//[^\n]*|/\*[\s\S]*?\*/", "$1")
+    return F.regexp_replace(text, STRING + r"|,(?=\s*[}\]])", "$1")
+
+
 def json_of(text: Column) -> Column:
     """JSON with comments and trailing commas as a variant; null where it cannot be parsed."""
-    text = F.regexp_replace(text, STRING + r"|//[^\n]*|/\*[\s\S]*?\*/", "$1")
-    return F.try_parse_json(F.regexp_replace(text, STRING + r"|,(?=\s*[}\]])", "$1"))
+    return F.try_parse_json(json_text(text))
 
 
 def is_string(value: Column) -> Column:
