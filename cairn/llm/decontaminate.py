@@ -2,7 +2,13 @@
 
 A window is `width` consecutive words of an item; an item with fewer words, but not none, is one window of them all.
 A document word inside any occurrence of a window is hit. Null and empty texts have no words. Repeated rows are judged
-one by one. Items that repeat an id count as one item; a null item id is written as "null".
+one by one. Items that repeat an id count as one item; a null item id is written as "null". An empty benchmark hits
+nothing, an empty table of documents stays empty, and columns of any name come out as they were.
+
+A benchmark of more than BLOCK_BYTES is scanned for block by block, with one block's index in memory at a time: documents are
+stored once, each block's findings are stored, and its broadcast is destroyed before the next. Long items are cut into pieces
+that overlap by a window less a word, so that no block outgrows its size for one item (an item of fewer words than a window
+stays whole).
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.shared import discard, stored
 from cairn.llm.textbytes import ALNUM, LOWER, U64, by_bytes, prefix_hash, span_hash, string_bytes, window_hash, words_of
 
 #: Benchmark text broadcast at once; its index takes about ten times that (32 bytes a word). A larger benchmark is dealt into
@@ -101,15 +108,51 @@ def scan(docs: DataFrame, index, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, {FOUND}")
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int):
-    """Broadcast window indexes that together hold every item."""
-    sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 if total <= BLOCK_BYTES else 2 * -(-total // BLOCK_BYTES)
+def cut_items(items: DataFrame, width: int) -> DataFrame:
+    """items (item, text), those of more than a quarter of a block in pieces that together have the same windows."""
+    most = max(1, BLOCK_BYTES // 4)
+
+    def run(batches):
+        for batch in batches:
+            names, pieces = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = (text or "").encode()
+                starts, ends, _ = words_of(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), ALNUM)
+                windows = len(starts) - width + 1
+                if len(raw) <= most or windows < 2:
+                    names.append(name)
+                    pieces.append(text)
+                    continue
+                first = np.flatnonzero(np.diff(starts[:windows] // most, prepend=-1))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), windows]):
+                    names.append(name)
+                    pieces.append(raw[starts[a] : ends[b + width - 2]].decode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(run, "item string, text string")
+
+
+def scan_in_blocks(rows: DataFrame, items: DataFrame, n: int, width: int) -> DataFrame:
+    """What scan gives for rows (doc, text) and items (item, text), the items dealt into n blocks."""
+    spark = rows.sparkSession
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("place"), "doc", "text"))
+    pieces = cut_items(items, width).distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    pieces = stored(pieces.repartition("block").sortWithinPartitions("block"))
+    found = []
     for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sc.broadcast(window_index([(r["item"], r["text"]) for r in block.collect()], width))
+        block = [(r["item"], r["text"]) for r in pieces.filter(F.col("block") == k).collect()]
+        if found and not block:
+            continue
+        index = spark.sparkContext.broadcast(window_index(block, width))
+        seen = scan(rows.select("place", "text"), index, "text").drop("text")
+        found.append(stored(seen.filter(F.size("spans") > 0) if found else seen))  # the first has the words of every row
+        index.destroy()
+    discard(pieces)
+    every = spark.read.schema(found[0].schema).parquet(*(t.stored_at for t in found))
+    joined = every.groupBy("place").agg(
+        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans")
+    )
+    return rows.join(joined, "place").select("doc", "text", "n_words", "item_ids", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "flag", width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -121,13 +164,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "flag"
     """
     others = [F.col(f"`{c}`") for c in docs.columns if action != "flag" or c != text_col]
     rows = docs.select(F.struct(*others).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    for k, index in enumerate(blocks_of(benchmark, item_col, item_text_col, width)):
-        if k == 0:
-            rows = scan(rows, index, "text")
-            continue
-        # later blocks scan the text again and add what they find
-        rows = scan(rows.select(F.struct("doc", "item_ids", "spans").alias("before"), "text"), index, "text")
-        rows = rows.select("before.doc", "text", "n_words", F.array_union("item_ids", "before.item_ids").alias("item_ids"), merge_spans(F.concat("spans", "before.spans")).alias("spans"))
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= BLOCK_BYTES:
+        rows = scan(rows, docs.sparkSession.sparkContext.broadcast(window_index([(r["item"], r["text"]) for r in items.collect()], width)), "text")
+    else:
+        rows = scan_in_blocks(rows, items, 2 * -(-total // BLOCK_BYTES), width)
     if action == "flag":
         n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
         return rows.select("doc", "n_words", n_hit.alias("n_hit"), F.array_sort("item_ids").alias("item_ids"), "spans")

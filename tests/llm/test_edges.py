@@ -75,10 +75,27 @@ def test_blocks_of_a_benchmark_give_what_one_block_gives(spark, monkeypatch):
     monkeypatch.setattr(decontaminate_module, "BLOCK_BYTES", 60)
     found = decontaminate(docs, items, width=3).collect()
     assert sorted(map(repr, found)) == want and sum(bool(x["item_ids"]) for x in found) > 20
+    kept = sorted(x["doc"]["doc_id"] for x in found if not x["n_hit"])
+    assert sorted(x["doc_id"] for x in decontaminate(docs, items, width=3, action="documents").collect()) == kept
     assert decontaminate(docs.limit(0), items).count() == 0
     assert {len(x["item_ids"]) for x in decontaminate(docs, items.limit(0)).collect()} == {0}
 
 
+def test_long_items_are_cut_into_pieces_with_the_same_windows(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    long_item = [r.choice(words) for _ in range(400)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(5)] + long_item[i * 3 : i * 3 + r.randint(3, 9)]), i) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, None, None)], "doc_id bigint, text string, place int")
+    items = spark.createDataFrame([("long", ", ".join(long_item).upper()), ("tiny", "w1 w2")] + [("same", "w3 w4 w5 w6 w7")] * 40, "item_id string, text string")
+    want = sorted(map(repr, decontaminate(docs, items, width=5).collect()))
+    monkeypatch.setattr(decontaminate_module, "BLOCK_BYTES", 200)
+    pieces = decontaminate_module.cut_items(items.selectExpr("item_id AS item", "text"), 5).collect()
+    assert max(len(x["text"]) for x in pieces) < 100 and sum(x["item"] == "long" for x in pieces) > 30
+    found = decontaminate(docs, items, width=5).collect()
+    assert sorted(map(repr, found)) == want and sum(bool(x["item_ids"]) for x in found) > 50
+
+
 def test_urls_with_many_labels_nulls_and_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.b.Example.org/x/y?q"), (1, "http://A.b.Example.org/x/y?q"), (None, None), (2, "x://..org/x")], "page_id bigint, url string")
     rules = spark.createDataFrame([("example.org", "/x/", "block"), ("b.example.org", "/x", "allow"), ("org", "", "block")], "host string, path string, action string")
