@@ -4,7 +4,12 @@ Each line's sites are counted with HyperLogLog sketches that merge during aggreg
 near the threshold are counted exactly. DataFrame functions only.
 
 A line is what stands between line feeds; blank lines are kept and never counted. A null text stays null, a null site
-is a site of its own, repeated rows are counted once per site.
+is a site of its own, repeated rows are counted once per site. An empty table stays empty. Texts of any length are taken
+whole; a line on exactly min_sites sites goes.
+
+Lines of the table meet chosen lines in two ways. Chosen lines that hold over one in MANY of the lines counted number at
+most MANY and are broadcast; only the others are joined by a shuffle, where no line has more rows than that. So no task
+gets all rows of a line that stands in most texts.
 """
 
 from __future__ import annotations
@@ -12,12 +17,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.shared import stored
+
+#: Lines, at most, that are broadcast at once (16 bytes each).
+MANY = 200_000
+
 
 def line_key(line: Column) -> Column:
     """128 bits that stand for a line."""
     return F.unhex(F.md5(line))
 
 
+def among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of lines whose line_key is in chosen (line_key, n), n its rows in lines; chosen is stored."""
+    total, least = chosen.agg(F.sum("n"), F.min("n")).first()
+    if total is None:
+        return lines.limit(0)
+    heavy = F.broadcast(chosen.filter(F.col("n") * MANY >= total).select("line_key"))
+    met = lines.join(heavy, "line_key", "left_semi")
+    if least * MANY >= total:
+        return met
+    light = chosen.filter(F.col("n") * MANY < total).select("line_key")
+    return met.unionByName(lines.join(heavy, "line_key", "left_anti").join(light, "line_key", "left_semi"))
+
+
 def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = 12, lg_k: int = 12, band: float = 0.2) -> DataFrame:
     """All columns of docs, and clean_text, n_lines, n_removed (in place of columns of docs with these names).
 
@@ -30,12 +53,13 @@ def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
     lines = docs.select(key.alias("text_key"), site.alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).filter(F.trim("line") != "")
     lines = lines.select("text_key", "site", "at", line_key(F.col("line")).alias("line_key"))
     spread = lines.groupBy("line_key").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"))
-    spread = spread.filter(F.col("n") >= min_sites * (1 - band)).select("line_key", F.hll_sketch_estimate("sketch").alias("sites"))
     low, high = min_sites * (1 - band), min_sites * (1 + band)
-    near = spread.filter((F.col("sites") >= low) & (F.col("sites") <= high)).select("line_key")
-    exact = lines.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    wide = spread.filter(F.col("sites") > high).select("line_key").unionByName(exact.select("line_key"))
-    hits = lines.select("text_key", "at", "line_key").join(wide, "line_key", "left_semi").groupBy("text_key").agg(F.collect_set("at").alias("gone"))
+    spread = spread.filter(F.col("n") >= low).select("line_key", "n", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = stored(spread.filter(F.col("sites") >= low))
+    near = among(lines, spread.filter(F.col("sites") <= high).select("line_key", "n"))
+    exact = near.groupBy("line_key").agg(F.countDistinct("site").alias("sites"), F.count("*").alias("n")).filter(F.col("sites") >= min_sites)
+    wide = stored(spread.filter(F.col("sites") > high).select("line_key", "n").unionByName(exact.select("line_key", "n")))
+    hits = among(lines.select("text_key", "at", "line_key"), wide).groupBy("text_key").agg(F.collect_set("at").alias("gone"))
     # equal texts lose the same lines, so positions are gathered once for each distinct text
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), text.alias("text"), key.alias("text_key"))
     split = F.split("text", "\n", -1)

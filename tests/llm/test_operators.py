@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import components as components_module
-from cairn.llm import ngram_join, suffix_dedup, toxicity
+from cairn.llm import line_dedup, ngram_join, suffix_dedup, toxicity
 from cairn.llm.components import components, spanning_stars
 from cairn.llm.decontaminate import decontaminate
 from cairn.llm.line_dedup import remove_boilerplate
@@ -352,6 +352,23 @@ def test_boilerplate_lines(spark):
     assert out[3] == "own 3\n" and out[20] is None and out[21] == ""
 
 
+@pytest.mark.parametrize("many", [200_000, 40])
+def test_lines_of_any_weight_are_removed_alike(spark, monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    r = random.Random(8)
+    lines = [f"line {k}" for k in range(60)]
+    rows = [(i, "\n".join(r.choices(lines, [600 / (k + 1) for k in range(60)], k=r.randint(1, 12))), f"s{r.randint(0, 25)}" if r.random() > 0.1 else None) for i in range(150)]
+    rows += [(i, "line 0\nline 59\n\n", "hot") for i in range(150, 230)] + [(230, None, "s1"), (231, "", None)]
+    sites = defaultdict(set)
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            sites[line].add(site)
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if not x.strip() or len(sites[x]) < 12) for i, t, _ in rows}
+    found = remove_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(found) == len(rows) and {x["doc_id"]: x["clean_text"] for x in found} == want
+    assert 5 < sum(len(x) >= 12 for x in sites.values()) < 55
+
+
 def test_top_k_equals_a_full_search(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8)]
