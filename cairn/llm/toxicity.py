@@ -16,8 +16,10 @@ No n-gram is left out, however many there are. A place in a word asks for the n-
 their contexts and the shorter n-grams they back off to share the three bytes before the last. Counts are therefore kept
 in buckets by those three bytes: one task builds its bucket's part of both models and values the windows (an n-gram of the
 longest order that fits) asked for. Only the orders that both classes share cross buckets: they are few (at most
-156**3, letters and two marks) and are broadcast. Windows are asked for once for each block of distinct words. The values of
-the MOST_WORDS most common words are broadcast, those of all others are joined.
+156**3, letters and two marks) and are broadcast. What tasks have counted is added up in shares of a bucket first, by the
+whole window, so that a bucket's task gets each of its windows once, however many tasks there were. Windows are asked for
+once for each block of distinct words. The values of the MOST_WORDS most common words are
+broadcast, those of all others are joined.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from cairn.llm.textbytes import LOWER, U64, by_bytes, mix, parts_of, prefix_hash
 ORDER, POOLED = 7, 3
 #: Windows of one bucket (16 bytes each) and words of one block, on average.
 BUCKET_WINDOWS, BLOCK_WORDS = 200_000, 100_000
-#: Blocks that ask one copy of a bucket; more of them ask copies.
+#: Blocks that ask one copy of a bucket, and counted blocks that one share of it adds up; more of them take more copies or shares.
 ASKING = 64
 #: Words whose values are broadcast (16 bytes each); the others are joined.
 MOST_WORDS = 250_000
@@ -220,17 +222,22 @@ def binary(*arrays: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in arrays]
 
 
-def windows_by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, windows, c0, c1): blocks of the windows of rows (text, toxic), by class the distinct words of rows that have them."""
+def windows_by_bucket(rows: DataFrame, buckets: int, shares: int) -> DataFrame:
+    """(bucket, windows, c0, c1): blocks of the windows of rows (text, toxic), by class the distinct words of rows that have them.
+
+    With several shares, the blocks of a bucket are added up in so many groups first; a window's share follows from the window.
+    """
 
     def run(batches):
         held, n = [], 0
 
         def flush():
             keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held], axis=1))
-            parts = list(parts_of(bucket_of(keys, buckets)))
+            share = ((mix(keys.astype(U64)) >> U64(32)) % U64(shares)).astype(np.int64)
+            parts = list(parts_of(bucket_of(keys, buckets) * shares + share))
             columns = [[x[p].tobytes() for _, p in parts] for x in (keys, *counts.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "windows", "c0", "c1"])
+            places = [pa.array([b // shares for b, _ in parts], pa.int32()), pa.array([b % shares for b, _ in parts], pa.int32())]
+            return pa.RecordBatch.from_arrays([*places, *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "share", "windows", "c0", "c1"])
 
         for batch in by_bytes(batches, "text", PIECE):
             label = np.asarray(batch.column(1)).astype(np.int64) > 0
@@ -249,7 +256,8 @@ def windows_by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, "bucket int, windows binary, c0 binary, c1 binary")
+    found = rows.select("text", "toxic").mapInArrow(run, "bucket int, share int, windows binary, c0 binary, c1 binary")
+    return found if shares == 1 else found.groupBy("bucket", "share").applyInArrow(share_added_up, f"bucket int, {PACKED}")
 
 
 def unpacked(table: pa.Table, *kinds: tuple[str, type]) -> list[np.ndarray]:
@@ -260,10 +268,23 @@ def unpacked(table: pa.Table, *kinds: tuple[str, type]) -> list[np.ndarray]:
 STATS = [(m, k, seen) for m in range(POOLED + 1, ORDER + 1) for k in (0, 1) for seen in (1, 2)]
 
 
-def added_up(group: pa.Table) -> pa.Table:
+PACKED = "windows binary, c0 binary, c1 binary"
+
+
+def windows_added_up(group: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    keys, c0, c1 = unpacked(group, ("windows", np.int64), ("c0", kind), ("c1", kind))
+    return summed(keys, np.stack((c0, c1)).astype(np.int64))
+
+
+def share_added_up(group: pa.Table) -> pa.Table:
+    """One share's windows, each once."""
+    keys, counts = windows_added_up(group, np.uint32)
+    return pa.table({"bucket": group["bucket"][:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("windows", "c0", "c1"), binary(keys, *counts))}})
+
+
+def added_up(group: pa.Table, kind: type) -> pa.Table:
     """One bucket's windows with their counts added, its counts of counts, and its part of the counts of order POOLED."""
-    keys, c0, c1 = unpacked(group, ("windows", np.int64), ("c0", np.uint32), ("c1", np.uint32))
-    keys, counts = summed(keys, np.stack((c0, c1)).astype(np.int64))
+    keys, counts = windows_added_up(group, kind)
     bucket = group["bucket"][0].as_py()
     if bucket < 0:
         stats, (low, low_counts) = [0] * len(STATS), (keys, counts)
@@ -292,7 +313,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null and text is not null").filter(~remainder(F.col("id")).isin(0, 4))
     rows = rows.join(counted, F.col("id") == F.col("label_id")).select("text", "toxic")
     low = "array<struct<key: bigint, c0: bigint, c1: bigint>>"
-    windows = stored(windows_by_bucket(rows, buckets).groupBy("bucket").applyInArrow(added_up, f"bucket int, windows binary, c0 binary, c1 binary, stats array<bigint>, low {low}"))
+    # a task hands its counts on after some five pieces of text at the earliest, and when it ends
+    blocks = docs.sparkSession.sparkContext.defaultParallelism + size // (5 * PIECE)
+    shares = -(-blocks // ASKING)
+    kind = np.uint32 if shares == 1 else np.int64  # one task's counts fit 32 bits
+    counted = windows_by_bucket(rows, buckets, shares)
+    windows = stored(counted.groupBy("bucket").applyInArrow(lambda group: added_up(group, kind), f"bucket int, {PACKED}, stats array<bigint>, low {low}"))
     release(docs.sparkSession)
     stats = windows.agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(STATS)))).first()
     seen = {s: stats[i] for i, s in enumerate(STATS)}
