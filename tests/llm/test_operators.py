@@ -355,6 +355,7 @@ def test_boilerplate_lines(spark):
 @pytest.mark.parametrize("many", [200_000, 40])
 def test_lines_of_any_weight_are_removed_alike(spark, monkeypatch, many):
     monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "HOT", many // 10)
     r = random.Random(8)
     lines = [f"line {k}" for k in range(60)]
     rows = [(i, "\n".join(r.choices(lines, [600 / (k + 1) for k in range(60)], k=r.randint(1, 12))), f"s{r.randint(0, 25)}" if r.random() > 0.1 else None) for i in range(150)]
