@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.paths import at_least_one, is_test
-from cairn.operators.storage import discard, materialise
+from cairn.operators.storage import discard, materialise, shuffled
 
 
 def distinct_edges(*parts: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def distinct_edges(*parts: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, dependents, dependencies) of every node that has an edge."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    both = F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    ends = edges.select(F.inline(both))  # one pass over the edges, which may be dear
     return ends.groupBy("node").agg(F.sum("i").alias("dependents"), F.sum("o").alias("dependencies"))
 
 
@@ -97,7 +98,7 @@ def impact(edges: DataFrame, roots: DataFrame, depth=2, min_depth=1, limit=None)
     found = dependents_by_level(edges, roots, depth).filter(F.col("level") >= least)
     fan = edges.groupBy("dst").agg(F.count("*").alias("dependents"))
     own = [c for c in found.columns if c == "request"]
-    ranked = found.join(fan, F.col("node") == F.col("dst"), "left").select(*own, "node", "level", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
+    ranked = found.join(shuffled(fan), F.col("node") == F.col("dst"), "left").select(*own, "node", "level", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
     ranked = ranked.orderBy(*own, F.desc("dependents"), "node")
     count = at_least_one(limit, 0)
     if count and own:

@@ -82,6 +82,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for joins that may meet any number of its rows: they are shuffled, never broadcast.
+
+    Spark reckons a table by its compressed files, and without the rows that an explode adds. Of short alike rows that is
+    a small part of what a broadcast takes on the driver.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by its keys over twice the cores, for per-row work on rows that come in few splits."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+#: Rows of a task whose hash tables grow with them; a larger input gets more tasks, not larger ones.
+TASK_ROWS = 500_000
+
+
+def in_shares(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by its keys so that a task has about TASK_ROWS rows; as it is, where it has fewer. df is counted for it."""
+    shares = df.count() // TASK_ROWS
+    return df.repartition(shares + 1, *keys) if shares else df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more."""
     for table in tables:
