@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cairn.functions.paths import at_least_one, base_name, directory, normalised
 from cairn.operators.imports import with_repo
+from cairn.operators.storage import shuffled
 
 #: Files that make a folder a project.
 PROJECT_MANIFESTS = [
@@ -41,9 +42,9 @@ def upstream_projects(requests: DataFrame, files: DataFrame, known: DataFrame |
     steps = asked.filter("root <> '.'").select("repo", "root", F.explode(folders_above(F.col("root"))).alias("a")).select("repo", "root", "a.depth", "a.folder")
     homes = project_folders(files)
     if known is not None:
-        homes = homes.join(with_repo(known).select("repo", F.col("path").alias("folder")), ["repo", "folder"], "left_semi")
-    best = steps.join(homes, ["repo", "folder"]).groupBy("repo", "root").agg(F.max_by("folder", "depth").alias("project_root"))
-    return asked.join(best, ["repo", "root"], "left").select("repo", "root", "project_root")
+        homes = homes.join(shuffled(with_repo(known).select("repo", F.col("path").alias("folder"))), ["repo", "folder"], "left_semi")
+    best = steps.join(shuffled(homes), ["repo", "folder"]).groupBy("repo", "root").agg(F.max_by("folder", "depth").alias("project_root"))
+    return asked.join(shuffled(best), ["repo", "root"], "left").select("repo", "root", "project_root")
 
 
 def rebased(paths: DataFrame, prefix: str = "prefix") -> DataFrame:
@@ -71,5 +72,5 @@ def reading_order(files: DataFrame, entries: DataFrame, important: DataFrame, fi
     repos = with_repo(files).select("repo", "path").distinct()
     named = repos.select("repo").distinct().select("repo", F.posexplode(F.array(*map(F.lit, first or READ_FIRST))).alias("place", "path"))
     parts = [rows.select("repo", "path", F.struct(F.lit(k).alias("part"), F.col("place").cast("bigint").alias("place")).alias("rank")) for k, rows in enumerate((named, with_repo(entries), with_repo(important)))]
-    once = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo", "path").agg(F.min("rank").alias("rank")).join(repos, ["repo", "path"], "left_semi")
+    once = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo", "path").agg(F.min("rank").alias("rank")).join(shuffled(repos), ["repo", "path"], "left_semi")
     return once.select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy("rank", "path")).alias("place"))

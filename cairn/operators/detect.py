@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.storage import materialise
+from cairn.operators.storage import materialise, shuffled
 from cairn.sources.manifests import packages, workspace_packages
 
 #: Names of dependencies and what they stand for, with the feature that they imply or None.
@@ -127,7 +127,7 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     of_texts = texts.select("repo", F.explode(F.coalesce(needles, none)).alias("f"))
     homes = members.select("repo", F.regexp_replace("path", r"/package\.json$", "/prisma/schema.prisma").alias("path")).distinct()
     schemas = contents.filter(path.endswith("prisma/schema.prisma")).select("repo", "path", "content")
-    schemas = schemas.filter("path = 'prisma/schema.prisma'").unionByName(schemas.join(homes, ["repo", "path"], "left_semi").select("repo", "path", "content"))
+    schemas = schemas.filter("path = 'prisma/schema.prisma'").unionByName(schemas.join(shuffled(homes), ["repo", "path"], "left_semi").select("repo", "path", "content"))
     of_schemas = schemas.select("repo", F.explode(facts_where("schema", {"": F.lit(True)} | {arg: F.contains(text, F.lit(arg)) for arg in SCHEMA})).alias("f"))
     every = of_paths.unionByName(of_packages.filter(F.col("f.arg").isin(list(NODE)))).unionByName(hints).unionByName(of_texts).unionByName(of_schemas)
     return every.select("repo", "f.kind", "f.arg").distinct()
@@ -142,9 +142,9 @@ def detect(files: DataFrame, contents: DataFrame, known: DataFrame | None = None
     hits = (facts(files, contents) if known is None else known).join(F.broadcast(rules), ["kind", "arg"]).select("repo", "output", "value", "gate").distinct()
     hits = materialise(hits)
     open_gates = hits.filter("output = 'gate'").select("repo", F.col("value").alias("gate"), F.lit(True).alias("open")).distinct()
-    kept = hits.filter("output <> 'gate'").join(open_gates, ["repo", "gate"], "left").filter("gate is null or open").select("repo", "output", "value")
+    kept = hits.filter("output <> 'gate'").join(shuffled(open_gates), ["repo", "gate"], "left").filter("gate is null or open").select("repo", "output", "value")
     flows = contents.filter(F.col("path").rlike(r"^\.github/workflows/.+\.ya?ml$"))
     named = flows.select("repo", F.regexp_extract("content", r"(?m)^name:[ \t]*['\"]?([^\r\n]*?)['\"]?[ \t]*\r?$", 1).alias("name"))
     labels = named.filter("name <> ''").select("repo", F.lit("feature").alias("output"), F.concat(F.lit("CI: "), "name").alias("value"))
-    unnamed = files.filter(F.col("path").rlike(r"^\.github/workflows/.+\.ya?ml$")).select("repo").distinct().join(labels.select("repo"), "repo", "left_anti")
+    unnamed = files.filter(F.col("path").rlike(r"^\.github/workflows/.+\.ya?ml$")).select("repo").distinct().join(shuffled(labels.select("repo")), "repo", "left_anti")
     return kept.unionByName(labels).unionByName(unnamed.select("repo", F.lit("feature").alias("output"), F.lit("CI").alias("value"))).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cairn.functions.paths import in_locale_order
 from cairn.operators.detect import ENTRIES, NODE, PATHS, facts, section
-from cairn.operators.storage import materialise
+from cairn.operators.storage import materialise, shuffled
 from cairn.sources.manifests import json_text, packages, workspace_packages
 
 MAIN, SERVER, MONOREPO = "Application entry point", "Server entry point", "Monorepo workspace configuration"
@@ -95,10 +95,10 @@ def candidates(files: DataFrame) -> DataFrame:
 def schemas(files: DataFrame, found: DataFrame) -> DataFrame:
     """Prisma's schemas at the top and in workspace packages, as candidates."""
     manifests = files.filter((F.col("path") == "package.json") | F.col("path").endswith("/package.json"))
-    members = workspace_packages(manifests.join(found.select("repo", "path", "workspaces"), ["repo", "path"], "left"))
+    members = workspace_packages(manifests.join(shuffled(found.select("repo", "path", "workspaces")), ["repo", "path"], "left"))
     homes = members.select("repo", F.regexp_replace("path", r"/package\.json$", "/prisma/schema.prisma").alias("path"))
     rows = files.filter(F.col("path").endswith("prisma/schema.prisma"))
-    rows = rows.filter("path = 'prisma/schema.prisma'").unionByName(rows.join(homes, ["repo", "path"], "left_semi").select(*rows.columns))
+    rows = rows.filter("path = 'prisma/schema.prisma'").unionByName(rows.join(shuffled(homes), ["repo", "path"], "left_semi").select(*rows.columns))
     rule = next(k for k, held in enumerate(NAMED) if held[3] == "schema")
     return rows.distinct().select("repo", F.lit(rule).alias("rule"), F.lit(0).alias("nth"), F.col("path").alias("seen"), F.lit("").alias("group"), "path", F.lit(SCHEMA_REASON).alias("text"))
 
@@ -107,7 +107,7 @@ def node_scripts(contents: DataFrame, found: DataFrame) -> DataFrame:
     """(repo, part, nth, path, text) of the top package's scripts whose commands are strings, in the order of the file."""
     keys = F.json_object_keys(F.get_json_object(json_text(F.col("content")), "$.scripts"))
     order = contents.filter("path = 'package.json'").select("repo", keys.alias("keys"))
-    rows = found.filter("path = 'package.json'").join(order, "repo").select("repo", "keys", F.explode("scripts").alias("path", "text"))
+    rows = found.filter("path = 'package.json'").join(shuffled(order), "repo").select("repo", "keys", F.explode("scripts").alias("path", "text"))
     return rows.select("repo", F.lit(0).alias("part"), F.array_position("keys", F.col("path")).cast("int").alias("nth"), "path", "text")
 
 
@@ -137,7 +137,7 @@ def findings(files: DataFrame, contents: DataFrame, known: DataFrame | None = No
     is_open = known.join(F.broadcast(gates), ["kind", "arg"]).select("repo", "gate").distinct()
     rules = session.createDataFrame([(k, gate, output, limit, held == BY_GROUP) for k, (gate, output, limit, held) in enumerate(NAMED)], "rule int, gate string, output string, most int, by_group boolean")
     given = candidates(files).unionByName(schemas(files, found)).join(F.broadcast(rules), "rule")
-    given = materialise(given.join(is_open.withColumn("open", F.lit(True)), ["repo", "gate"], "left").filter("gate is null or open").drop("gate", "open"))
+    given = materialise(given.join(shuffled(is_open.withColumn("open", F.lit(True))), ["repo", "gate"], "left").filter("gate is null or open").drop("gate", "open"))
     within = Window.partitionBy("repo", "rule", F.when(F.col("by_group"), F.col("group"))).orderBy("nth", "seen")
     few = given.filter("most is not null").withColumn("k", F.row_number().over(within)).filter(f"k <= {MOST} and k <= most").drop("k")
     rank = F.struct("rule", "nth", F.when(F.col("by_group"), in_locale_order(F.col("group"))).alias("group"), "seen").alias("rank")

@@ -10,7 +10,7 @@ from cairn.operators.context import folders_above, project_folders, upstream_pro
 from cairn.operators.detect import MANIFESTS, detect, facts
 from cairn.operators.findings import findings
 from cairn.operators.imports import with_repo
-from cairn.operators.storage import materialise
+from cairn.operators.storage import materialise, shuffled
 from cairn.sources.manifests import json_of
 
 #: Divides a repository's name from a folder in keys; no path holds it.
@@ -21,7 +21,7 @@ def below(rows: DataFrame, folders: DataFrame) -> DataFrame:
     """rows (repo, path, ..) once for each of the folders (repo, folder) above them, as seen from there; repo is then both."""
     rest = F.when(F.col("folder") == ".", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
     above = rows.select("*", F.explode(F.transform(folders_above(F.col("path")), lambda x: x["folder"])).alias("folder"))
-    return above.join(folders, ["repo", "folder"]).withColumn("path", rest).withColumn("repo", F.concat("repo", F.lit(BETWEEN), "folder")).drop("folder")
+    return above.join(shuffled(folders), ["repo", "folder"]).withColumn("path", rest).withColumn("repo", F.concat("repo", F.lit(BETWEEN), "folder")).drop("folder")
 
 
 def records(found: DataFrame, technologies: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def records(found: DataFrame, technologies: DataFrame) -> DataFrame:
         return F.transform(F.array_sort(F.collect_list(kept)), lambda x: F.collate(x, "UTF8_BINARY")).alias(output)
 
     of_paths = found.groupBy("repo").agg(F.max(F.when(F.col("output") == "name", F.col("text"))).alias("project_name"), listed("entry"), listed("important"), listed("script"))
-    return technologies.groupBy("repo").agg(values("tech"), values("feature")).join(of_paths, "repo", "full")
+    return technologies.groupBy("repo").agg(values("tech"), values("feature")).join(shuffled(of_paths), "repo", "full")
 
 
 def contexts(requests: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def contexts(requests: DataFrame, files: DataFrame, contents: DataFrame) -> Data
     wanted = base_name(F.col("path")).isin([*MANIFESTS, "schema.prisma"]) | F.col("path").rlike(r"(^|/)\.github/workflows/.+\.ya?ml$")
     texts = with_repo(contents).filter(wanted).select("repo", "path", "content")
     above = asked.filter("root <> '.'").select("repo", F.explode(F.transform(folders_above(F.col("root")), lambda x: x["folder"])).alias("folder"))
-    folders = materialise(asked.select("repo", F.col("root").alias("folder")).unionByName(above.join(project_folders(paths), ["repo", "folder"], "left_semi")).distinct())
+    folders = materialise(asked.select("repo", F.col("root").alias("folder")).unionByName(above.join(shuffled(project_folders(paths)), ["repo", "folder"], "left_semi")).distinct())
     near_files, near_texts = materialise(below(paths, folders)), materialise(below(texts, folders))
     known = materialise(facts(near_files, near_texts))
     held = records(findings(near_files, near_texts, known), detect(near_files, near_texts, known))
     held = materialise(held.withColumn("at", F.split("repo", BETWEEN)).select(F.col("at")[0].alias("repo"), F.col("at")[1].alias("folder"), *held.columns[1:]))
-    bare = asked.join(held.select("repo", F.col("folder").alias("root")), ["repo", "root"], "left_anti")
+    bare = asked.join(shuffled(held.select("repo", F.col("folder").alias("root"))), ["repo", "root"], "left_anti")
     up = upstream_projects(bare, paths, held.select("repo", F.col("folder").alias("path"))).select("repo", "root", "project_root", F.lit(True).alias("bare"))
-    rows = asked.join(up, ["repo", "root"], "left").withColumn("folder", F.coalesce("project_root", "root")).join(held, ["repo", "folder"], "left")
+    rows = asked.join(shuffled(up), ["repo", "root"], "left").withColumn("folder", F.coalesce("project_root", "root")).join(shuffled(held), ["repo", "folder"], "left")
     prefix = F.when(F.col("project_root") == ".", F.col("root")).otherwise(F.expr("substring(root, length(project_root) + 2)"))
     inside = F.concat("prefix", F.lit("/"))
 
@@ -133,7 +133,7 @@ def doctor_report(repos: DataFrame, files: DataFrame, contents: DataFrame, confi
     there = with_repo(files).filter("path is not null").groupBy("repo").agg(F.lit(True).alias("there"), *(F.bool_or(flag).alias(f"c{k}") for k, flag in enumerate(flags)))
     configs = with_repo(contents).filter(path == config_name).groupBy("repo").agg(F.min("content").alias("content"))
     wrong = configs.select("repo", config_errors(json_of(F.col("content"))).alias("wrong"))
-    rows = asked.join(there, "repo", "left").join(wrong, "repo", "left")
+    rows = asked.join(shuffled(there), "repo", "left").join(shuffled(wrong), "repo", "left")
     fine = F.coalesce(F.size("wrong"), F.lit(0)) <= 0
 
     def check(place: int, label: str, good: Column, other: str, message: Column) -> Column:

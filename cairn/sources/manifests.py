@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.storage import shuffled
+
 STRING = r'("(?:[^"\\]++|\\.)*+")'
 
 
@@ -70,7 +72,7 @@ def workspace_packages(found: DataFrame) -> DataFrame:
         below = (prefix != "") & F.col("path").startswith(F.concat(prefix, F.lit("/"))) & F.col("path").endswith("/package.json")
         return F.when(F.contains(wanted, F.lit("*")), below).otherwise(F.col("path") == F.concat(wanted, F.lit("/package.json")))
 
-    return found.join(root, "repo").filter(F.exists("wanted", fits)).drop("wanted")
+    return found.join(shuffled(root), "repo").filter(F.exists("wanted", fits)).drop("wanted")
 
 
 def workspace_graph(found: DataFrame) -> DataFrame:
@@ -80,9 +82,9 @@ def workspace_graph(found: DataFrame) -> DataFrame:
     known = members.select("repo", F.col("name").alias("other")).distinct()
 
     def inside(column: str, out: str) -> DataFrame:
-        rows = members.select("repo", "path", F.explode(column).alias("other")).join(known, ["repo", "other"])
+        rows = members.select("repo", "path", F.explode(column).alias("other")).join(shuffled(known), ["repo", "other"])
         return rows.groupBy("repo", "path").agg(F.array_sort(F.collect_set("other")).alias(out))  # one manifest's list
 
     none = F.array().cast("array<string>")
-    out = members.join(inside("names", "dependencies_in"), ["repo", "path"], "left").join(inside("dev_names", "dev_in"), ["repo", "path"], "left")
+    out = members.join(shuffled(inside("names", "dependencies_in")), ["repo", "path"], "left").join(shuffled(inside("dev_names", "dev_in")), ["repo", "path"], "left")
     return out.select("repo", "name", F.col("folder").alias("path"), F.coalesce("dependencies_in", none).alias("dependencies"), F.coalesce("dev_in", none).alias("dev_dependencies"))
