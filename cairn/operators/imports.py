@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairn.functions.paths import base_name, directory
 from cairn.operators.facts import PYTHON_MODULES, SCRIPT_EXTENSIONS, source_facts
 from cairn.operators.resolve import representatives
-from cairn.operators.storage import materialise
+from cairn.operators.storage import materialise, shuffled
 
 #: What a written extension may stand for.
 WRITTEN_FOR = {".js": [".ts", ".tsx"], ".jsx": [".tsx", ".ts"], ".mjs": [".mts", ".ts", ".tsx"], ".cjs": [".cts", ".ts", ".tsx"]}
@@ -64,10 +64,34 @@ def imported_names(text: Column, kept: str = r"^[A-Za-z_]\w*$") -> Column:
     return F.filter(parts, lambda x: x.rlike(kept))
 
 
-def first_per_target(found: DataFrame, files: DataFrame, lang: str) -> DataFrame:
-    """Edges of statements (repo, src, ordinal, specifiers, candidates): resolved, and the first for each target."""
+def script_stem(path: Column) -> Column:
+    """A path without the extension of a script."""
+    return F.regexp_replace(path, r"\.[cm]?[jt]s$|\.[jt]sx$", "")
+
+
+def script_hits(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of found (repo, src, ordinal, specifiers, target) with each path that the target may mean, and its rank.
+
+    A candidate's stem is the target, its stem, or the target's index, so both sides meet under these two or three keys
+    instead of under every candidate.
+    """
+    stem = script_stem(F.col("path"))
+    homes = F.when(stem.endswith("/index") & (stem != F.col("path")), F.array(stem, F.regexp_replace(stem, "/index$", ""))).otherwise(F.array(stem))
+    there = with_repo(files).select("repo", "path", F.explode(homes).alias("key"))
+    asked = found.select("*", F.explode(F.array_distinct(F.array(script_stem(F.col("target")), "target"))).alias("key"))
+    rank = F.array_position(script_candidates(F.col("target")), F.col("path"))
+    return asked.join(shuffled(there), ["repo", "key"]).withColumn("rank", rank).filter("rank > 0").drop("key", "target")
+
+
+def candidate_hits(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of found (repo, src, ordinal, specifiers, candidates) with each candidate that is a file, and its rank."""
     tried = found.select("repo", "src", "ordinal", "specifiers", F.posexplode("candidates").alias("rank", "path"))
-    hits = tried.join(with_repo(files).select("repo", "path"), ["repo", "path"])
+    return tried.join(shuffled(with_repo(files).select("repo", "path")), ["repo", "path"])
+
+
+def first_per_target(hits: DataFrame, lang: str) -> DataFrame:
+    """Edges of statements (repo, src, ordinal, specifiers) with the paths that they hit, by rank: the first for each target."""
+    hits = hits.repartition("repo", "src")  # both steps group within a file
     best = hits.groupBy("repo", "src", "ordinal").agg(F.min_by(F.struct("path", "specifiers"), "rank").alias("t"))
     edges = best.groupBy("repo", "src", F.col("t.path").alias("dst")).agg(F.min_by("t.specifiers", "ordinal").alias("specifiers"), F.min("ordinal").alias("ordinal"))
     return edges.select("repo", "src", "dst", F.coalesce("specifiers", F.array().cast("array<string>")).alias("specifiers"), F.lit(lang).alias("lang"), "ordinal")
@@ -84,7 +108,7 @@ def script_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     names = F.when(F.col("g1").isNotNull(), specifiers(F.col("g1"))).otherwise(F.array().cast("array<string>"))
     target = joined(directory(F.col("path")), F.col("g2"))
     rows = rows.select("repo", F.col("path").alias("src"), ordinal(), names.alias("specifiers"), target.alias("target"))
-    return first_per_target(rows.withColumn("candidates", script_candidates(F.col("target"))), files, "ts")
+    return first_per_target(script_hits(rows, files), "ts")
 
 
 def python_module(path: Column) -> Column:
@@ -109,7 +133,7 @@ def python_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     inner = F.transform("specifiers", lambda n: python_module(F.when(F.col("base") == "", n).otherwise(F.concat(F.col("base"), F.lit("/"), n))))
     tried = F.concat("direct", F.flatten(inner), python_module(F.col("base")))
     found = rows.select("repo", "src", ordinal(), "specifiers", tried.alias("candidates"))
-    return first_per_target(plain.unionByName(found), files, "py").filter("src <> dst")
+    return first_per_target(candidate_hits(plain.unionByName(found), with_repo(files).filter(F.col("path").endswith(".py"))), "py").filter("src <> dst")
 
 
 def go_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -121,9 +145,9 @@ def go_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     kept = representatives(sources, group, base_name(F.col("path")) == F.concat(base_name(folder), F.lit(".go")), F.col("path").endswith("_test.go"))
     kept = kept.select("grp.repo", "grp.folder", F.col("path").alias("dst"))
     rows = facts.filter("fact = 'go'").select("repo", F.col("path").alias("src"), ordinal().alias("ordinal"), F.col("g1").alias("name"))
-    below = rows.join(module, "repo").filter(F.col("name").startswith(F.concat("module", F.lit("/"))))
+    below = rows.join(shuffled(module), "repo").filter(F.col("name").startswith(F.concat("module", F.lit("/"))))
     below = below.withColumn("folder", F.expr("substring(name, length(module) + 2)"))
-    edges = below.join(kept, ["repo", "folder"]).filter("src <> dst")
+    edges = below.join(shuffled(kept), ["repo", "folder"]).filter("src <> dst")
     return edges.select("repo", "src", "dst", F.array("name").alias("specifiers"), F.lit("go").alias("lang"), "ordinal")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.facts import source_facts
-from cairn.operators.storage import materialise
+from cairn.operators.storage import materialise, shuffled
 
 
 def symbols_of(facts: DataFrame) -> DataFrame:
@@ -28,14 +28,14 @@ def imported_symbols(edges: DataFrame, found: DataFrame) -> DataFrame:
     exported = found.filter("exported").select("repo", F.col("path").alias("to_path"), F.col("name").alias("to_symbol")).distinct()
     rows = edges.select("repo", F.col("src").alias("path"), F.col("dst").alias("to_path"), "ordinal", F.posexplode("specifiers").alias("pos", "spec"))
     rows = rows.withColumn("words", F.split("spec", r"\s+as\s+")).select("repo", "path", "to_path", F.struct("ordinal", "pos").alias("place"), F.element_at("words", -1).alias("local"), F.element_at("words", 1).alias("to_symbol"))
-    last = rows.join(exported, ["repo", "to_path", "to_symbol"]).groupBy("repo", "path", "local").agg(F.max_by(F.struct("to_path", "to_symbol"), "place").alias("t"))
+    last = rows.join(shuffled(exported), ["repo", "to_path", "to_symbol"]).groupBy("repo", "path", "local").agg(F.max_by(F.struct("to_path", "to_symbol"), "place").alias("t"))
     return last.select("repo", "path", "local", "t.*")
 
 
 def calls_of(facts: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
     """(repo, path, symbol, to_path, to_symbol, line) where an exported function calls an imported symbol or its member."""
     called = facts.filter("fact = 'call'").select("repo", "path", F.col("container").alias("symbol"), F.col("name").alias("local"), "line", F.struct("rank", "pos").alias("ord"))
-    hits = called.join(imported_symbols(edges, found), ["repo", "path", "local"])
+    hits = called.join(shuffled(imported_symbols(edges, found)), ["repo", "path", "local"])
     return hits.groupBy("repo", "path", "symbol", "to_path", "to_symbol").agg(F.min_by("line", F.struct("ord", "local")).alias("line"))
 
 
@@ -49,7 +49,7 @@ def calls_by_export(found: DataFrame, calls: DataFrame) -> DataFrame:
     out = calls.groupBy("repo", "path", F.col("symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("to_path").alias("path"), F.col("to_symbol").alias("symbol"), "line"))).alias("calls"))
     into = calls.groupBy("repo", F.col("to_path").alias("path"), F.col("to_symbol").alias("name")).agg(F.array_sort(F.collect_list(F.struct("path", "symbol", "line"))).alias("called_by"))
     names = ["repo", "path", "name"]
-    return found.filter("exported").select(*names).distinct().join(out, names, "left").join(into, names, "left")
+    return found.filter("exported").select(*names).distinct().join(shuffled(out), names, "left").join(shuffled(into), names, "left")
 
 
 def most_exports(found: DataFrame, limit: int = 15) -> DataFrame:
