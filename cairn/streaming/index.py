@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cairn.operators.changes import pending
 from cairn.operators.facts import source_facts
 from cairn.operators.imports import edges_of, with_repo
-from cairn.operators.storage import discard, materialise
+from cairn.operators.storage import discard, materialise, shuffled
 from cairn.operators.symbols import calls_of, symbols_of
 from cairn.sources.versions import Versions
 
@@ -60,20 +60,20 @@ class SourceIndex:
     def replace(self, old: dict[str, DataFrame], changed: DataFrame, contents: DataFrame, notes: dict | None) -> int:
         """Publish old with the facts of the changed files taken anew."""
         after, sources = self.versions.latest(), ["repo", "src"]
-        changed = materialise(changed.join(old["files"], KEY, "left_semi"))  # a file that the index has never seen is not one
-        fresh = materialise(source_facts(contents.join(changed, KEY, "left_semi")))
-        facts = materialise(old["facts"].join(changed, KEY, "left_anti").unionByName(fresh))
+        changed = materialise(changed.join(shuffled(old["files"]), KEY, "left_semi"))  # a file that the index has never seen is not one
+        fresh = materialise(source_facts(contents.join(shuffled(changed), KEY, "left_semi")))
+        facts = materialise(old["facts"].join(shuffled(changed), KEY, "left_anti").unionByName(fresh))
         # a go.mod decides for all Go files of its repository
         modules = changed.filter("path = 'go.mod'").select("repo")
-        touched = materialise(changed.unionByName(old["files"].filter(F.col("path").endswith(".go")).join(modules, "repo", "left_semi")).distinct())
+        touched = materialise(changed.unionByName(old["files"].filter(F.col("path").endswith(".go")).join(shuffled(modules), "repo", "left_semi")).distinct())
         moved = touched.withColumnRenamed("path", "src")
-        renewed = edges_of(facts.join(touched, KEY, "left_semi").unionByName(facts.filter("fact = 'module'").join(touched, KEY, "left_anti")), old["files"])
-        edges = materialise(old["edges"].join(moved, sources, "left_anti").unionByName(renewed.join(moved, sources, "left_semi")))
-        found = materialise(old["symbols"].join(changed, KEY, "left_anti").unionByName(symbols_of(fresh)))
-        importers = edges.join(changed.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("path"))
+        renewed = edges_of(facts.join(shuffled(touched), KEY, "left_semi").unionByName(facts.filter("fact = 'module'").join(shuffled(touched), KEY, "left_anti")), old["files"])
+        edges = materialise(old["edges"].join(shuffled(moved), sources, "left_anti").unionByName(renewed.join(shuffled(moved), sources, "left_semi")))
+        found = materialise(old["symbols"].join(shuffled(changed), KEY, "left_anti").unionByName(symbols_of(fresh)))
+        importers = edges.join(shuffled(changed.withColumnRenamed("path", "dst")), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("path"))
         due = materialise(touched.unionByName(importers).distinct())
-        near = edges.join(due.withColumnRenamed("path", "src"), sources, "left_semi")
-        calls = old["calls"].join(due, KEY, "left_anti").unionByName(calls_of(facts.join(due, KEY, "left_semi"), near, found))
+        near = edges.join(shuffled(due.withColumnRenamed("path", "src")), sources, "left_semi")
+        calls = old["calls"].join(shuffled(due), KEY, "left_anti").unionByName(calls_of(facts.join(shuffled(due), KEY, "left_semi"), near, found))
         version = self.versions.publish({"files": old["files"], "facts": facts, "edges": edges, "symbols": found, "calls": calls}, after=after, notes=notes)
         discard(changed, fresh, facts, touched, edges, found, due)
         return version
