@@ -32,14 +32,18 @@ def with_repo(rows: DataFrame) -> DataFrame:
 
 def joined(folder: Column, rest: Column) -> Column:
     """The path of rest as seen from folder, without dots; a final slash stays."""
-    parts = F.filter(F.split(F.concat_ws("/", folder, rest), "/"), lambda x: ~x.isin("", "."))
+    whole = F.concat_ws("/", folder, rest)
+    parts = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
 
     def step(acc, x):
         up = (x == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != "..")
         return F.when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, x))
 
     path = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.when(rest.endswith("/"), F.concat(path, F.lit("/"))).otherwise(path)
+    path = F.when(rest.endswith("/"), F.concat(path, F.lit("/"))).otherwise(path)
+    # one replacement takes the dots out of most paths; where some are left, the segments are gone through one by one
+    short = F.regexp_replace(whole, r"(?<![^/])(?:\.?/|(?!\.\.?/)[^/]+/\.\./)", "")
+    return F.when(~short.rlike(r"(^|/)\.{0,2}(/|$)"), short).otherwise(path)
 
 
 def script_candidates(path: Column) -> Column:
@@ -52,6 +56,20 @@ def script_candidates(path: Column) -> Column:
     return F.concat(F.array(path), swapped, F.transform(endings, lambda e: F.concat(path, e)))
 
 
+def script_rank(target: Column, path: Column) -> Column:
+    """The place of path, from 1, among the script_candidates of target, which are not made for it; 0 if it is none of them."""
+    found, swapped = F.lit(0).cast("bigint"), F.lit(0)
+    for written, meant in WRITTEN_FOR.items():
+        cut = F.length(target) - len(written)
+        rest = F.when(F.substring(path, F.lit(1), cut) == F.substring(target, F.lit(1), cut), F.substring(path, cut + 1, F.length(path)))
+        named = target.rlike(rf"[^/]\{written}$")
+        found = F.when(named, F.coalesce(F.array_position(F.array(*map(F.lit, meant)), rest), F.lit(0))).otherwise(found)
+        swapped = F.when(named, F.lit(len(meant))).otherwise(swapped)
+    endings = F.array(*map(F.lit, SCRIPT_EXTENSIONS), *(F.lit("/index" + e) for e in SCRIPT_EXTENSIONS))
+    ending = F.when(path.startswith(target), F.array_position(endings, F.substring(path, F.length(target) + 1, F.length(path))))
+    return F.when(path == target, F.lit(1)).when(found > 0, found + 1).when(ending > 0, ending + 1 + swapped).otherwise(0)
+
+
 def specifiers(names: Column) -> Column:
     """Names between braces, without `type`; a bare name alone; none if empty."""
     inner = F.transform(F.split(F.regexp_replace(names, r"[{}]", ""), ","), lambda x: F.regexp_replace(stripped(x), r"^type\s+", ""))
@@ -79,7 +97,7 @@ def script_hits(found: DataFrame, files: DataFrame) -> DataFrame:
     homes = F.when(stem.endswith("/index") & (stem != F.col("path")), F.array(stem, F.regexp_replace(stem, "/index$", ""))).otherwise(F.array(stem))
     there = with_repo(files).select("repo", "path", F.explode(homes).alias("key"))
     asked = found.select("*", F.explode(F.array_distinct(F.array(script_stem(F.col("target")), "target"))).alias("key"))
-    rank = F.array_position(script_candidates(F.col("target")), F.col("path"))
+    rank = script_rank(F.col("target"), F.col("path"))
     return asked.join(shuffled(there), ["repo", "key"]).withColumn("rank", rank).filter("rank > 0").drop("key", "target")
 
 
@@ -157,5 +175,5 @@ def edges_of(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def import_edges(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """The edges of contents; the facts are stored between, so that each text is read once."""
-    return edges_of(materialise(source_facts(contents)), files)
+    """The edges of contents; the facts are stored between, so that each text is read once. Symbols and calls are not sought."""
+    return edges_of(materialise(source_facts(contents, declared=False)), files)

@@ -51,3 +51,35 @@ def test_patterns_are_left_out_only_without_their_words():
 def test_facts_become_batches_by_column():
     row = ("r", "p", "symbol", 1, 2, None, 4, "n", "k", True, None, "", None, None, None, None)
     assert [tuple(x.values()) for x in facts.batch_of([row, row]).to_pylist()] == [row, row]
+
+
+def test_edges_alone_take_no_symbols(spark, tree, monkeypatch):
+    kept = []
+    monkeypatch.setattr(imports, "materialise", lambda df: kept.append(df) or df)
+    edges = imports.import_edges(tree, tree)
+    assert {r["fact"] for r in kept[0].select("fact").distinct().collect()} == {"script", "module", "go"}
+    assert sorted((r["src"], r["dst"]) for r in edges.collect()) == [("b.ts", "a.ts"), ("main.go", "p/p.go")]
+
+
+def test_candidates_are_ranked_without_being_made(spark):
+    asked = spark.createDataFrame([("r", "s", 0, ["x"], "a")], "repo string, src string, ordinal int, specifiers array<string>, target string")
+    plan = plan_of(imports.script_hits(asked, asked.select("repo", F.col("target").alias("path"))))
+    assert "lambda" not in plan and "transform(" not in plan
+
+
+def test_paths_lose_their_dots_as_segments_do(spark):
+    def joined(folder: str, rest: str) -> str:
+        kept = []
+        for part in f"{folder}/{rest}".split("/"):
+            if part == ".." and kept and kept[-1] != "..":
+                kept.pop()
+            elif part not in ("", "."):
+                kept.append(part)
+        return "/".join(kept) + ("/" if rest.endswith("/") else "")
+
+    random.seed(5)
+    parts = ["..", ".", "", "a", "b.c", "...", "..d", ".e", "f."]
+    pairs = [tuple("/".join(random.choices(parts, k=random.randint(1, 5))) for _ in range(2)) for _ in range(3000)]
+    pairs += [("src/o", "../c/c1.js"), ("", "./x"), ("a/b", "../../x"), ("a", "..")]
+    rows = spark.createDataFrame(pairs, "folder string, rest string").select("folder", "rest", imports.joined(F.col("folder"), F.col("rest")).alias("path")).collect()
+    assert [r["path"] for r in rows] == [joined(r["folder"], r["rest"]) for r in rows]
