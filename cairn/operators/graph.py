@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.paths import at_least_one, is_test
-from cairn.operators.storage import discard, materialise, shuffled
+from cairn.operators.storage import discard, materialise, shuffled, stored
 
 
 def distinct_edges(*parts: DataFrame) -> DataFrame:
@@ -65,6 +65,11 @@ def fan_in(edges: DataFrame, node: str, limit=None, offset=None) -> DataFrame:
 BROADCAST_NODES = 500_000
 
 
+def sent(nodes: DataFrame) -> DataFrame:
+    """Stored nodes, for joins with many rows: broadcast, or dealt out and hashed, so that what they meet is not sorted."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes.hint("shuffle_hash")
+
+
 def dependents_by_level(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, level): nodes that reach a root over dependencies, by their least distance up to depth; roots are left out.
 
@@ -72,14 +77,13 @@ def dependents_by_level(edges: DataFrame, roots: DataFrame, depth: int) -> DataF
     once, in as many jobs as one takes; rows then have their request, and each has its own roots.
     """
     keys = ["request", "node"] if "request" in roots.columns else ["node"]
-    held = materialise(edges.select("src", "dst")) if depth > 1 else edges
+    held = stored(edges) if depth > 1 else edges
     front = materialise(roots.select(*keys, F.lit(0).alias("level")).dropDuplicates(keys))
     levels = [front]
     for level in range(1, depth + 1):
         step = front.select(*keys[:-1], F.col("node").alias("dst"))
-        step = F.broadcast(step) if front.count() <= BROADCAST_NODES else step
-        met = held.join(step, "dst").select(*keys[:-1], F.col("src").alias("node")).distinct()
-        front = materialise(met.join(reduce(DataFrame.unionByName, levels), keys, "left_anti").withColumn("level", F.lit(level)))
+        met = held.join(sent(step), "dst").select(*keys[:-1], F.col("src").alias("node")).distinct()
+        front = materialise(met.join(sent(reduce(DataFrame.unionByName, levels)), keys, "left_anti").withColumn("level", F.lit(level)))
         levels.append(front)
         if front.isEmpty():
             break
@@ -95,6 +99,7 @@ def impact(edges: DataFrame, roots: DataFrame, depth=2, min_depth=1, limit=None)
     """
     depth = at_least_one(depth, 2)
     least = min(at_least_one(min_depth, 1), depth)
+    edges = stored(edges)  # read by each level and for the counts
     found = dependents_by_level(edges, roots, depth).filter(F.col("level") >= least)
     fan = edges.groupBy("dst").agg(F.count("*").alias("dependents"))
     own = [c for c in found.columns if c == "request"]

@@ -82,6 +82,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder unless it was read from there."""
+    return df if getattr(df, "stored_at", None) else materialise(df)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """df, for joins that may meet any number of its rows: they are shuffled, never broadcast.
 

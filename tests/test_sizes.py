@@ -44,6 +44,14 @@ def test_edges_both_ways_take_no_second_distinct(spark):
     same(edges, connect(SF), corpus.BACK)
 
 
+def test_edges_of_an_impact_are_made_once(spark):
+    edges = spark.range(1, 9).select(F.col("id").cast("string").alias("src"), F.floor(F.col("id") / 2).cast("string").alias("dst"))
+    roots = spark.createDataFrame([("0",)], "node string")
+    found = graph.impact(edges, roots, 3)
+    assert "Range (" not in plan_of(found)
+    assert {r["node"]: (r["level"], r["dependents"]) for r in found.collect()} == {"1": (1, 2), "2": (2, 2), "3": (2, 2), "4": (3, 1), "5": (3, 0), "6": (3, 0), "7": (3, 0)}
+
+
 def test_degrees_pass_over_the_edges_once(spark):
     edges = spark.range(9).select(F.col("id").cast("string").alias("src"), (F.col("id") % 3).cast("string").alias("dst"))
     found = graph.degrees(edges)
