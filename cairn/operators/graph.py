@@ -151,18 +151,18 @@ def path_between(edges: DataFrame, start: str, end: str, max_paths=5, max_depth=
     Distances from start come first; then only edges between neighbouring levels that lead to end are kept; chains grow
     over these, the first max_paths + 1 of each node by order, as later ones cannot become first again.
     """
-    spark, edges = edges.sparkSession, materialise(edges)
+    spark, edges = edges.sparkSession, stored(edges)
     paths, hops = at_least_one(max_paths, 5), at_least_one(max_depth, 12)
     schema = "path array<string>, length int, truncated boolean"
     known = edges.filter((F.col("src") == start) | (F.col("dst") == start)).limit(1).count()
     if start == end:
         return spark.createDataFrame([([start], 0, False)] if known else [], schema)
-    seen = materialise(spark.createDataFrame([(start, 0)], "node string, level int"))
-    front, reached = seen, 0
+    front, reached = materialise(spark.createDataFrame([(start,)], "node string")), 0
+    fronts = [front]
     for level in range(1, hops + 1):
-        met = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        front = materialise(met.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
-        seen = seen.unionByName(front)
+        met = edges.join(sent(front.select(F.col("node").alias("dst"))), "dst").select(F.col("src").alias("node")).distinct()
+        front = materialise(met.join(sent(reduce(DataFrame.unionByName, fronts)), "node", "left_anti"))
+        fronts.append(front)
         if front.isEmpty():
             break
         if not front.filter(F.col("node") == end).isEmpty():
@@ -173,8 +173,8 @@ def path_between(edges: DataFrame, start: str, end: str, max_paths=5, max_depth=
     wanted = spark.createDataFrame([(end,)], "node string")
     steps = []
     for level in range(reached, 0, -1):
-        below = seen.filter(F.col("level") == level - 1).select(F.col("node").alias("dst"))
-        step = materialise(edges.join(wanted.select(F.col("node").alias("src")), "src").join(below, "dst").select("src", "dst"))
+        below = fronts[level - 1].select(F.col("node").alias("dst"))
+        step = materialise(edges.join(sent(wanted.select(F.col("node").alias("src"))), "src").join(sent(below), "dst").select("src", "dst"))
         steps.append(step)
         wanted = step.select(F.col("dst").alias("node")).distinct()
     chains = spark.createDataFrame([(start, [start])], "node string, path array<string>")
