@@ -125,6 +125,7 @@ def impact_report(edges: DataFrame, resolved: DataFrame, depth=2, min_depth=1, l
     """
     depth = at_least_one(depth, 2)
     least = min(at_least_one(min_depth, 1), depth)
+    resolved = stored(resolved)
     found = dependents_by_level(edges, resolved.filter("found").select(F.col("path").alias("node")), depth)
     ends = found.agg(F.coalesce(F.max("level"), F.lit(0)).alias("last"), F.count_if(F.col("level") >= least).alias("total"))
     sums = found.groupBy("level").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("sums"))  # one entry a level

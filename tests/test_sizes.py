@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from cairn.operators import graph, storage
+from cairn.operators import graph, resolve, storage
 from cairn.plans import corpus
 from tests.oracle import connect, same
 
@@ -70,6 +70,15 @@ def test_edges_of_an_impact_are_made_once(spark):
     assert {r["node"]: (r["level"], r["dependents"]) for r in found.collect()} == {"1": (1, 2), "2": (2, 2), "3": (2, 2), "4": (3, 1), "5": (3, 0), "6": (3, 0), "7": (3, 0)}
 
 
+def test_paths_of_a_report_are_resolved_once(spark):
+    edges = chain_edges(spark)
+    known = spark.range(8).select(F.col("id").cast("string").alias("path"))
+    asked = spark.createDataFrame([("0",), ("none",)], "request string")
+    report = graph.impact_report(edges, resolve.resolve_paths(asked, known, known.limit(0), "file"), 2)
+    assert "Range (" not in plan_of(report)
+    assert [(r["roots"], r["missing_roots"], r["total"], r["level_totals"]) for r in report.collect()] == [(["0", "none"], ["none"], 6, {1: 3, 2: 3})]
+
+
 def test_degrees_pass_over_the_edges_once(spark):
     edges = spark.range(9).select(F.col("id").cast("string").alias("src"), (F.col("id") % 3).cast("string").alias("dst"))
     found = graph.degrees(edges)
