@@ -1,5 +1,6 @@
 """What keeps tasks and broadcasts from growing with the tables."""
 
+import re
 import shutil
 from pathlib import Path
 
@@ -84,3 +85,20 @@ def test_degrees_pass_over_the_edges_once(spark):
     found = graph.degrees(edges)
     assert plan_of(found).count("Range (") == 1
     assert {r["node"]: (r["dependents"], r["dependencies"]) for r in found.collect()} == {str(n): (3 if n < 3 else 0, 1) for n in range(9)}
+
+
+def in_small_shares(spark, monkeypatch, name: str) -> str:
+    """The plan of a query whose tasks take 500 rows of the key graph; its rows equal its SQL."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    df = corpus.QUERIES[name](spark, SF)
+    plan = plan_of(df)
+    dealt = re.findall(r"Exchange hashpartitioning\(([ol]_\w+key)#\w+, \w+#\w+, (\d+)\), (\w+)", plan)
+    rows = {key: corpus.table(spark, SF, t).count() for t, key in (("orders", "o_orderkey"), ("lineitem", "l_partkey"))}
+    assert dealt == [(key, str(n // 500 + 1), "REPARTITION_BY_NUM") for key, n in rows.items()]  # once each, and not again for the distinct
+    assert plan.count("Exchange hashpartitioning(src#") == 1  # edges with a null end
+    same(df, connect(SF), corpus.ORACLES[name])
+    return plan
+
+
+def test_status_counts_takes_edges_in_shares(spark, monkeypatch):
+    in_small_shares(spark, monkeypatch, "status_counts")
