@@ -102,3 +102,8 @@ def in_small_shares(spark, monkeypatch, name: str) -> str:
 
 def test_status_counts_takes_edges_in_shares(spark, monkeypatch):
     in_small_shares(spark, monkeypatch, "status_counts")
+
+
+def test_entry_like_takes_edges_once_and_in_shares(spark, monkeypatch):
+    plan = in_small_shares(spark, monkeypatch, "entry_like")
+    assert plan.count("Generate inline") == 1 and "TakeOrderedAndProject" in plan
