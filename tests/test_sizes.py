@@ -107,3 +107,8 @@ def test_status_counts_takes_edges_in_shares(spark, monkeypatch):
 def test_entry_like_takes_edges_once_and_in_shares(spark, monkeypatch):
     plan = in_small_shares(spark, monkeypatch, "entry_like")
     assert plan.count("Generate inline") == 1 and "TakeOrderedAndProject" in plan
+
+
+def test_graph_degrees_takes_edges_once_and_in_shares(spark, monkeypatch):
+    plan = in_small_shares(spark, monkeypatch, "graph_degrees")
+    assert plan.count("Generate inline") == 1
