@@ -7,11 +7,13 @@ same one. Strings are judged on the input and never cross documents.
    with one anchor are neighbours; the bytes that their strings cover are the anchor's stretch. Equal strings have equal
    anchors, so only anchors seen twice can hold repeats. Tasks send (anchor, stretch, place) keys in blocks of key ranges;
    one task for each range unites whole stretches that are equal. All but the first place of a stretch are removed.
-2. Stretches that share an anchor with others but differ from them (the edges of what was copied) become text. A task
-   sorts the suffixes of a shard of them by Larsson-Sadakane refinement, takes common prefixes after Kasai, and so finds
-   the strings that start twice in its shard and where each starts first.
-3. Shards merge: the sorted string keys of all shards are cut into ranges and each range's lists are merged by binary
-   search, which finds the first start over all shards.
+2. Stretches that share an anchor with others but differ from them (the edges of what was copied) become text, dealt by
+   anchor: equal strings have equal anchors, so they meet in one shard. A task sorts the suffixes of a shard by
+   Larsson-Sadakane refinement, takes common prefixes after Kasai, and so finds the strings that start twice in its shard
+   and where each starts first.
+3. Anchors of more than `HOT_BYTES` of stretches are dealt over several shards, and these merge: the sorted string keys of a
+   task's shards are merged by binary search and cut into ranges, and each range's lists are merged likewise, which finds
+   the first start over all shards. No other shard sends keys.
 4. Removed starts go back to the documents as intervals.
 
 Strings of one document and shard are compared byte by byte (in the suffix array); across tasks and shards they are equal
@@ -31,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import discard, keyed, release, stored
-from cairn.llm.textbytes import U64, by_bytes, gram_hashes, mix, parts_of, prefix_hash, ranges_of, span_hash, string_bytes
+from cairn.llm.textbytes import U64, by_bytes, gram_hashes, mix, prefix_hash, ranges_of, span_hash, string_bytes
 
 GRAM = 36
-#: Keys of one range, which one task merges, and of what a task sends at once.
-RANGE_KEYS, SENT_KEYS = 250_000, 250_000
+#: Keys of one range, which one task merges, and of what a task sends at once. Rows that are sent are as many as ranges times
+#: sends, so both are large.
+RANGE_KEYS, SENT_KEYS = 500_000, 500_000
 MOST_BITS = 30
-#: Bytes of text that a task hashes at once.
-BATCH_BYTES = 1_000_000
-#: Bytes of one suffix array.
-SHARD_BYTES = 1_000_000
+#: Bytes of text that a task hashes at once, and of one suffix array: few enough for a processor's cache.
+BATCH_BYTES, SHARD_BYTES = 200_000, 200_000
+#: Bytes of the stretches of an anchor above which they are dealt over several shards, and of the stretches of a task.
+HOT_BYTES, TASK_BYTES = 250_000, 2_000_000
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -95,14 +98,22 @@ def joined(rid: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 
 def unpacked(table: pa.Table, kinds: dict) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]] or [np.zeros(0, kind)]) for name, kind in kinds.items()]
+    """The values of all rows, one row after another."""
+    return [string_bytes(table[name])[0].copy().view(kind) for name, kind in kinds.items()]
+
+
+def packed(column: np.ndarray, order: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value for each of the sizes: so many of the ordered values each."""
+    edges = np.concatenate(([0], np.cumsum(sizes))) * column.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(column[order]))])
 
 
 KEYS = {"one": U64, "two": U64, "rid": np.int64, "a": np.int32, "b": np.int32, "met": bool}
 DONE = {"drid": np.int64, "da": np.int32, "db": np.int32}
 BLOCK = "range int, " + ", ".join(f"{c} binary" for c in (*KEYS, *DONE))
 #: kind 0: starts to remove; kind 1: the first place of a stretch whose anchor others share.
-FOUND = "kind int, rid bigint, a int, b int"
+FOUND = "kind int, rid bigint, a int, b int, anchor bigint"
+GONE = "rid bigint, a int, b int"
 
 
 def keyed_block(one, two, rid, a, b, bits: int, later=None, anchors: bool = False) -> pa.RecordBatch:
@@ -124,20 +135,19 @@ def keyed_block(one, two, rid, a, b, bits: int, later=None, anchors: bool = Fals
         met[1:] |= again[1:]
         met[:-1] |= again[1:]
         place = np.where(again, mix(place ^ mix(two[first])), place)
-    keys = dict(parts_of(ranges_of(place, bits)))
-    done = dict(parts_of(ranges_of(mix(drid.astype(U64)), bits)))
-    rows, none = sorted(keys.keys() | done.keys()), np.zeros(0, np.int64)
+    keys, done = ranges_of(place, bits), ranges_of(mix(drid.astype(U64)), bits)
+    rows = np.union1d(keys, done)
     columns = {"one": one[first], "two": two[first], "rid": rid[first], "a": a[first].astype(np.int32), "b": b[first].astype(np.int32), "met": met}
     rest = {"drid": drid, "da": da.astype(np.int32), "db": db.astype(np.int32)}
     arrays = [pa.array(rows, pa.int32())]
-    for parts, group in ((keys, columns), (done, rest)):
-        arrays += [pa.array([c[parts.get(r, none)].tobytes() for r in rows], pa.binary()) for c in group.values()]
+    for where, group in ((keys, columns), (done, rest)):
+        by_range, sizes = np.argsort(where, kind="stable"), np.bincount(np.searchsorted(rows, where), minlength=len(rows))
+        arrays += [packed(c, by_range, sizes) for c in group.values()]
     return pa.RecordBatch.from_arrays(arrays, names=["range", *columns, *rest])
 
 
-def found_table(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    columns = [np.concatenate([np.full(len(r), k) for k, r, _, _ in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))]
-    return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("kind", "rid", "a", "b"), columns, (np.int32, np.int64, np.int32, np.int32))})
+def gone_table(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"rid": pa.array(rid.astype(np.int64)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
 
 
 def unite_stretches(group: pa.Table) -> pa.Table:
@@ -151,7 +161,10 @@ def unite_stretches(group: pa.Table) -> pa.Table:
     run = np.cumsum(np.concatenate(([True], anchors[1:] != anchors[:-1]))) - 1 if len(first) else np.zeros(0, np.int64)
     shared = (np.bincount(run)[run] > 1) | (np.bincount(run, met)[run] > 0) if len(first) else np.zeros(0, bool)
     edge = first[shared]
-    return found_table([(0, *done), (0, *joined(rid[other], a[other], b[other])), (1, rid[edge], a[edge], b[edge])])
+    gone = [np.concatenate(x) for x in zip(done, joined(rid[other], a[other], b[other]))]
+    columns = [np.concatenate(x) for x in zip(gone, (rid[edge], a[edge], b[edge]))]
+    kind, anchor = np.repeat([0, 1], [len(gone[0]), len(edge)]), np.concatenate((np.zeros(len(gone[0]), np.int64), one[edge].view(np.int64)))
+    return gone_table(*columns).add_column(0, "kind", pa.array(kind.astype(np.int32))).append_column("anchor", pa.array(anchor))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +178,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, U64)
     for k in range(7):
         key = (key << U64(9)) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     done = 7
     head = np.ones(n, dtype=bool)
     head[1:] = key[sa][1:] != key[sa][:-1]
@@ -180,11 +193,11 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         own = sa[at]
-        group, on = rank[own], rank[np.minimum(own + done, n)]
-        order = np.lexsort((on, group))
-        own, group, on = own[order], group[order], on[order]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + done, n)] + 1  # by group, then by the rank that many bytes on
+        order = np.argsort(key)
+        own, key = own[order], key[order]
         sa[at] = own
-        head[at[1:]] |= (group[1:] == group[:-1]) & (on[1:] != on[:-1])
+        head[at[1:]] |= key[1:] != key[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         rank[own] = first[at]
         done *= 2
@@ -222,7 +235,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 def shard_strings(text: np.ndarray, offsets: np.ndarray, rid: np.ndarray, a: np.ndarray, length: int):
     """(keys one and two, rid, start) of the strings of the stretches of a shard, sorted places united; later starts apart.
 
-    Stretches follow each other in text; a string lies within one. Returns (first starts, later starts).
+    Stretches follow each other in text; a string lies within one. Returns (first starts, later starts as intervals).
     """
     sa, _ = suffix_array(text, length)
     near = common_prefixes(text, sa, length)
@@ -238,7 +251,8 @@ def shard_strings(text: np.ndarray, offsets: np.ndarray, rid: np.ndarray, a: np.
     h = prefix_hash(text)
     one, two = span_hash(h, sa[head], sa[head] + length), span_hash(h, sa[head], sa[head] + length // 2)
     later = ~head & ~same
-    return (one, two, doc[head], start[head]), (doc[later], start[later])
+    order, _ = first_of_groups((one, two), ())
+    return tuple(x[order] for x in (one, two, doc[head], start[head])), joined(doc[later], start[later], start[later])
 
 
 def merge_two(x: tuple, y: tuple):
@@ -266,33 +280,53 @@ def merge_two(x: tuple, y: tuple):
     return tuple(np.insert(x[k], at[~met], y[k][~met]) for k in range(4)), gone
 
 
-def merge_shards(group: pa.Table) -> pa.Table:
-    """One range of string keys: the sorted lists of all shards merged pair by pair; every start but the first is removed."""
-    lists = []
-    for i in range(group.num_rows):
-        one, two, rid, a, _, _ = unpacked(group.slice(i, 1), KEYS)
-        lists.append((one, two, rid, a))
-    parts = [(0, *unpacked(group, DONE))]
+def merged(lists: list[tuple]) -> tuple[tuple, list[tuple]]:
+    """Lists merged pair by pair to one; and the starts, as intervals, of every place but the first."""
+    gone = []
     while len(lists) > 1:
         pairs = [merge_two(lists[k], lists[k + 1]) for k in range(0, len(lists) - 1, 2)]
-        parts += [(0, gone[0], gone[1], gone[1]) for _, gone in pairs]
+        gone += [joined(rid, a, a) for _, (rid, a) in pairs]
         lists = [m for m, _ in pairs] + lists[len(pairs) * 2 :]
-    return found_table(parts)
+    return lists[0], gone
+
+
+def merge_shards(group: pa.Table) -> pa.Table:
+    """One range of string keys: the sorted lists of all shards merged; every start but the first is removed."""
+    own, first = unpacked(group, KEYS), string_bytes(group["one"])[1] // 8
+    lists = [tuple(c[s:e] for c in own[:4]) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+    _, gone = merged(lists)
+    return gone_table(*(np.concatenate(x) for x in zip(unpacked(group, DONE), *gone)))
 
 
 def by_shard(batches, most: int):
-    """Tables of about `most` bytes of text."""
+    """Tables of about `most` bytes of text, cut where the anchor or its share changes; rows come in that order."""
     held, n = [], 0
-    for batch in by_bytes(batches, "text", most):
-        held.append(batch)
-        n += batch.nbytes
-        if n >= most:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, n = [], 0
+    for batch in batches:
+        anchor, share = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("anchor", "share"))
+        cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (share[1:] != share[:-1])) + 1
+        if held and batch.num_rows and any(np.asarray(held[-1].column(held[-1].schema.get_field_index(c)))[-1] != x[0] for c, x in (("anchor", anchor), ("share", share))):
+            cuts = np.concatenate(([0], cuts))
+        _, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
+        start = 0
+        for cut in cuts.tolist():
+            if n + offsets[cut] - offsets[start] >= most:
+                held.append(batch.slice(start, cut - start))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n, start = [], 0, cut
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+            n += int(offsets[-1] - offsets[start])
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def sorted_shards(batches, length: int, most: int):
+    """shard_strings of the shards of a task."""
+    for table in by_shard(batches, most):
+        text, offsets = string_bytes(table["text"])
+        yield shard_strings(text, offsets, np.asarray(table["rid"]).astype(np.int64), np.asarray(table["a"]).astype(np.int64), length)
+
+
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """(rid, a, b): intervals of starts of strings that start earlier too; docs has (rid, text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -319,10 +353,18 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     found = stored(docs.mapInArrow(send, BLOCK).groupBy("range").applyInArrow(unite_stretches, FOUND))
     release(docs.sparkSession)
     edges = found.filter("kind = 1")
-    size = edges.agg(F.sum(F.col("b") - F.col("a") + length)).first()[0] or 0
+    anchors = stored(edges.groupBy("anchor").agg(F.sum(F.col("b") - F.col("a") + length).alias("size"), F.sum(F.col("b") - F.col("a") + 1).alias("strings")))
+    hot = anchors.filter(F.col("size") > HOT_BYTES)
+    size = anchors.agg(F.sum("size")).first()[0] or 0
+    hot_size, hot_strings = (x or 0 for x in hot.agg(F.sum("size"), F.sum("strings")).first())
+    done = found.filter("kind = 0").select("rid", "a", "b")
     if not size:
-        return found.filter("kind = 0").select("rid", "a", "b")
-    places = edges.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+        discard(anchors)
+        return done
+    # hot anchors are few: one for each HOT_BYTES of stretches at most
+    shares = F.coalesce(F.ceil(F.col("size") / HOT_BYTES), F.lit(1)).cast("int").alias("shares")
+    dealt = edges.join(F.broadcast(hot.select("anchor", "size")), "anchor", "left").select("rid", "a", "b", "anchor", shares)
+    places = dealt.groupBy("rid").agg(F.collect_list(F.struct("a", "b", "anchor", "shares")).alias("places"))
 
     def cut(batches):
         for batch in by_bytes(batches, "text"):
@@ -332,23 +374,44 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             flat = pa.compute.list_flatten(own)
             a, b = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
             text = [data[s:e].tobytes() for s, e in zip(offsets[row] + a, offsets[row] + b + length)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rid")).take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(text, pa.binary())], names=["rid", "a", "text"])
+            rid = batch.column(batch.schema.get_field_index("rid")).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([rid, pa.array(a.astype(np.int32)), flat.field(2), flat.field(3), pa.array(text, pa.binary())], names=["rid", "a", "anchor", "shares", "text"])
 
-    texts = stored(docs.join(places, "rid").select("rid", "text", "places").mapInArrow(cut, "rid bigint, a int, text binary"))
+    texts = stored(docs.join(places, "rid").select("rid", "text", "places").mapInArrow(cut, "rid bigint, a int, anchor bigint, shares int, text binary"))
     release(docs.sparkSession)
-    tasks = max(1, -(-size // SHARD_BYTES))
-    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_KEYS))))))
+    pieces = texts.withColumn("share", F.pmod(F.xxhash64("rid", "a"), F.col("shares")))
+    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, hot_strings / RANGE_KEYS))))))
+
+    def shards(rows: DataFrame, size: int) -> DataFrame:
+        """The stretches of an anchor, or of its share, together and one after another."""
+        return rows.repartition(max(1, -(-size // TASK_BYTES)), "anchor", "share").sortWithinPartitions("anchor", "share").select("rid", "a", "anchor", "share", "text")
 
     def sort_shard(batches):
-        for table in by_shard(batches, SHARD_BYTES):
-            text, offsets = string_bytes(table["text"])
-            rid, a = np.asarray(table["rid"]).astype(np.int64), np.asarray(table["a"]).astype(np.int64)
-            (one, two, doc, start), (later_doc, later) = shard_strings(text, offsets, rid, a, length)
-            yield keyed_block(one, two, doc, start, start, bits, (later_doc, later, later))
-
-    merged = texts.repartition(tasks, F.xxhash64("rid", "a")).mapInArrow(sort_shard, BLOCK).groupBy("range").applyInArrow(merge_shards, FOUND)
-    starts = stored(found.filter("kind = 0").select("rid", "a", "b").unionByName(merged.select("rid", "a", "b")))
-    discard(found, texts)
+        for _, later in sorted_shards(batches, length, SHARD_BYTES):
+            yield from gone_table(*later).to_batches()
+
+    def sort_hot(batches):
+        lists, gone, n = [], [], 0
+
+        def flush():
+            (one, two, doc, start), more = merged(lists)
+            return keyed_block(one, two, doc, start, start, bits, [np.concatenate(x) for x in zip(*gone, *more)])
+
+        for strings, later in sorted_shards(batches, length, SHARD_BYTES):
+            lists.append(strings)
+            gone.append(later)
+            n += len(strings[0])
+            if n >= SENT_KEYS:
+                yield flush()
+                lists, gone, n = [], [], 0
+        if lists:
+            yield flush()
+
+    done = done.unionByName(shards(pieces.filter("shares = 1"), size - hot_size).mapInArrow(sort_shard, GONE))
+    if hot_size:
+        done = done.unionByName(shards(pieces.filter("shares > 1"), hot_size).mapInArrow(sort_hot, BLOCK).groupBy("range").applyInArrow(merge_shards, GONE))
+    starts = stored(done)
+    discard(found, anchors, texts)
     return starts
 
 

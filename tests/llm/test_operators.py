@@ -78,6 +78,38 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, shard, keys):
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [300, 1_000])
+def test_hot_anchors_are_dealt_over_shards_that_merge(spark, monkeypatch, hot):
+    for name, value in {"SHARD_BYTES": 1_500, "HOT_BYTES": hot, "RANGE_KEYS": 100, "SENT_KEYS": 50}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    merge = suffix_dedup.merge_shards
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(group):
+        met.add(group.num_rows)
+        return merge(group)
+
+    monkeypatch.setattr(suffix_dedup, "merge_shards", counted)
+    rows = some_texts(7, 150)
+    found = suffix_dedup.remove_repeats(documents(spark, rows)).select("id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == repeats(rows)
+    assert met.value > 1
+
+
+def test_strings_of_one_anchor_meet_in_one_shard(spark, monkeypatch):
+    """Shards whose anchors are not hot send no keys, whose number of blocks grew as the square of the input."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9_000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_KEYS", 300)
+
+    def none_meet(group):
+        raise AssertionError("keys of shards were sent")
+
+    monkeypatch.setattr(suffix_dedup, "merge_shards", none_meet)
+    rows = some_texts(5, 90)
+    found = suffix_dedup.remove_repeats(documents(spark, rows)).select("id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == repeats(rows)
+
+
 def test_suffix_array_and_common_prefixes():
     r = np.random.default_rng(1)
     for _ in range(30):
