@@ -4,7 +4,7 @@ Terms are maximal runs of ASCII letters and digits and of characters beyond ASCI
 for a query is the sum, over the query's terms with repeats, of the term's weight times the term's impact in the document;
 weights and impacts are whole numbers (see `weight` and `impacts`), so the order of sums does not matter.
 
-Index: a task turns each few megabytes of texts that it reads into a shard, one row of the index table: ids and lengths of
+Index: a task turns each megabyte of texts that it reads into a shard, one row of the index table: ids and lengths of
 its documents, its terms, their postings, and the postings' blocks. Dynamic programming chooses the boundaries of a list's
 blocks: least is the sum, over blocks, of a fixed cost and of what the block's greatest impact overstates its postings.
 The statistics (documents, terms, documents of a term) are counted over all documents.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.shared import discard, stored
+from cairn.llm.shared import BATCH_SIZE, ROWS_READ, discard, settings, stored
 from cairn.llm.textbytes import ALNUM, LOWER, by_bytes, string_bytes, words_of
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,6 +40,8 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_COST, BLOCK_MOST = 1_000_000, 64
 #: Terms (counted once for each of their queries) that are sent to the tasks at once.
 QUERY_TERMS = 400_000
+#: Bytes of texts that go to Python at once, and rows of the index that are decoded at once: a task holds so much of either.
+TEXTS, SHARDS = {BATCH_SIZE: "4m"}, {ROWS_READ: "2"}
 SHARD = "shard bigint, ids array<bigint>, lengths array<int>, terms array<string>, dfs array<int>, docs binary, tfs binary, block_counts array<int>, block_starts binary, block_maxima binary"
 
 
@@ -132,7 +134,8 @@ def corpus_counts(docs: DataFrame, text_col: str) -> tuple[int, int]:
             n_terms += int(length.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["n_docs", "n_terms"])
 
-    found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "n_docs bigint, n_terms bigint").agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    with settings(docs.sparkSession, TEXTS):
+        found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "n_docs bigint, n_terms bigint").agg(F.sum("n_docs"), F.sum("n_terms")).first()
     return found[0] or 0, found[1] or 0
 
 
@@ -143,7 +146,7 @@ class LexicalIndex:
         self.shards, self.n_docs, self.n_terms = shards, n_docs, n_terms
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4_000_000) -> LexicalIndex:
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1_000_000) -> LexicalIndex:
     """Index every row of docs. A shard has at most shard_bytes of text, or one document."""
     n_docs, n_terms = corpus_counts(docs, text_col)
 
@@ -154,7 +157,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             number += 1
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return LexicalIndex(stored(rows.mapInArrow(run, SHARD)), n_docs, n_terms)
+    return LexicalIndex(stored(rows.mapInArrow(run, SHARD), conf=TEXTS, long_rows=True), n_docs, n_terms)
 
 
 def query_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:
@@ -244,7 +247,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 10, *, id_col: str
     """(item_id, rank, doc_id, score): the k best documents of each row of queries."""
     spark = queries.sparkSession
     asked = stored(queries.select(F.monotonically_increasing_id().alias("query"), F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
-    terms = stored(query_terms(asked, index))
+    terms = stored(query_terms(asked, index), conf=SHARDS)
     total = terms.count()
     n_blocks = 1 if total <= QUERY_TERMS else 2 * -(-total // QUERY_TERMS)
     counts, found = (index.n_docs, index.n_terms), None
@@ -275,7 +278,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 10, *, id_col: str
                 ids, none, score = (np.concatenate([getattr(x, c) for x in best]) for c in ("id", "none", "score"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, count)), pa.array(ids, mask=none), pa.array(score)], names=["query", "doc_id", "score"])
 
-        part = stored(index.shards.mapInArrow(run, "query bigint, doc_id bigint, score bigint"), batch_rows=2)
+        part = stored(index.shards.mapInArrow(run, "query bigint, doc_id bigint, score bigint"), batch_rows=2, conf=SHARDS)
         held.destroy()  # one block of queries is held at a time
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

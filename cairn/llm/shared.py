@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +24,35 @@ def shared_folder(spark: SparkSession) -> str:
 #: Spark then drops the shuffle files of an execution as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch on its way to Python, as far as rows go, and rows of a Parquet file that are decoded at once.
+BATCH_SIZE, ROWS_READ = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+#: For tables of long rows: Parquet looks at its buffers after each row (else after 100), and so keeps row groups small.
+LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
 
 
-def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends here and lost executors cost no recomputation.
-
-    batch_rows is the most rows of an Arrow batch on the way, for rows that hold long values.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """The session's settings for what runs meanwhile."""
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def stored(df: DataFrame, batch_rows: int | None = None, *, conf: dict[str, str] | None = None, long_rows: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends here and lost executors cost no recomputation.
+
+    batch_rows is the most rows of an Arrow batch on the way, for rows that hold long values; conf are other settings for
+    the step. long_rows: the rows that are written are of megabytes each.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with settings(spark, {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {}) | (conf or {})):
+        df.write.options(**LONG_ROWS if long_rows else {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -155,6 +157,26 @@ def test_search_without_rows(spark):
     assert search(build_index(docs.filter("text is null")), queries).count() == 0
 
 
+def test_an_index_task_holds_a_few_megabytes_whatever_it_reads(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(30_000)]
+    docs = documents(spark, [(i, " ".join(r.choice(words) for _ in range(12_500))) for i in range(240)]).coalesce(1)  # 24 MB
+    cut, large = lexical.by_bytes, spark.sparkContext.accumulator(0)
+
+    def counted(batches, column, *most):
+        for batch in cut(batches, column, *most):
+            large.add(int(pa.compute.sum(pa.compute.binary_length(batch[column])).as_py() > 1_600_000))
+            yield batch
+
+    monkeypatch.setattr(lexical, "by_bytes", counted)
+    index = build_index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.shards.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert large.value == 0
+    assert len(groups) > 1 and max(groups) < 16_000_000
+    assert index.n_docs == 240 and index.shards.count() >= 24
+
+
 def test_blocks_have_the_least_error():
     r = np.random.default_rng(2)
     sizes = np.array([0, 1, 2, 9, 9, 0, 13])
